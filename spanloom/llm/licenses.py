@@ -98,10 +98,15 @@ class Index:
                 else:
                     groups.append([(d, t)])
             for g in groups:
-                lo, hi = min(d - t for d, t in g) - BAND, max(d - t for d, t in g) + BAND
-                got = align(template, words, lo, hi)
-                if got and got[2] >= COVERAGE * len(template):
+                left, free = g, words
+                while left:  # copies may follow one another within the band
+                    lo, hi = min(d - t for d, t in left) - BAND, max(d - t for d, t in left) + BAND
+                    got = align(template, free, lo, hi)
+                    if not got or got[2] < COVERAGE * len(template):
+                        break
                     found.append((k, got[2] / len(template), where[got[0]][0], where[got[1] - 1][1], got[2], len(template)))
+                    free = [*free[:got[0]], *[""] * (got[1] - got[0]), *free[got[1]:]]
+                    left = [x for x in left if not got[0] <= x[0] < got[1]]
         best: list[tuple[str, float, int, int, int, int]] = []
         for x in sorted(set(found), key=lambda x: (-x[4], -x[1], x[2], x[0])):  # of overlapping places the most words
             if all(x[3] <= y[2] or y[3] <= x[2] for y in best):

@@ -151,7 +151,7 @@ def trie_links(f: np.ndarray, budget: int, exact_bits: int = 0, sides: tuple[int
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
     if sides:
-        cut, pa_, pb_ = np.uint64(BITS - sides[0]), np.uint64(sides[1]), np.uint64(sides[2])
+        cut, pa_, pb_ = np.uint64(BITS - sides[0]), *(np.uint64(x % (1 << BITS)) for x in sides[1:])
         p, q = f[a] >> cut, f[b] >> cut
         ok = ((p == pa_) & (q == pb_)) | ((p == pb_) & (q == pa_))
         a, b = a[ok], b[ok]
