@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, licenses, linededup, lm, mixing, pii, quality, simhash, toxicity
+from spanloom.llm import decontaminate, langid, licenses, linededup, lm, mixing, pii, quality, simhash, sql, toxicity
 from spanloom.session import table
 
 
@@ -60,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_personal_data, op4_quality_rules, op5_toxicity, op6_lm_scoring, op7_line_dedup, op8_source_mixing, op9_decontamination, op10_language_id)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": sql.OP4, "op8_source_mixing": sql.OP8, "op9_decontamination": sql.OP9}
