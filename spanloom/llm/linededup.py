@@ -5,128 +5,208 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACES, components
+from spanloom.llm.common import SPACES, components, small_batches
 from spanloom.session import stash
 
 #: Edits allowed at most, characters of a line for each edit it may have, and shortest line that takes part.
 MAX_EDITS, CHARS_PER_EDIT, MIN_CHARS = 2, 20, 20
 #: Rows up to which a table of keys or line ids is broadcast (8 to 16 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a key beyond which its lines meet by spread(), characters of a cell there, and hashes that a task remembers.
+GROUP_ROWS, CELL, SEEN = 32, 16, 1_000_000
 
 
 def budget(length: int) -> int:
     return min(MAX_EDITS, length // CHARS_PER_EDIT)
 
 
-def within(a: str, b: str, k: int) -> bool:
-    """Whether the edit distance of a and b is at most k: bit-parallel columns of a band of 2k + 1 diagonals.
+def fails_at(a: str, b: str, k: int) -> int | None:
+    """None if the edit distance of a and b is at most k; else how many characters of a rule that out for every beginning of b.
 
-    Bit i of the vectors stands for diagonal i - k of the current row, so words stay 2k + 1 bits wide however long the
-    lines are. R[e] holds the diagonals reachable with e edits; a step along equal characters costs nothing.
+    Bit-parallel columns of a band of 2k + 1 diagonals: bit i of the vectors stands for diagonal i - k of the current
+    row, so words stay 2k + 1 bits wide however long the lines are. reach[e] holds the diagonals within e edits.
+    len(a) + 1 stands for a mismatch that only the end shows.
     """
-    if abs(len(a) - len(b)) > k:
-        return False
-    if len(a) < len(b):
-        a, b = b, a
-    lead, n = 0, len(b)
+    lead, n = 0, min(len(a), len(b))
     while lead < n and a[lead] == b[lead]:
         lead += 1
-    a, b = a[lead:], b[lead:]
-    while b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not b:
-        return len(a) <= k
-    m, width = len(a), 2 * k + 1
+    width, m, n = 2 * k + 1, len(a) - lead, len(b) - lead
     full = (1 << width) - 1
-    # row j: diagonal i is the cell (row j, column j + i - k)
-    start = 1 << k
-    reach = [start]
+    reach = [1 << k]
     for _ in range(k):
         reach.append((reach[-1] | reach[-1] << 1) & full)  # leading characters of b only
-    for j, c in enumerate(a):
-        same = 0
-        for i in range(max(0, k - j), min(width, len(b) - j + k)):
-            if b[j + i - k] == c:
+    for j in range(m):
+        c, same = a[lead + j], 0
+        for i in range(max(0, k - j), min(width, n - j + k)):
+            if b[lead + j + i - k] == c:
                 same |= 1 << i
-        nxt: list[int] = []
+        now: list[int] = []
         for e, r in enumerate(reach):
             x = r & same
             if e:
                 prev = reach[e - 1]
-                x |= prev | prev >> 1  # replace; drop a character of a
-                x |= nxt[e - 1] << 1  # take a character of b only
-            nxt.append(x & full)
-        reach = nxt
+                x |= prev | prev >> 1 | now[e - 1] << 1  # replace; a character of a only; one of b only
+            now.append(x & full)
+        reach = now
         if not reach[-1]:
-            return False
-    last = len(b) - m + k
-    return 0 <= last < width and bool(reach[-1] >> last & 1)
+            return lead + j + 1
+    last = n - m + k
+    return None if 0 <= last < width and reach[-1] >> last & 1 else len(a) + 1
+
+
+def within(a: str, b: str, k: int) -> bool:
+    """Whether the edit distance of a and b is at most k."""
+    return abs(len(a) - len(b)) <= k and fails_at(a, b, k) is None
+
 
+def fold(line: bytes) -> str:
+    """A line with runs of ASCII whitespace folded to a space."""
+    return b" ".join(line.split()).decode("utf-8", "replace")
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, norm): the lines of whole texts with runs of ASCII whitespace folded; blank ones are left out."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    norm = F.trim(F.regexp_replace(F.translate("raw", SPACES.replace("\n", ""), " " * (len(SPACES) - 1)), " +", " "))
-    return d.select("doc_id", "line", norm.alias("norm")).where(F.length("norm") >= MIN_CHARS)
 
+def line_hash(norm: str) -> int:
+    return xxhash.xxh64_intdigest(norm.encode("utf-8", "replace")) - (1 << 63)
 
-def segment_keys(norm: Column) -> Column:
-    """Keys under which a line meets every other within its budget: array<bigint>.
+
+def windows(size: int) -> list[tuple[int, int, int]]:
+    """(seed, from, to) of the substrings under which a line of this size meets every other within its budget.
 
     For each length s that a partner at most as long may have, that partner is cut into budget(s) + 1 segments; of these
     one at least is untouched, and starts in the longer line within a window that the edits left and right of it allow.
-    A key hashes (s, segment number, substring). The line's own segments are those for s = its length without a shift.
+    The seed stands for (s, segment). The line's own segments are those for s = its length, without a shift.
     """
-    keys = F.array().cast("array<bigint>")
-    size = F.length(norm)
+    out = []
     for delta in range(MAX_EDITS + 1):
         short = size - delta
-        for tau in range(1, MAX_EDITS + 1):
-            if delta > tau:
-                continue
-            applies = (short >= tau * CHARS_PER_EDIT) if tau == MAX_EDITS else ((short >= tau * CHARS_PER_EDIT) & (short < (tau + 1) * CHARS_PER_EDIT))
-            each = []
-            base, extra = F.floor(short / (tau + 1)), short % (tau + 1)
-            for i in range(1, tau + 2):
-                # the last `extra` segments are one longer
-                first = base * (i - 1) + F.greatest(F.lit(0), extra - (tau + 1 - (i - 1))) + 1
-                length = base + (F.lit(tau + 1 - i) < extra).cast("int")
-                lo, hi = max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + tau + 1 - i)
-                each += [F.xxhash64(F.lit(i), short, F.substring(norm, (first + p).cast("int"), length.cast("int"))) for p in range(lo, hi + 1)]
-            keys = F.concat(keys, F.when(applies, F.array(*each)).otherwise(F.array().cast("array<bigint>")))
-    return keys
+        tau = budget(short)
+        if short < MIN_CHARS or delta > tau:
+            continue
+        base, extra = divmod(short, tau + 1)
+        for i in range(tau + 1):
+            first = base * i + max(0, extra - (tau + 1 - i))  # the last `extra` segments are one longer
+            length = base + (tau + 1 - i <= extra)
+            for p in range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1):
+                out.append((short * 8 + i, first + p, first + p + length))
+    return out
+
+
+def keys(norm: str, at: dict[int, list[tuple[int, int, int]]]) -> list[int]:
+    size = len(norm)
+    w = at.get(size)
+    if w is None:
+        w = at[size] = windows(size)
+    return [xxhash.xxh64_intdigest(norm[a:b].encode("utf-8", "replace"), s) - (1 << 63) for s, a, b in w]
+
+
+def read(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, h, keys) of every line of whole texts that takes part, stored; keys once a task for equal lines."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        sizes: dict[int, list[tuple[int, int, int]]] = {}
+        for b in batches:
+            ids, where, hashes, found = [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not t:
+                    continue
+                for k, raw in enumerate(t.encode("utf-8", "replace").split(b"\n")):
+                    if len(raw) < MIN_CHARS or len(norm := fold(raw)) < MIN_CHARS:
+                        continue
+                    h = line_hash(norm)
+                    ids.append(i)
+                    where.append(k)
+                    hashes.append(h)
+                    found.append([] if h in seen else keys(norm, sizes))
+                    seen.add(h)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where, pa.int32()), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "line", "h", "keys"])
+
+    d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return stash(d.mapInArrow(run, "doc_id long, line int, h long, keys array<long>"), "lines")
 
 
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between different lines within their edit budget. rows: (h, norm), lines as often as they come.
+def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(h, norm) for places (doc_id, line, h); only texts of their documents are opened."""
+    want = _few(stash(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("want")), "line-wants"))
+    d = docs.select(F.col("doc_id").cast("long"), F.split(F.col("text"), "\n").alias("parts")).join(want, "doc_id")
+    d = d.select("parts", F.explode("want").alias("x")).select("x.h", F.get("parts", F.col("x.line")).alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norm = [fold((r or "").encode("utf-8", "replace")) for r in b.column(1).to_pylist()]
+            h = b.column(0).to_pylist()
+            ok = pa.array([line_hash(x) == y for x, y in zip(norm, h, strict=True)], pa.bool_())  # repeated ids differ
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(norm, pa.string())], ["h", "norm"]).filter(ok)
+
+    return stash(d.mapInArrow(run, "h long, norm string").dropDuplicates(["h"]), "line-texts")
+
+
+def spread(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of large groups: met (key, h, n), far fewer than all that share a key; n: how often a line comes.
+
+    The group's pivot is its most frequent line; groups with one pivot are treated as one. A line x that leaves the pivot after l characters, and whose first r
+    characters rule out k edits against every beginning of the pivot, is within k edits of y only if y, which leaves the
+    pivot no earlier, does so after r + k characters at most: else all that x could be matched with is the pivot's. So x
+    waits in the cells from l to r + k and y looks in the cell of its own departure. A line near the whole pivot waits to
+    its end. The same holds read from the end, which is checked as pairs meet.
+    """
+    pivot = met.groupBy("key").agg(F.max_by("h", F.struct("n", "h")).alias("p"))
+    rows = met.join(pivot, "key").select("p", "h").distinct().join(texts, "h").join(texts.select(F.col("h").alias("p"), F.col("norm").alias("pivot")), "p").select("p", "h", "norm", "pivot")
+
+    def stay(x: str, p: str) -> tuple[int, int]:
+        lead, n = 0, min(len(x), len(p))
+        while lead < n and x[lead] == p[lead]:
+            lead += 1
+        r = fails_at(x, p, MAX_EDITS)
+        return lead, (max(len(x), len(p)) if r is None or r > len(x) else r) + MAX_EDITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(*stay(x, p), *stay(x[::-1], p[::-1])) for x, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], pa.int32()) for i in range(4))], ["p", "h", "l", "r", "back_l", "back_r"])
+
+    cells = stash(rows.mapInArrow(run, "p long, h long, l int, r int, back_l int, back_r int"), "line-cells")
+    x = cells.select("p", F.col("h").alias("a"), "l", "r", "back_l", "back_r", F.explode(F.sequence(F.expr(f"l div {CELL}"), F.expr(f"r div {CELL}"))).alias("cell"))
+    y = cells.select("p", F.col("h").alias("b"), F.col("l").alias("m"), F.col("back_l").alias("back_m"), F.col("back_r").alias("back_s"), F.expr(f"l div {CELL}").alias("cell"))
+    ahead = F.col("m").between(F.col("l"), F.col("r"))
+    behind = F.col("back_m").between(F.col("back_l"), F.col("back_r")) | F.col("back_l").between(F.col("back_m"), F.col("back_s"))
+    both = x.join(y, ["p", "cell"]).where((F.col("a") != F.col("b")) & ((F.col("l") < F.col("m")) | (F.col("a") < F.col("b"))) & ahead & behind)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def similar(docs: DataFrame, lines: DataFrame, places: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) between different lines within their edit budget. places: (h, doc_id, line, n), one for each h.
 
-    1. Keys that more than one line has: per key the least and greatest line hash, pre-aggregated on the map side, so
-       copies of a line cost nothing. 2. Only lines under such keys meet, key by key. 3. Pairs are verified by edit
-       distance. The budget of a pair is that of its shorter line.
+    1. Keys that more than one line has: per key the least and greatest line hash and the number of rows, pre-aggregated
+       on the map side, so copies of a line cost nothing. 2. Only lines under such keys meet, key by key; in groups of
+       more than group_rows only those that spread() can't rule out. 3. Pairs are verified by edit distance. The budget
+       of a pair is that of its shorter line.
     """
-    keyed = rows.select("h", F.explode(segment_keys(F.col("norm"))).alias("key"))
-    shared = stash(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "line-keys")
-    met = stash(keyed.join(_few(shared), "key").distinct(), "line-meetings")
-    pairs = met.select("key", F.col("h").alias("a")).join(met.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    pairs = stash(pairs, "line-pairs")
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
-    texts = stash(rows.join(_few(ids), "h").groupBy("h").agg(F.min("norm").alias("norm")), "line-texts")
+    keyed = lines.select("h", F.explode("keys").alias("key"))
+    shared = stash(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"), "line-keys")
+    met = stash(keyed.join(_few(shared), "key").select("key", "h", (F.col("rows") > group_rows).alias("large")).distinct(), "line-meetings")
+    ids = stash(met.select("h").distinct().join(places, "h").select("doc_id", "line", "h", "n"), "line-ids")
+    texts = texts_of(docs, ids)
+    few = met.where("not large").select("key", "h")
+    pairs = few.select("key", F.col("h").alias("a")).join(few.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = stash(pairs.unionByName(spread(met.where("large").select("key", "h").join(ids.select("h", "n"), "h"), texts)).distinct(), "line-pairs")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ta, tb = b.column(2).to_pylist(), b.column(3).to_pylist()
             ok = pa.array([within(x, y, budget(min(len(x), len(y)))) for x, y in zip(ta, tb, strict=True)], pa.bool_())
-            out = b.select(["a", "b"]).filter(ok)
-            yield out
+            yield b.select(["a", "b"]).filter(ok)
 
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
@@ -139,17 +219,17 @@ def line_classes(docs: DataFrame) -> DataFrame:
     Line numbers count from 0. Null texts have no lines; rows without doc_id neither remove nor lose lines; repeated
     rows of one doc_id count as one document, whose equal lines at one place are one line. Empty table: no rows.
     """
-    rows = lines(docs).where("doc_id is not null").select("doc_id", "line", "norm", F.xxhash64("norm").alias("h"))
+    rows = read(docs)
     at = stash(rows.select("doc_id", "line", "h").distinct(), "line-places")
-    comp = components(similar(rows.select("h", "norm")))
-    exact = at.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    c = exact.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
-    c = stash(c.where("n > 1 or component is not null").select("h", "class", "first", "n"), "line-classes")
-    # a linked line's class also holds the one that gave the class its name
-    lead = exact.join(c.where("h <> class").select(F.col("class").alias("h")).distinct(), "h", "left_semi").select("h", F.col("h").alias("class"), "first", "n")
-    c = c.unionByName(lead).dropDuplicates(["h"])
-    named = c.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    found = at.join(c.select("h", "class"), "h").join(named, "class")
+    exact = stash(at.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "line-firsts")
+    comp = components(similar(docs, rows, exact.select("h", "first.doc_id", "first.line", "n")))
+    # the line that gave a class its name is in it as well
+    names = comp.unionByName(comp.select(F.col("component").alias("id"), "component")).distinct().withColumnRenamed("id", "h")
+    c = exact.join(names, "h", "left").where("n > 1 or component is not null")
+    c = stash(c.select("h", F.coalesce("component", "h").alias("class"), "first", "n"), "line-classes")
+    named = c.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    c = stash(c.select("h", "class").join(named, "class").select("h", "first", "n"), "line-classes")
+    found = at.join(c, "h")
     return found.select("doc_id", "line", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line").alias("class_line"), F.col("n").alias("n_lines"), ((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.line") != F.col("line"))).alias("removed"))
 
 
@@ -158,8 +238,9 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose nothing pass through unchanged, texts with no words among them.
     """
-    gone = stash(line_classes(docs).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "removed-lines")
-    d = docs.join(gone, "doc_id", "left")
+    lost = stash(line_classes(docs).where("removed").select("doc_id", "line"), "removed-lines")
+    gone = lost.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    d = docs.join(F.broadcast(gone) if lost.count() <= BROADCAST_ROWS else gone, "doc_id", "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     d = d.withColumn("text", text).where(F.col("_gone").isNull() | (F.length(F.translate("text", SPACES, "")) > 0))
