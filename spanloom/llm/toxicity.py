@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +22,7 @@ NEGATIONS = frozenset("aren't isn't never nobody not wasn't".split())
 REPORTS = frozenset("allegedly called calls claimed claims quote quoted quotes reported said says".split())
 
 #: Labelled rows that the lexicon is learned from, at most, of each label.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1500
 #: Stems that chance alone may bring in (this sets how many toxic documents a stem must cover), and the least share of
 #: toxic documents among those that a stem is in, as if labels were balanced.
 CHANCE, PRECISION = 0.05, 0.985
@@ -68,29 +68,33 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     return fit([(r.text, int(r.toxic)) for r in texts.select("text", "toxic").toLocalIterator()])
 
 
+def beginnings(text: str) -> set[str]:
+    """The words of a text, marked by a final $, and their beginnings of 4 to 9 letters."""
+    return {x for w in set(WORD.findall(text.lower())) for x in (*(w[:k] for k in range(4, min(len(w), 9) + 1)), w + "$")}
+
+
 def fit(sample: list[tuple[str, int]]) -> Lexicon:
     """Greedy cover of the toxic documents by words and word beginnings that clean documents lack."""
     n = Counter(t for _, t in sample)
-    inside: dict[str, set[int]] = defaultdict(set)
-    for i, (text, toxic) in enumerate(sample):
+    # only what enough toxic documents hold is worth a set of them
+    held: Counter[str] = Counter()
+    for text, toxic in sample:
         if toxic:
-            for w in set(WORD.findall(text.lower())):
-                for k in range(4, min(len(w), 9) + 1):
-                    inside[w[:k]].add(i)
-                inside[w + "$"].add(i)
-    inside = {k: v for k, v in inside.items() if len(v) >= 3}
+            held.update(beginnings(text))
     q = min(0.9, (n[1] + 1) / (len(sample) + 2))
-    support = max(3, math.ceil(math.log((len(inside) + 1) / CHANCE) / -math.log(q)))
-    inside = {k: v for k, v in inside.items() if len(v) >= support}
+    often = sum(v >= 3 for v in held.values())
+    support = max(3, math.ceil(math.log((often + 1) / CHANCE) / -math.log(q)))
+    inside: dict[str, set[int]] = {k: set() for k, v in held.items() if v >= support}
+    del held
+    for i, (text, toxic) in enumerate(sample):
+        if toxic:
+            for k in beginnings(text):
+                if k in inside:
+                    inside[k].add(i)
     clean: Counter[str] = Counter()
     for text, toxic in sample:
         if not toxic:
-            seen: set[str] = set()
-            for w in set(WORD.findall(text.lower())):
-                seen.update(x for k in range(4, min(len(w), 9) + 1) if (x := w[:k]) in inside)
-                if (x := w + "$") in inside:
-                    seen.add(x)
-            clean.update(seen)
+            clean.update(k for k in beginnings(text) if k in inside)
     prior = (n[1] + 1) / (n[0] + 1)
     share = {k: (len(v) + 0.1) / (len(v) + 0.1 + prior * clean[k]) for k, v in inside.items()}  # as if labels were balanced
     left = {k: v for k, v in inside.items() if share[k] >= PRECISION}
