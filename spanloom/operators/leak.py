@@ -53,7 +53,7 @@ def labelled_runs(runs: DataFrame, gold: DataFrame) -> DataFrame:
 
 def histograms(scored: DataFrame, cluster: str = "doc_id") -> DataFrame:
     """(cluster, bin, n_pii, n_non) of runs with bin, n_pii and n_non."""
-    return scored.groupBy(F.col(cluster).alias("cluster"), "bin").agg(F.sum("n_pii").alias("n_pii"), F.sum("n_non").alias("n_non"))
+    return scored.groupBy(F.col(cluster).alias("cluster"), "bin").agg(F.sum("n_pii").alias("n_pii"), F.sum("n_non").alias("n_non")).where("n_pii + n_non > 0")
 
 
 def curve(hist: DataFrame, *by: str) -> DataFrame:

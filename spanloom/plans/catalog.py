@@ -438,7 +438,7 @@ def benchmark_contamination(spark, sf):
 # Leak and over-redaction ---------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {EVAL} SELECT doc_id AS cluster, bin, sum(n_pii)::BIGINT n_pii, sum(n_non)::BIGINT n_non FROM scored GROUP BY ALL")
+@query(f"WITH {EVAL} SELECT doc_id AS cluster, bin, sum(n_pii)::BIGINT n_pii, sum(n_non)::BIGINT n_non FROM scored GROUP BY ALL HAVING sum(n_pii + n_non) > 0")
 def cluster_hist(spark, sf):
     return leak.histograms(scored(spark, sf)[0])
 
