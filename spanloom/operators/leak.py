@@ -61,12 +61,14 @@ def curve(hist: DataFrame, *by: str) -> DataFrame:
 
     The histogram is summed to at most 1,002 rows a group first.
     """
+    if not by:
+        return curve(hist.withColumn("_all", F.lit(0)), "_all").drop("_all")
     h = hist.groupBy(*by, "bin").agg(F.sum("n_pii").alias("n_pii"), F.sum("n_non").alias("n_non"))
-    keys = h.select(*by).distinct() if by else h.sparkSession.range(1).select()
+    keys = h.select(*by).distinct()
     grid = keys.select(*by, F.explode(F.sequence(F.lit(1), F.lit(1002))).alias("bin"))
     g = grid.join(h, [*by, "bin"], "left").na.fill(0, ["n_pii", "n_non"])
     totals = h.groupBy(*by).agg(F.sum("n_pii").alias("all_pii"), F.sum("n_non").alias("all_non"))
-    g = g.join(totals, list(by)) if by else g.join(F.broadcast(totals), F.lit(True))  # totals: one row
+    g = g.join(totals, list(by))
     w = Window.partitionBy(*by).orderBy(F.col("bin").desc())
     g = g.withColumn("up_pii", F.sum("n_pii").over(w)).withColumn("up_non", F.sum("n_non").over(w))
     # all as PII hidden; where there is none leak is undefined but for masking nothing

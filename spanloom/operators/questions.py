@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import prob
 from spanloom.operators.spans import as_b, overlap_join
+from spanloom.operators.splits import first_by_hash
 
 NONE = "not personal information"
 
@@ -58,7 +59,7 @@ def document_questions(docs: DataFrame, gold: DataFrame, held: DataFrame) -> Dat
 def evaluation_questions(positives: DataFrame, negatives: DataFrame, salt: str) -> DataFrame:
     """All positives and, by hash, as many negatives at most."""
     n = positives.count()
-    neg = negatives.orderBy(F.xxhash64(F.lit(salt), "doc_id", "start", "end"), "doc_id", "start", "end").limit(n)
+    neg = first_by_hash(negatives, n, F.sha2(F.concat_ws("|", F.lit(salt), "doc_id", "start", "end"), 256), "doc_id", "start", "end")
     return positives.withColumn("negative", F.lit(False)).unionByName(neg.withColumn("negative", F.lit(True)))
 
 
@@ -91,11 +92,12 @@ def redaction_score(answered: DataFrame) -> DataFrame:
 def probability_metrics(rows: DataFrame, temperature: float = 1.0) -> DataFrame:
     """One row (micro, macro, none_accuracy, ece): rows (label, target, probabilities); label null for negatives."""
     d = rows.withColumn("p", prob.retempered(F.col("probabilities"), temperature)).withColumn("ok", (prob.argmax(F.col("p")) == F.col("target")).cast("double")).withColumn("top", F.array_max("p"))
-    macro = d.where("label is not null").groupBy("label").agg(F.avg("ok").alias("a")).agg(F.avg("a").alias("macro"))
-    flat = d.agg(F.avg("ok").alias("micro"), F.avg(F.when(F.col("label").isNull(), F.col("ok"))).alias("none_accuracy"))
+    one = F.lit(1).alias("_one")  # each of the three is one row
+    macro = d.where("label is not null").groupBy("label").agg(F.avg("ok").alias("a")).agg(one, F.avg("a").alias("macro"))
+    flat = d.agg(one, F.avg("ok").alias("micro"), F.avg(F.when(F.col("label").isNull(), F.col("ok"))).alias("none_accuracy"))
     bins = d.groupBy(F.least(F.floor(F.col("top") * 15), F.lit(14)).alias("b")).agg(F.count("*").alias("k"), F.avg("top").alias("c"), F.avg("ok").alias("y"))
-    ece = bins.agg((F.sum(F.col("k") * F.abs(F.col("c") - F.col("y"))) / F.sum("k")).alias("ece"))
-    return flat.join(macro, F.lit(True)).join(ece, F.lit(True))  # one row each
+    ece = bins.agg(one, (F.sum(F.col("k") * F.abs(F.col("c") - F.col("y"))) / F.sum("k")).alias("ece"))
+    return flat.join(macro, "_one").join(ece, "_one").drop("_one")
 
 
 def forced_choice(rows: DataFrame, drop: int) -> DataFrame:

@@ -50,5 +50,5 @@ def census(rows: DataFrame, labels: DataFrame, column: str, fail: int, fall_back
 def merged_counts(reports: DataFrame) -> DataFrame:
     """reports (docs long, counts map<string, long>): one row of sums, key by key."""
     flat = reports.select(F.explode_outer("counts").alias("k", "v")).where("k is not null").groupBy("k").agg(F.sum("v").alias("v"))
-    m = flat.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("counts"))
-    return reports.agg(F.sum("docs").alias("docs")).join(m, F.lit(True))  # one row each
+    m = flat.agg(F.lit(1).alias("_one"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("counts"))
+    return reports.agg(F.lit(1).alias("_one"), F.sum("docs").alias("docs")).join(m, "_one").drop("_one")  # one row each

@@ -12,17 +12,36 @@ def digest(salt: str, key: Column, sep: str = "|") -> Column:
     return F.sha2(F.concat_ws(sep, F.lit(salt), key.cast("string")), 256)
 
 
+def first_by_hash(rows: DataFrame, n: int, h: Column, *ties: str) -> DataFrame:
+    """The n rows with the least hex digest h, of equal ones by ties. No task orders all rows.
+
+    Rows are counted by the digest's first 4 digits; the pieces that are taken whole, and the one in which the n-th row
+    lies, follow from at most 65,536 counts. Only that piece is ordered.
+    """
+    d = rows.withColumn("_h", h).withColumn("_piece", F.substring("_h", 1, 4))
+    left, edge = n, None
+    for r in sorted(d.groupBy("_piece").count().collect()):
+        if r["count"] > left:
+            edge = r["_piece"]
+            break
+        left -= r["count"]
+    if edge is None:
+        return d.drop("_h", "_piece")
+    inside = d.where(F.col("_piece") == edge).orderBy("_h", *ties).limit(left)
+    return d.where(F.col("_piece") < edge).unionByName(inside).drop("_h", "_piece")
+
+
 def hash_split(docs: DataFrame, cluster: str, frac: float, salt: str) -> DataFrame:
     """docs with part: calib for the first max(1, round half even(frac * clusters)) clusters by hash, else test.
 
-    Only the cluster table is ordered; the cut is a hash value, so documents are compared with it where they lie.
+    The cut is a hash value, so documents are compared with it where they lie.
     """
-    clusters = docs.select(F.col(cluster).alias("c")).distinct().withColumn("h", digest(salt, F.col("c")))
+    clusters = docs.select(F.col(cluster).alias("c")).distinct()
     n = clusters.count()
-    k = max(1, round(frac * n))
     if not n:
         return docs.withColumn("part", F.lit("calib"))
-    last = clusters.select("h").orderBy("h").limit(k).agg(F.max("h")).first()[0]
+    first = first_by_hash(clusters, max(1, round(frac * n)), digest(salt, F.col("c")))
+    last = first.agg(F.max(digest(salt, F.col("c")))).first()[0]
     return docs.withColumn("part", F.when(digest(salt, F.col(cluster)) <= last, "calib").otherwise("test"))
 
 
@@ -48,12 +67,18 @@ def dev_slice(docs: DataFrame, group: Column, frac: float, salt: str) -> DataFra
 
 def cluster_sample(docs: DataFrame, cluster: str, target: int, salt: str) -> DataFrame:
     """Whole clusters in hash order until there are target documents at least."""
-    sizes = docs.groupBy(F.col(cluster).alias("_c")).agg(F.count("*").alias("_n")).withColumn("_h", digest(salt, F.col("_c"), ":"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a cluster
-    chosen = sizes.withColumn("_b", before).where(F.col("_b") < target).select("_c")
+    sizes = docs.groupBy(F.col(cluster).alias("_c")).agg(F.count("*").alias("_n")).withColumn("_h", digest(salt, F.col("_c"), ":")).withColumn("_piece", F.substring("_h", 1, 3))
+    base = running_base(sizes.groupBy("_piece").agg(F.sum("_n").alias("_k")))  # 4,096 pieces of the hash
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_piece").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = sizes.join(base, "_piece").withColumn("_b", F.col("_base") + inside).where(F.col("_b") < target).select("_c")
     return docs.join(chosen, docs[cluster].eqNullSafe(chosen["_c"]), "left_semi")
 
 
+def running_base(pieces: DataFrame) -> DataFrame:
+    """(_piece, _base): what earlier pieces hold. pieces (_piece, _k) are few, whatever the input."""
+    return pieces.select("_piece", F.coalesce(F.sum("_k").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+
+
 def weighted_order(rows: DataFrame, label: str, key: str, salt: str, exponent: float = 0.5) -> DataFrame:
     """rows with cycle_key: ascending, it draws without replacement by weight label count ** -exponent."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
@@ -81,8 +106,7 @@ def repeated(rows: DataFrame, count: int, key: str, salt: str) -> DataFrame:
     """count rows: hash order, from the first again after the last. Positions come from ranges of the hash, so no task ranks all."""
     n = rows.count()
     h = rows.withColumn("_h", digest(salt, F.col(key))).withColumn("_piece", F.substring("_h", 1, 2))
-    sizes = h.groupBy("_piece").agg(F.count("*").alias("_k"))  # 256 rows
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_k").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
+    base = running_base(h.groupBy("_piece").agg(F.count("*").alias("_k")))  # 256 rows
     h = h.join(base, "_piece").withColumn("slot0", F.col("_base") + F.row_number().over(Window.partitionBy("_piece").orderBy("_h", key)) - 1)
     if not n:
         return h.withColumn("slot", F.lit(0).cast("long")).drop("_h", "_piece", "_base", "slot0")
@@ -116,11 +140,14 @@ def whole_docs(rows: DataFrame, target: int, key: str, salt: str) -> DataFrame:
     return cluster_sample(rows, key, target, salt)
 
 
-def token_batches(rows: DataFrame, key: str, tokens: str, budget: int) -> DataFrame:
-    """rows with batch: consecutive rows by key, each batch closed before the running sum passes a multiple of budget.
+def token_batches(rows: DataFrame, key: str, tokens: str, budget: int, pieces: int = 256) -> DataFrame:
+    """rows with batch: consecutive rows by a numeric key; a row's batch is the sum before it divided by the budget.
 
-    A declarative packing: batch number is the running sum before a row divided by the budget, so no batch holds more
-    than budget plus one row's tokens.
+    So no batch holds more than budget plus one row's tokens. Sums run inside pieces between quantiles of the key, after
+    the totals of the pieces before.
     """
-    before = F.coalesce(F.sum(tokens).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("batch", F.floor(before / budget))
+    cuts = rows.agg(F.percentile_approx(key, F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), 10_000)).first()[0] or []
+    r = rows.withColumn("_piece", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0))
+    base = running_base(r.groupBy("_piece").agg(F.sum(tokens).alias("_k")))
+    inside = F.coalesce(F.sum(tokens).over(Window.partitionBy("_piece").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return r.join(base, "_piece").withColumn("batch", F.floor((F.col("_base") + inside) / budget)).drop("_piece", "_base")

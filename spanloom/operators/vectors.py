@@ -33,9 +33,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 16) -> Dat
 def best_of_other_group(labels: DataFrame) -> DataFrame:
     """(id, best): greatest cosine to a label of another node. labels (id, node, unit) is of dimension size: one row a label."""
     a, b = labels.select("id", "node", F.col("unit").alias("_a")), labels.select(F.col("node").alias("other"), F.col("unit").alias("_b"))
-    nodes = labels.select("node").distinct()
-    pairs = nodes.join(nodes.select(F.col("node").alias("other")), F.col("node") != F.col("other"))
-    return a.join(pairs, "node").join(b, "other").groupBy("id").agg(F.max(dot(F.col("_a"), F.col("_b"))).alias("best"))
+    nodes = sorted(r.node for r in labels.select("node").distinct().collect())
+    pairs = a.withColumn("other", F.explode(F.array_except(F.array(*[F.lit(x) for x in nodes]), F.array("node"))))
+    return pairs.join(b, "other").groupBy("id").agg(F.max(dot(F.col("_a"), F.col("_b"))).alias("best"))
 
 
 def retrieval(texts: DataFrame, labels: DataFrame) -> DataFrame:
