@@ -11,12 +11,13 @@ from spanloom.session import stash
 
 #: Whitespace of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows in an Arrow batch: texts are long, so few of them go to Python at once.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch: a batch of texts is closed by its bytes, one of numbers by its rows.
+ARROW_ROWS, ARROW_BYTES = 10_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -165,7 +165,7 @@ def links(nodes: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -> Data
 
     Two fingerprints within 3 bits agree on one of four 16-bit blocks. Each rotation brings one block to the top of the
     trie, where the budget is 0; below it is the full budget. Trie nodes at that depth are the unit of distribution. A
-    node with more than node_rows fingerprints is replaced by the pairs of its descendants 8 levels further down whose
+    node with more than node_rows fingerprints, about as many as a task holds, is replaced by the pairs of its descendants 8 levels further down whose
     prefixes are within the budget, again and again; as fingerprints are distinct this ends.
     """
     assert budget < BITS // BLOCK, "one block must stay exact"
@@ -213,7 +213,7 @@ def links(nodes: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -> Data
                 ids = c["id"][k]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * (BITS // BLOCK) // node_rows), 1)
     return tasks.select("id", "r", "v", "depth", "pa", "pb").repartition(n, *key).mapInArrow(run, "a long, b long")
 
 
