@@ -112,12 +112,17 @@ def reanchor(text: Column, start: Column, end: Column, surface: Column, window:
     A consistent or bare span stays. Of equally near ones the earlier wins; a surface with outer spaces is tried again
     without them.
     """
+    lo, hi = F.greatest(start - window, F.lit(0)), F.least(end + window, F.length(text))
+
     def place(x: Column) -> Column:
         n = F.length(x)
-        lo, hi = F.greatest(start - window, F.lit(0)), F.least(end + window, F.length(text))
-        at = F.filter(F.when(hi - n >= lo, F.sequence(lo, F.greatest(hi - n, lo))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i + 1, n) == x)
-        best = F.array_min(F.transform(at, lambda i: F.struct(F.abs(i - start).alias("d"), i.alias("i"))))
-        return F.when(best.isNotNull() & (n > 0), F.struct(best["i"].alias("start"), (best["i"] + n).alias("end")))
+
+        def nearest(near: Column) -> Column:  # the neighbourhood, so that long texts are cut once
+            at = F.filter(F.when(hi - n >= lo, F.sequence(F.lit(0), F.greatest(hi - n - lo, F.lit(0)))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(near, i + 1, n) == x)
+            best = F.array_min(F.transform(at, lambda i: F.struct(F.abs(lo + i - start).alias("d"), (lo + i).alias("i"))))
+            return F.when(best.isNotNull() & (n > 0), F.struct(best["i"].alias("start"), (best["i"] + n).alias("end")))
+
+        return bind(F.substring(text, lo + 1, F.greatest(hi - lo, F.lit(0))), nearest)
 
     same = F.struct(start.alias("start"), end.alias("end"))
     bare = F.trim(surface)

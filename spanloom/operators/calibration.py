@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,16 +16,14 @@ from spanloom.schema import IGNORE
 FLOOR, IOU = 0.05, 0.5
 
 
-def _greedy(d: pd.DataFrame) -> pd.DataFrame:
-    d = d.sort_values(["score", "iou", "p", "g"], ascending=[False, False, True, True], kind="stable")
-    ps, gs, keep = set(), set(), []
-    for p, g in zip(d["p"], d["g"], strict=True):
-        ok = p not in ps and g not in gs
-        keep.append(ok)
-        if ok:
-            ps.add(p)
-            gs.add(g)
-    return d.loc[keep, ["doc_id", "p", "g"]]
+def _greedy(pairs: list[dict]) -> list[dict]:
+    ps, gs, won = set(), set(), []
+    for x in sorted(pairs, key=lambda r: (-r["score"], -r["iou"], r["p"], r["g"])):
+        if x["p"] not in ps and x["g"] not in gs:
+            ps.add(x["p"])
+            gs.add(x["g"])
+            won.append({"p": x["p"], "g": x["g"]})
+    return won
 
 
 def candidates(preds: DataFrame, gold: DataFrame, typed: bool = False, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
@@ -39,8 +38,13 @@ def candidates(preds: DataFrame, gold: DataFrame, typed: bool = False, floor: fl
     if typed:
         j = j.where("label = b_label")
     j = j.withColumn("iou", prob.iou(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))).where(F.col("iou") >= IOU)
-    kind = preds.schema["doc_id"].dataType.simpleString()
-    won = j.select("doc_id", "p", "g", "score", "iou").groupBy("doc_id").applyInPandas(_greedy, f"doc_id {kind}, p int, g int")
+
+    @F.pandas_udf("array<struct<p: int, g: int>>")
+    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([_greedy(list(x)) for x in b])
+
+    won = j.groupBy("doc_id").agg(F.collect_list(F.struct("p", "g", "score", "iou")).alias("r")).select("doc_id", F.explode(pick("r")).alias("x")).select("doc_id", "x.*")
     free = overlap_join(overlap_join(pr, as_b(mg), how="left_anti"), as_b(gold.where(F.col("label") == IGNORE)), how="left_semi").select("doc_id", "p")
     out = pr.join(free, ["doc_id", "p"], "left_anti").join(won.select("doc_id", "p", F.lit(1).alias("target")), ["doc_id", "p"], "left")
     cover = mg.join(won.select("doc_id", "g", F.lit(1).alias("hit")), ["doc_id", "g"], "left").agg(F.count("*").alias("total_gold"), F.count_if(F.col("hit").isNull()).alias("uncovered"))

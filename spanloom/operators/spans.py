@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,30 +79,33 @@ def admit(detections: DataFrame, known: DataFrame, floor: float) -> DataFrame:
     return d.withColumn("status", F.when(F.col("_known").isNull(), "unknown_label").when(bad, "bad_bounds").when(F.col("score") < floor, "below_floor").otherwise("ok")).drop("_known")
 
 
-def _suppress(d: pd.DataFrame) -> pd.DataFrame:
-    d = d.sort_values(["score", "start", "end", "label"], ascending=[False, True, True, True], kind="stable")
-    kept: list[tuple[int, int]] = []
-    keep = []
-    for s, e in zip(d["start"], d["end"], strict=True):
-        ok = all(e <= a or s >= b for a, b in kept)
-        keep.append(ok)
-        if ok:
-            kept.append((s, e))
-    return d[keep]
+def _suppress(rows: list[dict]) -> list[dict]:
+    kept: list[dict] = []
+    for x in sorted(rows, key=lambda r: (-r["score"], r["start"], r["end"], r["label"])):
+        if all(x["end"] <= k["start"] or x["start"] >= k["end"] for k in kept):
+            kept.append(x)
+    return kept
 
 
 def suppress(preds: DataFrame) -> DataFrame:
     """Greedy non-maximum suppression in each document: best score first, what overlaps a kept span goes.
 
-    Order-dependent, hence a document a group; only groups of overlapping spans are handed to Python.
+    Order-dependent, hence Python over arrays in Arrow batches; only groups of overlapping spans are handed over.
     """
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     p = preds.select("doc_id", "start", "end", "label", "score").withColumn("_new", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
-    p = p.withColumn("_island", F.sum("_new").over(order)).withColumn("_size", F.count("*").over(Window.partitionBy("doc_id", "_island")))
-    alone = p.where("_size = 1").select("doc_id", "start", "end", "label", "score")
-    many = p.where("_size > 1").groupBy("doc_id", "_island").applyInPandas(_suppress, p.schema)
-    return alone.unionByName(many.select("doc_id", "start", "end", "label", "score"))
+    p = p.withColumn("_island", F.sum("_new").over(order))
+    row = F.struct("start", "end", "label", "score")
+    g = p.groupBy("doc_id", "_island").agg(F.collect_list(row).alias("s"))
+
+    @F.pandas_udf(g.schema["s"].dataType)
+    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([_suppress(list(x)) for x in b])
+
+    alone, many = g.where(F.size("s") == 1), g.where(F.size("s") > 1).withColumn("s", pick("s"))
+    return alone.unionByName(many).select("doc_id", F.explode("s").alias("x")).select("doc_id", "x.*")
 
 
 def kept_overlaps(spans: DataFrame) -> DataFrame:
@@ -109,12 +115,10 @@ def kept_overlaps(spans: DataFrame) -> DataFrame:
     return s.groupBy("doc_id").agg(F.coalesce(F.sum("_over"), F.lit(0)).cast("long").alias("overlapping"))
 
 
-def _convex(d: pd.DataFrame) -> int:
+def _convex(runs: list[dict]) -> int:
     """Largest one-to-one matching of predictions with the runs lo..hi of the gold spans each overlaps."""
-    import heapq
-
     waiting: list[int] = []
-    rows, i, n = sorted(zip(d["lo"], d["hi"], strict=True)), 0, 0
+    rows, i, n = sorted((r["lo"], r["hi"]) for r in runs), 0, 0
     if not rows:
         return 0
     g = rows[0][0]
@@ -153,11 +157,12 @@ def matched_counts(preds: DataFrame, gold: DataFrame, typed: bool, mode: str) ->
         span = pairs.groupBy("doc_id", *(["label"] if typed else []), "_p").agg(F.min("_g").alias("lo"), F.max("_g").alias("hi"))
         group = ["doc_id", *(["label"] if typed else [])]
 
-        def count(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"doc_id": [key[0]], "tp": [_convex(d)]})
+        @F.pandas_udf("long")
+        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield pd.Series([_convex(list(x)) for x in b])
 
-        kind = preds.schema["doc_id"].dataType.simpleString()
-        tp = span.groupBy(*group).applyInPandas(count, f"doc_id {kind}, tp long").groupBy("doc_id").agg(F.sum("tp").alias("tp"))
+        tp = span.groupBy(*group).agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("doc_id", count("r").alias("tp")).groupBy("doc_id").agg(F.sum("tp").alias("tp"))
     ign = as_b(gold.where(F.col("label") == IGNORE))
     bare = overlap_join(preds, as_b(mg), how="left_anti")
     free = overlap_join(bare, ign, how="left_semi").groupBy("doc_id").agg(F.count("*").alias("free"))

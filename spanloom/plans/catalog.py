@@ -43,9 +43,8 @@ def rounded(d: DataFrame, *cols: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, system: str = "a") -> tuple[DataFrame, DataFrame]:
     """(runs with bin and lengths, gold); the runs are stored, as several aggregates read them."""
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    return leak.labelled_runs(leak.run_bins(r.select("doc_id", "idx", "start", "end"), demo.preds_of(r, g, system)), g), g
+    r, g, p = demo.world(spark, sf, system)
+    return leak.labelled_runs(leak.run_bins(r, p), g), g
 
 
 def hist(spark: SparkSession, sf: str, system: str = "a") -> DataFrame:
@@ -266,9 +265,8 @@ def deduped_spans(spark, sf):
 @query(f"""WITH {GOLD}, {preds_sql('a')}, {preds_sql('b', 'more')}, d AS (SELECT *, 0 win FROM preds UNION ALL SELECT *, 1 FROM more), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, "start", "end", label ORDER BY score DESC, win) n FROM d)
 SELECT doc_id, "start", "end", label, score, win::BIGINT win FROM r WHERE n = 1""")
 def stitched(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    d = demo.preds_of(r, g, "a").withColumn("win", F.lit(0)).unionByName(demo.preds_of(r, g, "b").withColumn("win", F.lit(1))).withColumn("pos", F.lit(0))
+    r, g, p = demo.world(spark, sf)
+    d = p.withColumn("win", F.lit(0)).unionByName(demo.preds_of(r, g, "b").withColumn("win", F.lit(1))).withColumn("pos", F.lit(0))
     return spans.stitch(d).drop("pos")
 
 
@@ -286,16 +284,15 @@ def suppressed(spark, sf):
 @query(f"""WITH {GOLD}, {preds_sql('a')}, m AS (SELECT p.doc_id, p."start", p."end", g.label, least(p."end", g."end") - greatest(p."start", g."start") o FROM preds p JOIN gold g ON p.doc_id = g.doc_id AND p."start" < g."end" AND p."end" > g."start")
 SELECT doc_id, "start", "end", arg_max(label, (o, 1e0, label)) label FROM m GROUP BY doc_id, "start", "end" """)
 def best_overlap_label(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    return spans.best_overlap(demo.preds_of(r, g, "a").select("doc_id", "start", "end"), g.withColumn("score", F.lit(1.0)))
+    r, g, p = demo.world(spark, sf)
+    return spans.best_overlap(p.select("doc_id", "start", "end"), g.withColumn("score", F.lit(1.0)))
 
 
 @query(f"""WITH {GOLD}, {preds_sql('a')}, w AS (SELECT p.doc_id, p."start", p."end", least(p."start", min(r."start")) wide_start, greatest(p."end", max(r."end")) wide_end FROM (SELECT DISTINCT doc_id, "start", "end" FROM preds) p JOIN runs r ON p.doc_id = r.doc_id AND p."start" < r."end" AND p."end" > r."start" GROUP BY p.doc_id, p."start", p."end")
 SELECT doc_id, count(DISTINCT (wide_start, wide_end)) n, sum(wide_start)::BIGINT s, sum(wide_end)::BIGINT e FROM w GROUP BY doc_id""")
 def expanded_to_words(spark, sf):
-    r = demo.runs(spark, sf)
-    w = leak.expanded(demo.preds_of(r, demo.gold_of(r), "a").select("doc_id", "start", "end").distinct(), r)
+    r, _, p = demo.world(spark, sf)
+    w = leak.expanded(p.select("doc_id", "start", "end").distinct(), r)
     return w.groupBy("doc_id").agg(F.countDistinct("wide_start", "wide_end").alias("n"), F.sum("wide_start").alias("s"), F.sum("wide_end").alias("e"))
 
 
@@ -306,17 +303,15 @@ c AS (SELECT coalesce(tp, 0) tp, coalesce(np.n, 0) - coalesce(tp, 0) - coalesce(
 s AS (SELECT sum(tp)::BIGINT tp, sum(fp)::BIGINT fp, sum(fn)::BIGINT fn FROM c)
 SELECT tp, fp, fn, round(tp / (tp + fp), 6) "precision", round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fp + fn), 6) f1 FROM s""")
 def span_prf_strict(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    c = spans.matched_counts(demo.preds_of(r, g, "a").where("score >= 0.5").select("doc_id", "start", "end", "label"), g, True, "strict")
+    r, g, p = demo.world(spark, sf)
+    c = spans.matched_counts(p.where("score >= 0.5").select("doc_id", "start", "end", "label"), g, True, "strict")
     return rounded(spans.prf(c), "precision", "recall", "f1")
 
 
 @query()
 def span_prf_partial(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    c = spans.matched_counts(demo.preds_of(r, g, "a").where("score >= 0.5").select("doc_id", "start", "end", "label"), g, False, "partial")
+    r, g, p = demo.world(spark, sf)
+    c = spans.matched_counts(p.where("score >= 0.5").select("doc_id", "start", "end", "label"), g, False, "partial")
     return rounded(spans.prf(c), "precision", "recall", "f1")
 
 
@@ -324,16 +319,14 @@ def span_prf_partial(spark, sf):
 j AS (SELECT coalesce(p.label, g.label) label, p.doc_id x, g.doc_id y FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p."start" = g."start" AND p."end" = g."end" AND p.label = g.label)
 SELECT label, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) tp, count(*) FILTER (y IS NULL) fp, count(*) FILTER (x IS NULL) fn FROM j GROUP BY label""")
 def typed_counts(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    return spans.typed_counts(demo.preds_of(r, g, "a").where("score >= 0.5"), g)
+    r, g, p = demo.world(spark, sf)
+    return spans.typed_counts(p.where("score >= 0.5"), g)
 
 
 @query(f"""WITH {GOLD}, {preds_sql('a')}, b AS (SELECT doc_id, "start", "end", arg_max(label, (score, label)) said FROM preds GROUP BY ALL) SELECT count(*) n, count(said) matched, count(*) FILTER (said = label) AS "right" FROM gold LEFT JOIN b USING (doc_id, "start", "end")""")
 def gold_typing(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    return spans.gold_typing(demo.preds_of(r, g, "a"), g)
+    r, g, p = demo.world(spark, sf)
+    return spans.gold_typing(p, g)
 
 
 # Splits and samples --------------------------------------------------------------------------------------------------
@@ -526,9 +519,8 @@ _SD = f"sd AS (SELECT l.doc_id, d.lang label, floor(({u('doc', 'l.doc_id')} * 0.
 
 @query()
 def calibration_candidates(spark, sf):
-    r = demo.runs(spark, sf)
-    g = demo.gold_of(r)
-    return calibration.candidates(demo.preds_of(r, g, "a"), g)[0]
+    r, g, p = demo.world(spark, sf)
+    return calibration.candidates(p, g)[0]
 
 
 @query(f"WITH {_SD} SELECT label, round(avg((score - target) ** 2), 6) brier FROM sd GROUP BY label")
@@ -626,9 +618,9 @@ def max_sim_other_label(spark, sf):
 # Questions and answers -----------------------------------------------------------------------------------------------
 
 
-def _gold_raw(spark, sf):
+def _gold_raw(spark, sf, runs=None):
     """Gold with native labels by draw, the held-out one among them."""
-    g = demo.gold(spark, sf)
+    g = demo.gold_of(runs if runs is not None else demo.runs(spark, sf))
     raw = demo.named(F.least(F.lit(len(_NEMO) - 1), F.floor(prob.unit("raw", F.col("doc_id"), F.col("idx")) * len(_NEMO))), _NEMO)
     return g.select("doc_id", "idx", "start", "end", "label", raw.alias("raw"))
 
@@ -642,8 +634,8 @@ def document_questions(spark, sf):
 
 @query()
 def span_questions(spark, sf):
-    r = demo.runs(spark, sf)
-    g = _gold_raw(spark, sf)
+    r = stash(demo.runs(spark, sf).select("doc_id", "idx", "start", "end"), "runs")
+    g = stash(_gold_raw(spark, sf, r), "gold")
     held = spark.createDataFrame([("cvv",), ("ipv6",)], "raw string")
     labels = spark.createDataFrame([(x, taxonomy.NODE_OF.get(x, x)) for x in _NEMO], "raw string, node string")
     fit = taxonomy.compatible_pairs(labels, taxonomy.label_closure(taxonomy.label_tree(spark)))
@@ -751,8 +743,7 @@ def crf_path(spark, sf):
 
 @query()
 def propagated(spark, sf):
-    r = demo.runs(spark, sf)
-    return detect.propagate(documents(spark, sf), demo.preds_of(r, demo.gold_of(r), "a"))
+    return detect.propagate(documents(spark, sf), demo.world(spark, sf)[2])
 
 
 # Series and totals ---------------------------------------------------------------------------------------------------

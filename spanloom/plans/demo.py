@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.prob import unit
 from spanloom.functions.text import word_runs
 from spanloom.schema import OUTCOMES, PII_TYPES
-from spanloom.session import table
+from spanloom.session import stash, table
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,13 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return word_runs(documents(spark, sf))
 
 
+def world(spark: SparkSession, sf: str, system: str = "a") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, gold, predictions), each stored once, as queries read them several times."""
+    r = stash(runs(spark, sf).select("doc_id", "idx", "start", "end"), "runs")
+    g = stash(gold_of(r), "gold")
+    return r, g, stash(preds_of(r, g, system), "preds")
+
+
 def _u(salt: str) -> Column:
     return unit(salt, F.col("doc_id"), F.col("idx"))
 

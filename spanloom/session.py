@@ -22,8 +22,16 @@ def local_session(cores: int | str = 8, app: str = "spanloom", memory: str = "8g
     )
 
 
+#: Tables with long texts: what is done to a row costs far more than to move it.
+LONG_TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one of long texts, with fewer splits than there are cores, is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in LONG_TEXTS and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
