@@ -30,6 +30,7 @@ WORD = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)")
 TAG = re.compile(r"<[^>]*>")
 DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+TAG_OF = re.compile(r"(?i)<(?:html|meta)\b[^>]*")
 META = re.compile(r"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})")
 
 
@@ -84,14 +85,24 @@ def fit(sample: list[tuple[str, str]], langs: tuple[str, ...]) -> CharModel:
     return CharModel(langs, {g: i for i, g in enumerate(grams)}, m)
 
 
-def page_text(source: str) -> str:
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", source)))
+def shown(source: str) -> str:
+    """A page without comments, scripts and styles, which hold neither text nor tags."""
+    return HIDDEN.sub(" ", source)
 
 
-def declared(source: str) -> str | None:
-    head = source[:4096]
-    m = DECLARED.search(head) or META.search(head)
-    return m[1].lower() if m else None
+def page_text(tags: str) -> str:
+    return html.unescape(TAG.sub(" ", tags))
+
+
+def declared(tags: str) -> str | None:
+    """Language that a tag of shown() declares, wherever it stands; the html tag goes before meta tags."""
+    meta = None
+    for m in TAG_OF.finditer(tags):
+        if found := DECLARED.match(m[0]):
+            return found[1].lower()
+        if meta is None and (found := META.match(m[0])):
+            meta = found[1].lower()
+    return meta
 
 
 def evidence(rows: DataFrame, model: CharModel) -> DataFrame:
@@ -104,7 +115,7 @@ def evidence(rows: DataFrame, model: CharModel) -> DataFrame:
         for bodies, marks in batches:
             out = []
             for body, mark in zip(bodies, marks, strict=True):
-                body = body or ""
+                body = shown(body or "") if mark else body or ""
                 said = declared(body) if mark else None
                 words = WORD.findall((page_text(body) if mark else body).lower())
                 total = np.zeros(len(model.langs) or 1)

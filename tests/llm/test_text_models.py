@@ -204,6 +204,15 @@ def test_evidence_without_text(spark):
     assert got[91].lang in ("de", "en")
 
 
+@pytest.mark.parametrize("before", ["<!-- " + "x" * 10_000 + " -->", "<script>" + "x < 1; " * 2_000 + "</script>", "<meta name=a content=b>" * 500, "<!-- <html lang=fr> -->"])
+@pytest.mark.parametrize("tag", ["<html lang=de>", "<meta http-equiv='content-language' content='de'>"])
+def test_declaration_anywhere_in_a_page(spark, before, tag):
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, (t, x) in enumerate([("the house", "en"), ("das haus", "de")] * 5)], SCHEMA)
+    web = spark.createDataFrame([(1, "http://a.b.de/x", f"{before}{tag}<p>das haus</p>")], "page_id long, url string, html string")
+    got = langid.identify(docs, web).where("page_id is not null").first()
+    assert (got.declared, got.n_words) == ("de", 2)
+
+
 def test_language_edges(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     got = langid.identify(clashing(frame(spark)), none).collect()
