@@ -107,6 +107,14 @@ def trie_links(f: np.ndarray, budget: int, exact_bits: int = 0, sides: tuple[int
     if m < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     left, right, depth, rep, root = _trie(f)
+
+    def across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not sides:
+            return np.ones(len(a), bool)
+        cut, pa_, pb_ = np.uint64(BITS - sides[0]), *(np.uint64(x % (1 << BITS)) for x in sides[1:])
+        p, q = f[a] >> cut, f[b] >> cut
+        return ((p == pa_) & (q == pb_)) | ((p == pb_) & (q == pa_))
+
     ends: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     stack = [(np.array([root]), np.array([root]))]
@@ -137,8 +145,10 @@ def trie_links(f: np.ndarray, budget: int, exact_bits: int = 0, sides: tuple[int
             a, b = a[ok], b[ok]
             done = (depth[a] == BITS) & (depth[b] == BITS)
             if done.any():
-                ends.append((a[done], b[done]))
-                held += int(done.sum())
+                # a forest stands for its links only if all of them count
+                counts = across(a[done], b[done])
+                ends.append((a[done][counts], b[done][counts]))
+                held += int(counts.sum())
                 if held > HELD:
                     lab = _forest(m, *(np.concatenate(x) for x in zip(*ends, strict=True)))
                     i = np.flatnonzero(lab != np.arange(m))
@@ -150,11 +160,6 @@ def trie_links(f: np.ndarray, budget: int, exact_bits: int = 0, sides: tuple[int
     if not ends:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
-    if sides:
-        cut, pa_, pb_ = np.uint64(BITS - sides[0]), *(np.uint64(x % (1 << BITS)) for x in sides[1:])
-        p, q = f[a] >> cut, f[b] >> cut
-        ok = ((p == pa_) & (q == pb_)) | ((p == pb_) & (q == pa_))
-        a, b = a[ok], b[ok]
     lab = _forest(m, a, b)
     i = np.flatnonzero(lab != np.arange(m))
     return i, lab[i]

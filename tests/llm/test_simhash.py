@@ -91,6 +91,36 @@ def test_wide_nodes_are_split(spark):
     assert forest_groups(len(f), np.array(i), np.array(j)) == forest_groups(len(f), *(np.array(x) for x in zip(*near)))
 
 
+def test_split_nodes_keep_links_that_are_folded(spark, monkeypatch):
+    """u1 and u2 under one prefix are 6 bits apart and meet by v under the other alone; links on one side are folded too."""
+    monkeypatch.setattr(simhash, "HELD", 4)
+    v = 0xABCD80 << 40
+    u = [0xABCD00 << 40 | 3, 0xABCD00 << 40 | 3 << 20]
+    f = np.array(sorted([v, *u, *(u[0] ^ 1 << b for b in range(30, 38)), *(v ^ 1 << b for b in range(30, 38))]), np.uint64)
+    side = f >> np.uint64(40)
+    near = [(a, b) for a in range(len(f)) for b in range(a) if side[a] != side[b] and bin(int(f[a]) ^ int(f[b])).count("1") <= 3]
+    want = forest_groups(len(f), *(np.array(x, int) for x in zip(*near)))
+    assert forest_groups(len(f), *simhash.trie_links(f, 3, 16, (24, 0xABCD00, 0xABCD80))) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wide_nodes_with_folded_links(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    f = sorted({0x1BCD << 48 | r.getrandbits(14) << r.choice([0, 20, 34]) for _ in range(300)})
+    f = np.array(f, np.uint64)
+    near = [(a, b) for a in range(len(f)) for b in range(a) if bin(int(f[a]) ^ int(f[b])).count("1") <= 3]
+    for held in (1, 50):
+        monkeypatch.setattr(simhash, "HELD", held)
+        for x, y in {(int(f[a]) >> 40, int(f[b]) >> 40) for a, b in near}:
+            x, y = min(x, y), max(x, y)
+            sides = [{int(f[a]) >> 40, int(f[b]) >> 40} == {x, y} for a, b in near]
+            part = np.flatnonzero(np.isin(f >> np.uint64(40), [x, y]))
+            at = {k: i for i, k in enumerate(part.tolist())}
+            pairs = [(at[a], at[b]) for (a, b), ok in zip(near, sides) if ok]
+            want = forest_groups(len(part), *(np.array(z, int) for z in zip(*pairs)))
+            assert forest_groups(len(part), *simhash.trie_links(f[part], 3, 16, (24, x, y))) == want
+
+
 def test_keep_one(spark):
     rows = texts()
     kept = [r.doc_id for r in simhash.keep_one(frame(spark)).collect()]
