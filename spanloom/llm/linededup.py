@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import SPACES, components, small_batches
 from spanloom.session import stash
 
-#: Edits allowed at most, characters of a line for each edit it may have, and shortest line that takes part.
-MAX_EDITS, CHARS_PER_EDIT, MIN_CHARS = 2, 20, 20
+#: Edits allowed at most, characters of a line for each edit it may have, and shortest line that takes part: blank ones don't.
+MAX_EDITS, CHARS_PER_EDIT, MIN_CHARS = 2, 20, 1
 #: Rows up to which a table of keys or line ids is broadcast (8 to 16 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a key beyond which its lines meet by spread(), characters of a cell there, and hashes that a task remembers.
@@ -83,7 +83,7 @@ def windows(size: int) -> list[tuple[int, int, int]]:
     for delta in range(MAX_EDITS + 1):
         short = size - delta
         tau = budget(short)
-        if short < MIN_CHARS or delta > tau:
+        if not tau or delta > tau:
             continue
         base, extra = divmod(short, tau + 1)
         for i in range(tau + 1):
@@ -215,7 +215,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, line, class_doc_id, class_line, n_lines, removed) for every line whose class has two lines or more.
 
     A class is what exact copies and links within the edit budget reach. Its first line, by (doc_id, line), stays; the
-    others are removed. Lines are compared with whitespace folded; those under MIN_CHARS characters never take part.
+    others are removed. Lines are compared with whitespace folded. Blank ones never take part; those under CHARS_PER_EDIT
+    characters have no edits and count as copies only if equal.
     Line numbers count from 0. Null texts have no lines; rows without doc_id neither remove nor lose lines; repeated
     rows of one doc_id count as one document, whose equal lines at one place are one line. Empty table: no rows.
     """

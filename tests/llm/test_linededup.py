@@ -110,6 +110,12 @@ def test_chain_of_edits_is_one_class(spark):
     assert {(r.class_doc_id, r.n_lines) for r in got} == {(0, 7)} and len(got) == 7
 
 
+def test_short_lines_repeat(spark):
+    rows = [(i, f"words of text number {i} alone\n{x}\n \n", None, None, None) for i, x in enumerate(["Share", " Share\t", "share", "x", "x", "Read  more", "Read more"])]
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.removed) for r in linededup.line_classes(spark.createDataFrame(rows, SCHEMA)).collect() if r.line}
+    assert got == {(0, 1): (0, False), (1, 1): (0, True), (3, 1): (3, False), (4, 1): (3, True), (5, 1): (5, False), (6, 1): (5, True)}
+
+
 def test_drop_lines(spark):
     rows = [(1, "a line that is long enough to count\nown words of the first", "en", "s", 1), (2, "a line that is long enough to count\nshort\nother words of the second text", "en", "s", 1), (3, "a line that is long enough to count", "en", "s", 1), (4, None, None, None, None), (5, "", "en", "s", 0)]
     got = {r.doc_id: (r.text, r.n_chars) for r in linededup.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
