@@ -18,6 +18,8 @@ from spanloom.llm.common import small_batches
 INSULTS = frozenset("bastard clown cretin disgusting dumb fool idiot imbecile loser moron pathetic pig scum stupid trash vermin worthless".split())
 THREATS = frozenset("burn crush destroy hurt kill murder punish shoot smash strangle".split())
 TARGETS = frozenset("he her him people she their them they this those u you your yours".split())
+YOU = frozenset("u you your yours".split())
+LINKS = frozenset("am are be been being is was were".split())
 NEGATIONS = frozenset("aren't isn't never nobody not wasn't".split())
 REPORTS = frozenset("allegedly called calls claimed claims quote quoted quotes reported said says".split())
 
@@ -26,6 +28,8 @@ SAMPLE_ROWS = 1500
 #: Stems that chance alone may bring in (this sets how many toxic documents a stem must cover), and the least share of
 #: toxic documents among those that a stem is in, as if labels were balanced.
 CHANCE, PRECISION = 0.05, 0.985
+#: Share of toxic documents among those with a seed insult, taken from so many documents before any is counted.
+SEED_SHARE, SEED_DOCS = 0.8, 4
 #: Weight of a match by context, and scale of the sum of weights in the score.
 NEGATED, REPORTED, TARGETED, SCALE = 0.25, 0.45, 1.25, 1.3
 
@@ -35,10 +39,17 @@ CLAUSE = re.compile(r"[^.!?;:\n]+")
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Whole words and word beginnings with weights in (0, 1]; a word takes the heaviest that fits."""
+    """Whole words and word beginnings with weights in (0, 1]; a word takes the heaviest that fits.
+
+    aimed: words that have a clean sense as well and weigh only by a target, unless a stem fits too.
+    """
 
     words: dict[str, float]
     stems: dict[str, float]
+    aimed: frozenset[str] = frozenset()
+
+    def alone(self, word: str) -> bool:
+        return word not in self.aimed or any(word[:n] in self.stems for n in self.lengths)
 
     def weight(self, word: str) -> float:
         best = self.words.get(word, 0.0)
@@ -85,6 +96,7 @@ def fit(sample: list[tuple[str, int]]) -> Lexicon:
     often = sum(v >= 3 for v in held.values())
     support = max(3, math.ceil(math.log((often + 1) / CHANCE) / -math.log(q)))
     inside: dict[str, set[int]] = {k: set() for k, v in held.items() if v >= support}
+    seeds = {w + "$": held[w + "$"] for w in INSULTS}
     del held
     for i, (text, toxic) in enumerate(sample):
         if toxic:
@@ -94,11 +106,19 @@ def fit(sample: list[tuple[str, int]]) -> Lexicon:
     clean: Counter[str] = Counter()
     for text, toxic in sample:
         if not toxic:
-            clean.update(k for k in beginnings(text) if k in inside)
+            clean.update(k for k in beginnings(text) if k in inside or k in seeds)
     prior = (n[1] + 1) / (n[0] + 1)
     share = {k: (len(v) + 0.1) / (len(v) + 0.1 + prior * clean[k]) for k, v in inside.items()}  # as if labels were balanced
     left = {k: v for k, v in inside.items() if share[k] >= PRECISION}
-    words, stems = dict.fromkeys(INSULTS, 0.6), {}
+    words, stems, proven = {}, {}, set()
+    # by the same bound as stems, but of these few words alone
+    enough = max(3, math.ceil(math.log((len(seeds) + 1) / CHANCE) / -math.log(q)))
+    for k, v in seeds.items():
+        if v >= enough and (v + 0.1) / (v + 0.1 + prior * clean[k]) >= PRECISION:
+            proven.add(k)
+        w = 2 * (SEED_DOCS * SEED_SHARE + v) / (SEED_DOCS + v + prior * clean[k]) - 1
+        if w > 0:
+            words[k.rstrip("$")] = w
     todo = {i for i, (_, t) in enumerate(sample) if t}
     gone: set[str] = set()
     while left:
@@ -118,7 +138,7 @@ def fit(sample: list[tuple[str, int]]) -> Lexicon:
     for k in gone:
         w = min(1.0, max(0.3, 2 * share[k] - 1))
         (words if k.endswith("$") else stems)[k.rstrip("$")] = w
-    return Lexicon(words, stems)
+    return Lexicon(words, stems, frozenset(words) - {k.rstrip("$") for k in proven | gone})
 
 
 class Grammar:
@@ -126,7 +146,8 @@ class Grammar:
 
     tag: word to symbol (insult with its weight, threat, target, negation, report, other).
     scope: counts down how long a negation reaches and whether speech is reported; multiplies the weight.
-    aim: an insult by a target, or a threat that a target follows; a threat without one has no weight.
+    aim: an insult by a target, or a threat that a target follows; a threat without one has no weight, nor has an insult
+    of the lexicon's aimed words without a second person before or after it, or a target and a link verb before it.
     """
 
     REACH, AIM = 3, 4
@@ -144,11 +165,26 @@ class Grammar:
 
     def clause(self, words: list[str]) -> float:
         total, negation, reported, target, threat = 0.0, 0, False, 99, None
-        for w in words:
+        you, linked, waiting = 99, 99, []
+        for i, w in enumerate(words):
+            # you're, they're, he's
+            name, _, verb = w.replace("’", "'").partition("'")
+            you = 0 if name in YOU else you + 1
+            if you == 0:
+                total += sum(x for at, x in waiting if i - at <= self.AIM)
+                waiting = []
+            linked += 1
+            if target <= self.AIM and w in LINKS or name in TARGETS and verb in ("re", "s"):
+                linked = 0
             symbol, weight = self.tag(w)
             scope = (NEGATED if negation else 1.0) * (REPORTED if reported else 1.0)
             target += 1
-            if symbol == "insult":
+            if symbol == "insult" and not self.lexicon.alone(w):
+                if min(you, linked) <= self.AIM:
+                    total += weight * scope * TARGETED
+                else:
+                    waiting.append((i, weight * scope))
+            elif symbol == "insult":
                 total += weight * scope * (TARGETED if target <= self.AIM else 1.0)
             elif symbol == "threat":
                 threat = (self.AIM, weight * scope)

@@ -38,6 +38,24 @@ def test_grammar_contexts():
     assert "Fine. You idiot! Fine."[a:b].strip() == "You idiot"
 
 
+def test_seed_insults_need_a_target():
+    g = toxicity.Grammar(toxicity.fit([]))
+    s = lambda t: g.score(t)[0]
+    for clean in ("The farmer sold a pig at the fair.", "Take out the trash. The clown waved. A fool and his money.", "She fed the pig and he took the trash out."):
+        assert s(clean) == 0, clean
+    for toxic in ("You pig!", "You are trash.", "you're such a loser", "They are scum.", "he is a complete moron", "Pathetic, all of you."):
+        assert s(toxic) >= 0.3, toxic
+
+
+def test_seed_insults_are_weighed_by_labels():
+    rows = [("the pig ate", 0)] * 20 + [(f"you moron number {i}", 1) for i in range(2)]
+    lex = toxicity.fit(rows)
+    assert "pig" not in lex.words and lex.words["moron"] > toxicity.fit([]).words["moron"] == pytest.approx(0.6)
+    assert toxicity.Grammar(lex).score("you pig")[0] == 0
+    lex = toxicity.fit([(f"clean words {i}", 0) for i in range(90)] + [("some trash here", 1)] * 6)
+    assert lex.alone("trash") and not lex.alone("pig")
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     lex = toxicity.learn(frame(spark), none)
