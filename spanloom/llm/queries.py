@@ -41,7 +41,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_classes(table(spark, sf_dir, "documents"))
+    return linededup.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

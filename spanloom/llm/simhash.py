@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, small_batches
+from spanloom.llm.common import components, fresh, small_batches
 from spanloom.session import stash
 
 BITS, BLOCK = 64, 16
@@ -43,15 +44,17 @@ def _ones(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document; texts are read whole, null counts as empty."""
+    """(doc_id, fp, digest): one row per document; texts are read whole, null counts as empty; digest is the text's MD5."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, b.num_rows)
+            sums = [hashlib.md5((t or "").encode("utf-8", "replace"), usedforsecurity=False).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(sums, pa.binary())], ["doc_id", "fp", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
 def _trie(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -170,8 +173,9 @@ def links(nodes: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -> Data
 
     Two fingerprints within 3 bits agree on one of four 16-bit blocks. Each rotation brings one block to the top of the
     trie, where the budget is 0; below it is the full budget. Trie nodes at that depth are the unit of distribution. A
-    node with more than node_rows fingerprints, about as many as a task holds, is replaced by the pairs of its descendants 8 levels further down whose
-    prefixes are within the budget, again and again; as fingerprints are distinct this ends.
+    node with more than node_rows fingerprints, about as many as a task holds, is replaced by the pairs of its
+    descendants 8 levels further down whose prefixes are within the budget, again and again; as fingerprints are
+    distinct this ends.
     """
     assert budget < BITS // BLOCK, "one block must stay exact"
     spark = nodes.sparkSession
@@ -222,23 +226,48 @@ def links(nodes: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -> Data
     return tasks.select("id", "r", "v", "depth", "pa", "pb").repartition(n, *key).mapInArrow(run, "a long, b long")
 
 
+def clusters(fps: DataFrame, budget: int = 3) -> DataFrame:
+    """(fp, cluster, component_id): distinct fingerprints with their component and the least doc_id of its rows."""
+    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    comp = components(links(nodes.select(F.col("fp").alias("id"), "fp"), budget)).withColumnRenamed("id", "fp")
+    named = stash(nodes.join(comp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("cluster"), "first"), "clusters")
+    return named.join(named.groupBy("cluster").agg(F.min("first").alias("component_id")), "cluster").select("fp", "cluster", "component_id")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
-    Equal fingerprints are folded into one node before the join, so copies of any number cost one row. Null texts and
-    texts without words have fingerprint 0 and link like any other. A row without doc_id is returned with the component
-    of its fingerprint; it can't name a component. Repeated rows are returned as often as they come; other columns are
-    ignored. Empty table: no rows.
+    Nodes are the distinct fingerprints, so copies of any number cost one row, and components are sets of fingerprints:
+    rows belong together by their texts alone. Two rows of one doc_id are two rows; they share a component only if their
+    texts do. component_id is the least doc_id among a component's rows, null if none has an id. Null texts and texts
+    without words have fingerprint 0 and link like any other. Repeated rows are returned as often as they come; other
+    columns are ignored. Empty table: no rows.
     """
-    fps = stash(fingerprints(docs, shingle), "fingerprints")
-    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    comp = components(links(nodes.where("id is not null"), budget))
-    named = nodes.join(comp, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps = stash(fingerprints(docs, shingle).drop("digest"), "fingerprints")
+    return fps.join(clusters(fps, budget), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, with all columns; rows without doc_id stay."""
-    found = near_duplicates(docs)
-    gone = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component, with all columns: the first by doc_id (rows without one come last), then by the text's MD5.
+
+    Rows are told apart by doc_id and text, so a doc_id that repeats with another text loses nothing that isn't kept in
+    some near-duplicate; of rows alike in both one stays. Null, empty and wordless texts are one group. Empty table: no rows.
+    """
+    fps = stash(fingerprints(docs), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    rows = fps.join(clusters(fps), "fp").select("cluster", row.alias("row"))
+    first = rows.groupBy("cluster").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = stash(rows.join(first, "cluster").select("row", (F.col("row") == F.col("first")).alias("stays")), "copies")
+    gone = rows.where("not stays").select("row.doc_id", "row.digest").distinct()
+    twice = stash(rows.where("stays").groupBy("row").count().where("count > 1").select("row.doc_id", "row.digest"), "repeated")
+    digest = fresh(docs, "digest")
+    d = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+    def same(keys: DataFrame):
+        return F.col("doc_id").cast("long").eqNullSafe(keys["of_id"]) & (F.col(digest) == keys["of_digest"])
+
+    gone, twice = (k.toDF("of_id", "of_digest") for k in (gone, twice))
+    d = d.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        d = d.join(twice, same(twice), "left_anti").unionByName(d.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", digest]))
+    return d.select(*docs.columns)

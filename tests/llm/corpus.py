@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASH = ("score", "size", "w", "h", "n", "key", "class", "p", "rank", "row", "kept", "start")
+CLASH = ("score", "size", "w", "h", "n", "key", "class", "p", "rank", "row", "kept", "start", "t", "_t", "gone", "_gone", "_toxic", "digest", "_digest", "_id", "_e", "_words", "_lines")
 
 
 def prose(r: random.Random, n: int) -> str:

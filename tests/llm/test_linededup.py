@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 
 from spanloom.llm import linededup
 
@@ -36,9 +37,13 @@ def norm(x):
     return re.sub(" +", " ", re.sub("[\t\x0b\x0c\r]", " ", x)).strip(" ")
 
 
+def text_hash(t):
+    return linededup.signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
+
+
 def brute(rows):
-    places = sorted({(i, k, norm(x)) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n")) if len(norm(x)) >= linededup.MIN_CHARS})
-    names = sorted({p[2] for p in places})
+    places = sorted({(i, text_hash(t), k, norm(x)) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n")) if len(norm(x)) >= linededup.MIN_CHARS})
+    names = sorted({p[3] for p in places})
     group = {x: x for x in names}
 
     def root(x):
@@ -51,9 +56,9 @@ def brute(rows):
             if a < b and abs(len(a) - len(b)) <= 2 and lev(a, b) <= linededup.budget(min(len(a), len(b))):
                 group[root(a)] = root(b)
     by = {}
-    for i, k, x in places:
-        by.setdefault(root(x), []).append((i, k))
-    return sorted((i, k, *min(v), len(v), (i, k) != min(v)) for v in by.values() if len(v) > 1 for i, k in v)
+    for *at, x in places:
+        by.setdefault(root(x), []).append(tuple(at))
+    return sorted((*at, min(v)[0], min(v)[2], len(v), at != min(v)) for v in by.values() if len(v) > 1 for at in v)
 
 
 def edited(seed):
@@ -97,12 +102,44 @@ def test_large_groups(spark):
         rows.append((i, "".join(c), None, None, None))
     docs = spark.createDataFrame(rows, SCHEMA)
     lines = linededup.read(docs)
-    places = lines.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("line").alias("line"), F.count("*").alias("n"))
-    one, two = ({(x.a, x.b) for x in linededup.similar(docs, lines, places, g).collect()} for g in (10**9, 0))
+    places = lines.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t"), F.min("line").alias("line"), F.count("*").alias("n"))
+    def groups(g):
+        links = [(x.a, x.b) for x in linededup.similar(docs, lines, places, g).collect()]
+        label = {x: x for e in links for x in e}
+        for _ in label:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    one, two = groups(10**9), groups(0)
     assert one == two and len(one) > 5
     assert sorted(tuple(x) for x in linededup.line_classes(docs).collect()) == brute(rows)
 
 
+def test_lines_near_one_pivot_give_a_star(spark):
+    """600 lines that differ in one place: linked to one of them each, not all to all."""
+    from pyspark.sql import functions as F
+
+    base = "the harbour master wrote in his book that no ship {} had come in since the spring tides"
+    docs = spark.createDataFrame([(i, base.format(chr(0x4E00 + i)), None, None, None) for i in range(600)], SCHEMA)
+    lines = linededup.read(docs)
+    places = lines.select("h", "doc_id", "t", "line", F.lit(1).alias("n"))
+    assert linededup.similar(docs, lines, places).count() < 1200
+    got = linededup.line_classes(docs).collect()
+    assert len(got) == 600 and {(r.class_doc_id, r.n_lines) for r in got} == {(0, 600)}
+
+
+def test_repeated_ids_lose_no_unique_line(spark):
+    long, own = "a line that is long enough to count as one", "a line of its own that nothing else is like"
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(0, long), (1, long), (1, own), (2, own + "\nx"), (2, "y\n" + own), (3, long), (3, long)]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in linededup.drop_lines(clashing(docs)).collect())
+    assert got == [(0, long), (1, own), (2, "x"), (2, "y")]
+    alike = spark.createDataFrame([(4, long, None, None, 0)] * 2, SCHEMA)
+    assert linededup.drop_lines(alike).count() == 2  # one row can't be told from the other
+    assert sorted(tuple(x) for x in linededup.line_classes(docs).collect()) == brute(rows)
+
+
 def test_chain_of_edits_is_one_class(spark):
     base = "the quick brown fox jumps over the lazy dog tonight"
     rows = [(i, base[:10] + "z" * i + base[10:], None, None, None) for i in range(7)]

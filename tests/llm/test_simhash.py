@@ -6,7 +6,7 @@ import xxhash
 
 from spanloom.llm import simhash
 
-from .corpus import clashing, frame, texts
+from .corpus import SCHEMA, clashing, frame, texts
 
 
 def brute_fp(text):
@@ -18,17 +18,24 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute(rows, budget=3):
-    fps = [(i, brute_fp(t)) for i, t in rows]
-    best = {f: min((i for i, g in fps if g == f and i is not None), default=None) for _, f in fps}
+def brute_groups(texts, budget=3):
+    """A group name for each text: the least fingerprint that links reach."""
+    fps = [brute_fp(t) for t in texts]
+    best = {f: f for f in fps}
     changed = True
     while changed:
         changed = False
         for a in best:
             for b in best:
-                if best[a] is not None and best[b] is not None and bin(a ^ b).count("1") <= budget and best[b] < best[a]:
+                if best[b] < best[a] and bin(a ^ b).count("1") <= budget:
                     best[a], changed = best[b], True
-    return sorted(((i, f"{f:016x}", best[f]) for i, f in fps), key=str)
+    return [best[f] for f in fps]
+
+
+def brute(rows):
+    groups = brute_groups([t for _, t in rows])
+    first = {g: min((i for (i, _), h in zip(rows, groups) if h == g and i is not None), default=None) for g in groups}
+    return sorted(((i, f"{brute_fp(t):016x}", first[g]) for (i, t), g in zip(rows, groups)), key=str)
 
 
 def test_matches_brute_force(spark):
@@ -125,7 +132,18 @@ def test_keep_one(spark):
     rows = texts()
     kept = [r.doc_id for r in simhash.keep_one(frame(spark)).collect()]
     want = {c for _, _, c in brute([(r[0], r[1]) for r in rows])}
-    assert {x for x in kept if x is not None} == {x for x in want if x is not None}
+    assert sorted(kept) == sorted(want)
+
+
+def test_keep_one_with_repeated_ids(spark):
+    """Rows (1, A), (5, A), (5, B), (7, B): B stays in one row; rows alike in id and text stay once."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue white")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, c), (None, a), (None, "only here as it is"), (None, "only here as it is")]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(clashing(d)).collect()))
+    assert kept == sorted([(1, a), (5, b), (9, c), (0, "only here as it is")])
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (7, 5), (9, 9), (None, 1), (None, None)}
 
 
 def test_components(spark):

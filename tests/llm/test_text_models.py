@@ -38,6 +38,59 @@ def test_grammar_contexts():
     assert "Fine. You idiot! Fine."[a:b].strip() == "You idiot"
 
 
+def brute_clause(g, words):
+    """The sum over matches, each weighed from the words around it."""
+    tags = [g.tag(w) for w in words]
+    sym = [x for x, _ in tags]
+    person = [x in ("target", "linked target", "you", "linked you") for x in sym]
+    you = [x in ("you", "linked you") for x in sym]
+    # a link verb counts at most AIM words after a target
+    link = [x.startswith("linked") or x == "link" and any(person[max(0, i - toxicity.AIM - 1):i]) for i, x in enumerate(sym)]
+    total = 0.0
+    for i, (x, w) in enumerate(tags):
+        before = slice(max(0, i - toxicity.AIM), i)
+        after = slice(i + 1, i + 1 + toxicity.AIM)
+        scope = (toxicity.NEGATED if "not" in sym[max(0, i - toxicity.REACH):i] else 1) * (toxicity.REPORTED if "report" in sym[:i] else 1)
+        if x == "insult":
+            total += w * scope * (toxicity.TARGETED if any(person[before]) else 1)
+        elif x == "aimed" and (any(you[before]) or any(link[before])):
+            total += w * scope * toxicity.TARGETED
+        elif x == "aimed" and any(you[after]) or x == "threat" and any(person[after]):
+            total += w * scope
+    return total
+
+
+def test_transducers_match_brute_force():
+    r = random.Random(1)
+    g = toxicity.Grammar(toxicity.Lexicon({"idiot": 0.9, "pig": 0.6, "trash": 0.5}, {"vex": 1.0}, frozenset({"pig", "trash"})))
+    words = "idiot pig trash vexed kill burn you they them they're you're is was not never said claims fine day".split()
+    for _ in range(4000):
+        clause = [r.choice(words) for _ in range(r.randrange(12))]
+        assert g.clause(clause) == pytest.approx(brute_clause(g, clause)), clause
+
+
+def test_toxicity_query_matches_brute_force(spark, sf):
+    from spanloom.llm.queries import op5_toxicity
+
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    sample = [(docs[r.doc_id], r.toxic) for r in table(spark, sf, "labels").collect() if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    g = toxicity.Grammar(toxicity.fit(sample))
+    got = op5_toxicity(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        s, clauses = g.score(docs[r.doc_id])
+        assert (r.score, r.predicted, r.n_clauses) == (pytest.approx(s), int(s >= 0.3), len(clauses))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_long_texts_dilute_and_offsets_are_of_the_text():
+    g = toxicity.Grammar(toxicity.Lexicon({"idiot": 1.0}, {}))
+    assert g.score("You idiot. " + "a fine day. " * 40_000)[0] < 0.05 < 0.3 < g.score("You idiot. " + "a fine day. " * 100)[0]
+    text = "\u0130\u0130 x. You idiot"  # lower-cased, the first letters are two code points each
+    a, b, _ = g.score(text)[1][0]
+    assert text[a:b].strip() == "You idiot"
+
+
 def test_seed_insults_need_a_target():
     g = toxicity.Grammar(toxicity.fit([]))
     s = lambda t: g.score(t)[0]
