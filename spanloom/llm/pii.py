@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +27,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, MAYBE = re.compile(r"[0-9]"), re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 WORD = re.compile(r"[^\W_]+")
+LAST = re.compile(r"[^\W_]+(?=[\W_]*$)")
 
-#: Rounds of scoring; least confidence of a pattern, and least number of different seeds behind it, to extract by.
-ROUNDS, CONFIDENCE, SEEDS = 4, 0.8, 5
-#: Characters of context on each side, and shortest unseen identifier.
-CONTEXT, SHORTEST = 64, 6
+#: Rounds of scoring; least confidence of a pattern to extract by, least worth of an item that supports a pattern as a
+#: seed does, and least number of different supporters.
+ROUNDS, CONFIDENCE, PROMOTED, SEEDS = 4, 0.3, 0.5, 5
+#: Characters of context before a span, characters between its words and the span at most, and shortest unseen identifier.
+CONTEXT, GAP, SHORTEST = 64, 4, 6
+#: Patterns whose occurrences are counted in one pass over the texts; more take several passes.
+BLOCK = 1 << 19
+#: A key-shaped token (so long, so many letters and digits) is a seed entity as well, but no base span.
+KEY_LENGTH, KEY_LETTERS, KEY_DIGITS = 16, 3, 3
 
 
 def luhn(digits: str) -> bool:
@@ -102,21 +110,27 @@ def unseen(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int,
             yield a, b
 
 
+def key_shaped(token: str) -> bool:
+    digits = sum(c.isdigit() for c in token)
+    return len(token) >= KEY_LENGTH and digits >= KEY_DIGITS and sum(c.isalpha() for c in token) >= KEY_LETTERS
+
+
+def joined(words: list[str], gap: str) -> list[str]:
+    """Lexical patterns: the last one, two and three words before a place, and what stands between them and it."""
+    gap = "".join(gap.split())
+    return [f"{' '.join(words[-k:])}{gap}_" for k in range(1, len(words) + 1)] if len(gap) <= GAP else []
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the word before, the two before, and the words on both sides."""
-    left = [w.lower() for w in WORD.findall(text[max(0, start - CONTEXT):start])][-2:]
-    right = [w.lower() for w in WORD.findall(text[end:end + CONTEXT])][:1]
-    out = []
-    if left:
-        out.append(f"{left[-1]} _")
-    if len(left) == 2:
-        out.append(f"{left[0]} {left[1]} _")
-    if left and right:
-        out.append(f"{left[-1]} _ {right[0]}")
-    return out
+    """The patterns before a span; leading signs of the span count as its gap."""
+    left = list(WORD.finditer(text, max(0, start - CONTEXT), start))[-3:]
+    first = WORD.search(text, start, end)
+    if not left or not first:
+        return []
+    return joined([m[0].lower() for m in left], text[left[-1].end():first.start()])
 
 
-_TEXT = "struct<base: array<struct<start: int, end: int, kind: string>>, sha: string, seen: array<struct<start: int, end: int, item: bigint, seed: boolean, patterns: array<string>>>>"
+_TEXT = "struct<base: array<struct<start: int, end: int, kind: string>>, sha: string, seen: array<struct<start: int, end: int, item: bigint, kind: string, patterns: array<string>>>>"
 
 
 def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -130,10 +144,10 @@ def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 seen.append([])
                 continue
             found = base_spans(t)
-            occ = [(s, e, True) for s, e, _ in found] + [(s, e, False) for s, e in unseen(t, found)]
+            occ = found + [(s, e, "key" if key_shaped(t[s:e]) else None) for s, e in unseen(t, found)]
             base.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
             sha.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in found).encode()).hexdigest())
-            seen.append([{"start": s, "end": e, "item": xxhash.xxh64_intdigest(t[s:e].lower().encode("utf-8", "replace")) - (1 << 63), "seed": d, "patterns": patterns(t, s, e)} for s, e, d in occ])
+            seen.append([{"start": s, "end": e, "item": xxhash.xxh64_intdigest(t[s:e].lower().encode("utf-8", "replace")) - (1 << 63), "kind": k, "patterns": patterns(t, s, e)} for s, e, k in occ])
         yield pd.DataFrame({"base": base, "sha": sha, "seen": seen})
 
 
@@ -144,23 +158,59 @@ def read(docs: DataFrame) -> DataFrame:
     return stash(d.select("row", "doc_id", "x.base", "x.sha", "x.seen"), "pii")
 
 
-def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence, seeds) from seen: (item, seed, pattern), as often as they come.
+def background(docs: DataFrame, wanted: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pattern, places): how often each wanted pattern stands before any word at all, over whole texts.
 
-    A pattern is worth the mean of its different items, with one worthless item added; an item that is no seed is worth
-    the noisy-or of its patterns. Rounds alternate the two. Items and patterns meet in aggregates and equi-joins on
-    distinct edges, so a pattern with a third of all rows is summed where the rows lie.
+    Patterns go to the texts in blocks of bounded size, dealt by hash, a pass a block.
+    """
+    spark = docs.sparkSession
+    wanted = stash(wanted.select("pattern").distinct(), "pii-wanted")
+    blocks = -(-wanted.count() // block)
+    out = wanted.select("pattern", F.lit(0).cast("long").alias("places")).limit(0)
+    for i in range(blocks):
+        few = [r.pattern for r in wanted.where(F.expr(f"pmod(xxhash64(pattern), {blocks}) = {i}")).toLocalIterator()]
+        cast = spark.sparkContext.broadcast((frozenset(few), frozenset(LAST.search(p)[0] for p in few)))
+
+        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
+            known, lasts = cast.value
+            n: Counter[str] = Counter()
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    two: list[str] = []
+                    end = -1
+                    for m in WORD.finditer(t or ""):
+                        if two and two[-1] in lasts and m.start() - end <= CONTEXT:
+                            n.update(p for p in joined(two, t[end:m.start()]) if p in known)
+                        two = [*two[-2:], m[0].lower()]
+                        end = m.end()
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pattern", "places"])
+
+        out = out.unionByName(docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern string, places long"))
+    return stash(out.groupBy("pattern").agg(F.sum("places").alias("places")), "pii-places")
+
+
+def score_patterns(seen: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, kind, confidence, supporters, trusted) from seen: (item, kind, pattern), as often as they come.
+
+    Seeds are items that have a kind. A pattern's confidence for a kind is the worth of what stands in it, seeds and
+    unseen items, over all the places where it stands before anything (places, and one more). So a word that stands
+    before everything is worth nothing, whatever seeds follow it now and then. A trusted pattern has CONFIDENCE and
+    SEEDS different items of worth PROMOTED behind it. An unseen item is worth the noisy-or of its trusted patterns; a
+    found item so counts in the next round as a seed does, and may bring in patterns that no seed has. Items and patterns
+    meet in aggregates and equi-joins on distinct edges, so a pattern with a third of all rows is summed where the rows lie.
     """
-    edges = stash(seen.groupBy("pattern", "item").agg(F.max("seed").alias("seed")), "pii-edges")
-    edges = edges.join(edges.groupBy("item").agg(F.max("seed").alias("known")), "item").select("pattern", "item", "known")
-    edges = stash(edges, "pii-edges")
-    worth = edges.withColumn("worth", F.col("known").cast("double"))
+    edges = seen.groupBy("pattern", "item").agg(F.count("*").alias("n"))
+    kinds = seen.where("kind is not null").groupBy("item").agg(F.min("kind").alias("known"))
+    edges = stash(edges.join(kinds, "item", "left"), "pii-edges")
+    known = edges.where("known is not null").select("pattern", "item", "n", F.col("known").alias("kind"), F.lit(1.0).alias("worth"))
+    worth = known
     for i in range(rounds):
-        pats = stash(worth.groupBy("pattern").agg((F.sum("worth") / (F.count("*") + 1)).alias("confidence"), F.count_if("known").alias("seeds")), "pii-patterns")
+        pats = worth.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("worth")).alias("sum"), F.count_if(F.col("worth") >= PROMOTED).alias("supporters"))
+        pats = pats.join(places, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("sum") / (F.col("places") + 1)))
+        pats = stash(pats.select("pattern", "kind", "confidence", "supporters", ((F.col("confidence") >= CONFIDENCE) & (F.col("supporters") >= SEEDS)).alias("trusted")), "pii-patterns")
         if i + 1 < rounds:
-            trusted = F.when(F.col("seeds") >= SEEDS, F.col("confidence")).otherwise(0.0)
-            items = edges.join(pats, "pattern").groupBy("item").agg((1 - F.exp(F.sum(F.log1p(-F.least(trusted, F.lit(0.999)))))).alias("found"))
-            worth = edges.join(items, "item").withColumn("worth", F.when(F.col("known"), 1.0).otherwise(F.col("found")))
+            items = edges.where("known is null").join(pats.where("trusted"), "pattern").groupBy("item", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("worth"))
+            worth = known.unionByName(edges.where("known is null").join(items, "item").select("pattern", "item", "n", "kind", "worth"))
     return pats
 
 
@@ -175,13 +225,18 @@ def find(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, base array<struct<start, end, kind>>, sha, extra (same type, kind id).
 
     Base spans stay as they are; extra ones don't overlap them. Null texts and texts without digits or @ have none.
-    Repeated rows are read each; other columns are ignored. Empty table: no rows. Texts are read whole.
+    Unseen identifiers hold a digit and have SHORTEST characters or more. Key-shaped tokens are seeds and so induce
+    patterns, but come out only where a trusted pattern stands before them. Repeated rows are read each; other columns are
+    ignored. Empty table: no rows. Texts are read whole.
     """
     d = read(docs)
-    seen = d.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.item", "s.seed", F.explode("s.patterns").alias("pattern"))
-    pats = score_patterns(seen.select("item", "seed", "pattern"))
-    good = pats.where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SEEDS)).select("pattern")
-    new = seen.where(~F.col("seed")).join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct("start", "end", F.lit("id").alias("kind"))).alias("extra"))
+    seen = d.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.item", "s.kind", F.explode("s.patterns").alias("pattern"))
+    # what fewer items support is never trusted
+    wanted = seen.groupBy("pattern").agg(F.count_distinct("item").alias("items")).where(F.col("items") >= SEEDS)
+    places = background(docs, wanted)
+    pats = score_patterns(seen.join(places, "pattern", "left_semi").select("item", "kind", "pattern"), places)
+    good = pats.where("trusted").select("pattern").distinct()
+    new = seen.where("kind is null or kind = 'key'").join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct("start", "end", F.lit("id").alias("kind"))).alias("extra"))
     none = F.array().cast("array<struct<start: int, end: int, kind: string>>")
     return d.join(new, "row", "left").select("doc_id", "base", "sha", F.coalesce("extra", none).alias("extra"))
 

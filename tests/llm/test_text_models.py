@@ -175,6 +175,69 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[100] == "id:30:43" and got[101] == ""
 
 
+def generations():
+    """Seeds after "mail to"; ids beside them; the same ids after "ticket", where no seed is, with others; seeds after "the"."""
+    rows = [f"mail to user{i}@example.com now" for i in range(8)] + [f"mail to ab-{i}-7777 now" for i in range(6)]
+    rows += [f"see ticket ab-{i}-7777 please" for i in range(6)] + ["see ticket zz-99-1234 please"]
+    rows += [f"the u{i}@example.com wrote" for i in range(9)] + ["the item-12345 was there"] + ["the cat and the dog saw the bird in the tree"] * 30
+    rows += [f'token = "{hashlib.md5(str(i).encode()).hexdigest()[:20]}"' for i in range(9)] + ['token = "short12"']
+    return [(i, t, None, None, None) for i, t in enumerate(rows)]
+
+
+def test_found_items_bring_in_new_patterns(spark):
+    rows = generations()
+    got = {t: r.spans for (_, t, *_), r in zip(rows, sorted(pii.digest(pii.find(frame(spark, rows))).collect(), key=lambda r: r.doc_id))}
+    assert got["mail to ab-0-7777 now"] == "id:8:17"
+    assert got["see ticket zz-99-1234 please"] == "id:11:21"  # no seed ever stood there
+    assert got["the item-12345 was there"] == ""  # a function word is no evidence, whatever seeds follow it
+    assert got['token = "short12"'] == "id:9:16"
+
+
+def test_pattern_scores_match_brute_force(spark):
+    from collections import Counter, defaultdict
+
+    rows = generations()
+    d = pii.read(frame(spark, rows))
+    seen = [(o.item, o.kind, p) for r in d.collect() for o in r.seen for p in o.patterns]
+    items = defaultdict(set)
+    for i, _, p in seen:
+        items[p].add(i)
+    wanted = {p for p in items if len(items[p]) >= pii.SEEDS}
+    places = Counter()
+    for _, t, *_ in rows:
+        w = list(re.finditer(r"[^\W_]+", t))
+        for k in range(1, len(w)):
+            gap = "".join(t[w[k - 1].end():w[k].start()].split())
+            for n in (1, 2, 3):
+                if k >= n and len(gap) <= pii.GAP:
+                    places[" ".join(x[0].lower() for x in w[k - n:k]) + gap + "_"] += 1
+    known = {i: k for i, k, _ in seen if k}
+    edges = Counter((p, i) for i, _, p in seen if p in wanted)
+    worth = {(i, k): 1.0 for i, k in known.items()}
+    for _ in range(pii.ROUNDS):
+        conf = {}
+        for p in wanted:
+            for k in set(known.values()):
+                of = [(n * worth[i, k], worth[i, k]) for (q, i), n in edges.items() if q == p and (i, k) in worth]
+                if of:
+                    c = min(1.0, sum(x for x, _ in of) / (places[p] + 1))
+                    conf[p, k] = (c, sum(w >= pii.PROMOTED for _, w in of))
+        trusted = {x: c for x, (c, n) in conf.items() if c >= pii.CONFIDENCE and n >= pii.SEEDS}
+        worth = {(i, k): 1.0 for i, k in known.items()}
+        for (p, i) in edges:
+            for (q, k), c in trusted.items():
+                if p == q and i not in known:
+                    worth[i, k] = 1 - (1 - worth.get((i, k), 0.0)) * (1 - min(c, 0.999))
+    table = spark.createDataFrame([(p,) for p in wanted], "pattern string")
+    got = pii.background(frame(spark, rows), table, block=3)
+    assert {r.pattern: r.places for r in got.collect()} == {p: places[p] for p in wanted}
+    flat = spark.createDataFrame([x for x in seen if x[2] in wanted], "item long, kind string, pattern string")
+    scored = {(r.pattern, r.kind): (r.confidence, r.supporters, r.trusted) for r in pii.score_patterns(flat, got).collect()}
+    assert scored.keys() == conf.keys()
+    for x, (c, n) in conf.items():
+        assert scored[x] == (pytest.approx(c), n, x in trusted), x
+
+
 # licenses ------------------------------------------------------------------------------------------------------------
 
 
