@@ -347,6 +347,83 @@ def test_declaration_anywhere_in_a_page(spark, before, tag):
     assert (got.declared, got.n_words) == ("de", 2)
 
 
+def test_shuffled_lookups_give_the_same(spark, sf, monkeypatch):
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    model = langid.learn(docs)
+    monkeypatch.setattr(langid, "HOT_SHARE", 20)
+    a, b = (sorted(((r.doc_id or -1, r.page_id or -1, r.lang, round(r.probability, 9)) for r in langid.identify(docs, pages, model, n).collect())) for n in (10**6, 0))
+    assert a == b
+
+
+def brute_languages(spark, sf):
+    """Every row's posterior, from the definitions, one row at a time."""
+    import numpy as np
+    from collections import defaultdict
+    from urllib.parse import urlsplit
+
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    model = langid.learn(docs)
+    rows = []
+    for r in docs.collect():
+        rows.append((("d", r.doc_id), r.text or "", None, r.source, None, None))
+    for r in pages.collect():
+        tags = langid.shown(r.html or "")
+        host = urlsplit(r.url).hostname
+        rows.append((("p", r.page_id), langid.page_text(tags), langid.declared(tags), host, ".".join(host.split(".")[-2:]), host.split(".")[-1]))
+    n = len(model.langs)
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    lls = [sum((model.word(w) for w in langid.WORD.findall(t.lower())), np.zeros(n)) * langid.TEMPER for _, t, *_ in rows]
+    ps = [soft(x) for x in lls]
+    total = sum(ps) + 1.0
+    by = [defaultdict(lambda: np.zeros(n)) for _ in range(4)]
+    for p, (_, _, *keys) in zip(ps, rows):
+        for k, table_ in zip(keys, by):
+            table_[k] += p
+    out = {}
+    for ll, p, (key, _, said, host, domain, suffix) in zip(lls, ps, rows):
+        prior = total / total.sum()
+        for k, table_ in ((domain, by[2]), (host, by[1])):
+            c = np.maximum((table_[k] if k is not None else 0) - (p if host is not None else 0), 0)
+            prior = (c + langid.HOST_PRIOR * prior) / (c.sum() + langid.HOST_PRIOR)
+        logs = ll + np.log(prior)
+        for k, table_ in ((said, by[0]), (suffix, by[3])):
+            if k is not None:
+                logs = logs + np.log((table_[k] + langid.TABLE_PRIOR * total / total.sum()) / total)
+        q = soft(logs)
+        out[key] = (model.langs[int(q.argmax())], float(q.max()))
+    return out
+
+
+def test_language_query_matches_brute_force(spark, sf):
+    from spanloom.llm.queries import op10_language_id
+
+    want = brute_languages(spark, sf)
+    got = {("d", r.doc_id) if r.doc_id is not None else ("p", r.page_id): (r.lang, r.probability) for r in op10_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for k, (lang, p) in want.items():
+        assert got[k] == (lang, pytest.approx(p, rel=1e-6)), k
+
+
+def test_pages_full_of_brackets_take_linear_time():
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        for page in ("<" * n, "<a " * n, "<meta " * n, "<html x" * n, "<html " + "a" * n, "<html " + "a =" * n):
+            tags = langid.shown(page)
+            langid.page_text(tags)
+            langid.declared(tags)
+        return time.perf_counter() - t
+
+    assert seconds(200_000) < 60 * max(seconds(10_000), 0.005)
+
+
+def test_meta_attributes_in_any_order():
+    assert langid.declared("<meta content='fr' http-equiv='Content-Language'>") == "fr"
+    assert langid.declared("<meta http-equiv=content-language content=\"de-AT, en\"><html data-x=lang lang='es'>") == "es"
+    assert langid.declared("<meta name='description' content='de'><html>") is None
+
+
 def test_language_edges(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     got = langid.identify(clashing(frame(spark)), none).collect()
