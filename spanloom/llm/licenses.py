@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from importlib.resources import files
 
 import pandas as pd
 import xxhash
@@ -23,20 +24,37 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "apache-2.0-notice": ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     "gpl-3.0": ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     "gpl-3.0-notice": ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    "bsd": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "bsd-3-clause": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "bsd-2-clause": ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "gpl-2.0": ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    "lgpl-2.1": ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    "agpl-3.0": ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
     "isc": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "mpl-2.0": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "cc-by-nc-4.0-notice": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    "cc-by-sa-4.0": ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-4.0": ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 }
 
+#: Full texts beside this module: the file's name is the license, "-text" is added to name the template.
+FOLDER = "templates"
+
 #: Words of a fingerprint, fingerprints of a window of which the least is kept, half width of the alignment band, and
 #: least share of a template that must be matched.
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 12, 0.7
+#: Share of a template's fingerprints that a place must hold to be aligned, and words between two of them at most.
+SHARED, FAR = 0.1, 200
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 
 
+def templates() -> dict[str, tuple[str, str]]:
+    """Notices above and full texts: template to (license, text)."""
+    full = {f"{f.name[:-4].lower()}-text": (f.name[:-4], f.read_text("utf-8")) for f in files("spanloom.llm").joinpath(FOLDER).iterdir() if f.name.endswith(".txt")}
+    return TEMPLATES | dict(sorted(full.items()))
+
+
 def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = list(WORD.finditer(text))
     return [m[0].lower() for m in found], [m.span() for m in found]
@@ -54,20 +72,26 @@ def winnow(h: list[int]) -> list[int]:
 
 
 class Index:
-    """Inverted index of the templates' winnowed fingerprints; its size is that of the templates."""
+    """Inverted index of the templates' winnowed fingerprints; its size is that of the templates.
+
+    Text and template are winnowed alike, so GRAM + WINDOW - 1 words in common share a fingerprint at least. In a text,
+    runs of words that some template has are winnowed, each by itself: no fingerprint lies across other words.
+    """
 
-    def __init__(self, templates: dict[str, tuple[str, str]] = TEMPLATES):
-        self.words = {k: tokens(t)[0] for k, (_, t) in templates.items()}
+    def __init__(self, texts: dict[str, tuple[str, str]]):
+        self.words = {k: tokens(t)[0] for k, (_, t) in texts.items()}
         self.vocabulary = {w for ws in self.words.values() for w in ws}
         self.at: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        self.least: dict[str, float] = {}
         for k, ws in self.words.items():
             h = grams(ws)
-            # all positions of the template: a document's window keeps the least of its own neighbours
-            for i in range(len(h)):
+            kept = winnow(h)
+            self.least[k] = max(1.0, SHARED * len(kept))
+            for i in kept:
                 self.at[h[i]].append((k, i))
 
     def candidates(self, words: list[str]) -> dict[str, list[tuple[int, int]]]:
-        """template -> (position in the document, position in the template), for winnowed runs of template words."""
+        """template -> (position in the document, position in the template), in order of the document."""
         out: dict[str, list[tuple[int, int]]] = defaultdict(list)
         start, known = None, self.vocabulary
         for i, w in enumerate([*words, ""]):
@@ -82,6 +106,39 @@ class Index:
             start = None
         return out
 
+    def chains(self, k: str, hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        """Hits that go on within BAND of a diagonal, forward in text and template; a copy that follows starts anew.
+
+        Only the chains that end near a hit are looked at, one a diagonal cell, so this is linear in the hits. In a long
+        template a hit that steps back a little is a phrase that comes twice: it neither ends a chain nor moves its end.
+        """
+        long = len(self.words[k]) > 4 * BAND
+        done: list[list[tuple[int, int]]] = []
+        open_: dict[int, tuple[list[tuple[int, int]], int, int]] = {}  # chain and its end in text and template
+        for d, t in hits:
+            cell = (d - t) // BAND
+            near = [c for c in (cell, cell - 1, cell + 1) if c in open_ and abs((d - t) - (open_[c][1] - open_[c][2])) <= BAND and d - open_[c][1] <= FAR]
+            on = [c for c in near if t > open_[c][2]]
+            if on:
+                chain = open_.pop(max(on, key=lambda c: len(open_[c][0])))[0]
+            elif near and long:
+                open_[near[0]][0].append((d, t))
+                continue
+            else:
+                chain = []
+                done.append(chain)
+            chain.append((d, t))
+            open_[cell] = chain, d, t
+        joined: list[list[tuple[int, int]]] = []
+        for chain in done:  # in order of the text; what a phrase that comes twice has cut goes on where a last one ends
+            d, t = chain[0]
+            before = [x for x in joined[-8:] if long and t > x[0][1] and chain[-1][1] > x[-1][1] and d - x[-1][0] <= FAR and abs((d - t) - (x[-1][0] - x[-1][1])) <= 2 * BAND]
+            if before:
+                max(before, key=len).extend(chain)
+            elif len(chain) >= (self.least[k] / 8 if long else 1):
+                joined.append(chain)
+        return [x for x in joined if len(x) >= self.least[k]]
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, start, end, matched words, template words) of each place; offsets in code points."""
         if not text:
@@ -89,27 +146,27 @@ class Index:
         words, where = tokens(text)
         found = []
         for k, hits in self.candidates(words).items():
-            template = self.words[k]
-            hits.sort(key=lambda x: (x[0] - x[1], x[0]))
-            groups: list[list[tuple[int, int]]] = []
-            for d, t in hits:  # places of one template lie on different diagonals
-                if groups and d - t - (groups[-1][-1][0] - groups[-1][-1][1]) <= BAND:
-                    groups[-1].append((d, t))
-                else:
-                    groups.append([(d, t)])
-            for g in groups:
-                left, free = g, words
-                while left:  # copies may follow one another within the band
-                    lo, hi = min(d - t for d, t in left) - BAND, max(d - t for d, t in left) + BAND
-                    got = align(template, free, lo, hi)
-                    if not got or got[2] < COVERAGE * len(template):
-                        break
-                    found.append((k, got[2] / len(template), where[got[0]][0], where[got[1] - 1][1], got[2], len(template)))
-                    free = [*free[:got[0]], *[""] * (got[1] - got[0]), *free[got[1]:]]
-                    left = [x for x in left if not got[0] <= x[0] < got[1]]
-        best: list[tuple[str, float, int, int, int, int]] = []
+            template, free = self.words[k], list(words)
+            todo = self.chains(k, hits)
+            while todo:
+                chain = todo.pop()
+                lo, hi = min(d - t for d, t in chain) - BAND, max(d - t for d, t in chain) + BAND
+                at = max(0, lo)  # the words that the band reaches, and no others
+                got = align(template, free[at:max(at, hi + len(template))], lo - at, hi - at)
+                if got and got[2] >= COVERAGE * len(template):
+                    s, e = at + got[0], at + got[1]
+                    found.append((k, got[2] / len(template), where[s][0], where[e - 1][1], got[2], len(template)))
+                    free[s:e] = [""] * (e - s)
+                    # short copies may follow one another within the band
+                    todo += self.chains(k, [x for x in chain if not s <= x[0] < e])
+        starts: list[int] = []
+        ends: list[int] = []
+        best = []
         for x in sorted(set(found), key=lambda x: (-x[4], -x[1], x[2], x[0])):  # of overlapping places the most words
-            if all(x[3] <= y[2] or y[3] <= x[2] for y in best):
+            i = bisect_left(starts, x[3])  # places from i on start behind this one
+            if i == 0 or ends[i - 1] <= x[2]:
+                starts.insert(i, x[2])
+                ends.insert(i, x[3])
                 best.append(x)
         return sorted(best, key=lambda x: x[2])
 
@@ -142,26 +199,23 @@ def align(template: list[str], words: list[str], lo: int, hi: int) -> tuple[int,
     return (best[1], best[2], best[3]) if best[0] else None
 
 
-@lru_cache(maxsize=1)
-def _index() -> Index:
-    return Index()
-
-
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, license, template, coverage, start, end, n_matched, n_template) for every license text or notice found.
 
-    Texts are read whole; null and empty ones hold nothing. A document has as many rows as places; repeated rows of docs
-    are scanned each. Other columns are ignored. Empty table: no rows.
+    texts: template to (license, text); templates() if not given. Texts are read whole, in time that grows with their
+    length and with the matches in them; null and empty ones hold nothing. Of overlapping places the one with most
+    matched words stays, of equals the better covered, then the earlier. A document has as many rows as places; repeated
+    rows of docs are scanned each. Other columns are ignored. Empty table: no rows.
     """
+    texts = texts or templates()
     small_batches(docs.sparkSession)
+    kinds = "template: string, coverage: double, start: int, end: int, n_matched: int, n_template: int"
 
-    @F.pandas_udf("array<struct<template: string, coverage: double, start: int, end: int, n_matched: int, n_template: int>>")
+    @F.pandas_udf(f"array<struct<license: string, {kinds}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = _index()
+        index = Index(texts)
         names = ("template", "coverage", "start", "end", "n_matched", "n_template")
-        for texts in batches:
-            yield pd.Series([[dict(zip(names, x, strict=True)) for x in index.scan(t)] for t in texts])
+        for batch in batches:
+            yield pd.Series([[{"license": texts[x[0]][0], **dict(zip(names, x, strict=True))} for x in index.scan(t)] for t in batch])
 
-    owner = F.create_map(*[F.lit(x) for k, (name, _) in TEMPLATES.items() for x in (k, name)])
-    d = docs.select("doc_id", F.explode(run(F.col("text").cast("string"))).alias("x"))
-    return d.select("doc_id", owner[F.col("x.template")].alias("license"), "x.*")
+    return docs.select("doc_id", F.explode(run(F.col("text").cast("string"))).alias("x")).select("doc_id", "x.*")

@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACES, let, words
+from spanloom.llm.common import SPACES, fresh, let, words
 from spanloom.session import stash
 
 #: Rows of the sample on which costs and selectivities are estimated, at most.
 SAMPLE_ROWS = 1000
+#: Times that a rule is applied to each row of the sample while it is timed.
+REPEAT = 50
 WINDOW = 3
 
 
@@ -30,7 +32,7 @@ RULES = (
     Rule("dup_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     Rule("word_length_low", "word_chars < 2 * n_words"),
     Rule("word_length_high", "word_chars > 20 * n_words"),
-    Rule("shouting", "2 * length(regexp_replace(text, '[^A-Z]', '')) > word_chars"),
+    Rule("shouting", "2 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars"),
     Rule("exclaimed", "2 * (length(text) - length(replace(text, '!', ''))) > n_words"),
     Rule("few_letters", "2 * length(regexp_replace(text, '[^\\\\p{L}]', '')) < word_chars"),
 )
@@ -59,45 +61,57 @@ def metrics(docs: DataFrame) -> DataFrame:
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.drop(*own)
+    kept = d.columns
+    in_lines, in_words = fresh(d, "lines"), fresh(d, "words")
     dense = F.length(F.translate(text, SPACES, ""))
     d = d.withColumn("word_chars", dense.cast("long"))
     d = d.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0), lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup")))
-    d = d.withColumn("_lines", lines).withColumn("_words", let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))))
-    keep = [c for c in d.columns if c not in ("_lines", "_words", "word_chars", "n_symbols")]
-    return d.select(*keep, F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.n").alias("n_lines"), F.col("_lines.dup").alias("n_dup_lines"), F.col("_words.r").alias("n_repeat_words"))
+    d = d.withColumn(in_lines, lines).withColumn(in_words, let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))))
+    return d.select(*kept, F.col(f"{in_words}.n").alias("n_words"), "word_chars", "n_symbols", F.col(f"{in_lines}.n").alias("n_lines"), F.col(f"{in_lines}.dup").alias("n_dup_lines"), F.col(f"{in_words}.r").alias("n_repeat_words"))
 
 
 BASE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def estimate(measured: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on at most rows measured documents.
+def estimate(sample: DataFrame, rules: tuple[Rule, ...] = RULES, repeat: int = REPEAT) -> tuple[dict[str, float], list[tuple[bool, ...]]]:
+    """Seconds a row of each rule, and what each rule says of each row of a small stored sample that the base rules pass.
 
-    Times are the least of three runs over the stored sample, less those of a run without a rule.
+    A rule is timed in one job that applies it to every row `repeat` times, less the same job without a rule, so that what
+    a job costs besides doesn't count; the least of three runs.
     """
-    sample = stash(measured.limit(rows), "rule-sample")
-    n = max(1, sample.count())
+    def rejected(r: Rule) -> Column:
+        return F.coalesce(F.expr(r.fails), F.lit(False))
 
-    def run(condition: str) -> tuple[float, int]:
-        best, hit = float("inf"), 0
-        for _ in range(3):
+    said = [tuple(r) for r in sample.where(f"not ({BASE})").select(*[rejected(r).alias(r.name) for r in rules]).collect()]  # rows of the sample
+    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias(fresh(sample, "again")))
+    n = max(1, sample.count() * repeat)
+
+    def seconds(condition: Column) -> float:
+        def once() -> float:
             t = time.perf_counter()
-            hit = sample.agg(F.count_if(F.expr(condition))).first()[0]
-            best = min(best, time.perf_counter() - t)
-        return best, hit
+            many.agg(F.count_if(condition)).collect()
+            return time.perf_counter() - t
+
+        return min(once() for _ in range(3))
+
+    empty = seconds(F.col("n_words") < 0)
+    return {r.name: max(seconds(rejected(r)) - empty, 1e-5 * empty) / n for r in rules}, said
 
-    empty, _ = run("n_words < 0")
-    out = []
-    for r in rules:
-        s, hit = run(r.fails)
-        out.append((r, max(s - empty, 1e-4), hit / n))
-    return out
 
+def cascade(rules: tuple[Rule, ...], costs: dict[str, float], said: list[tuple[bool, ...]]) -> list[Rule]:
+    """The next rule is the one that rejects most per second of what the rules before it let through, the cheapest of equals.
 
-def cascade(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
-    """Most rejections per second first; rules that reject nothing in the sample come last, cheapest first."""
-    return [r for r, s, p in sorted(estimates, key=lambda x: (-x[2] / x[1], x[1]))]
+    said: for each sampled row, what each rule says. Rules that reject nothing of what is left come last, cheapest first.
+    """
+    left, todo, order = list(said), list(range(len(rules))), []
+    while todo:
+        hits = {j: sum(x[j] for x in left) for j in todo}
+        j = min(todo, key=lambda j: (-hits[j] / costs[rules[j].name], costs[rules[j].name]))
+        order.append(rules[j])
+        todo.remove(j)
+        left = [x for x in left if not x[j]]
+    return order
 
 
 def apply(measured: DataFrame, order: list[Rule]) -> DataFrame:
@@ -107,14 +121,32 @@ def apply(measured: DataFrame, order: list[Rule]) -> DataFrame:
     return d.withColumn("kept", F.expr(f"case when base_failed then false {case} else true end"))
 
 
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, repeat: int = REPEAT) -> list[Rule]:
+    """The cascade for docs, from at most rows of them, the first by hash of doc_id."""
+    # ids first, so that no text is ordered; a hash stands for the id, as that may be null
+    key = fresh(docs, "key")
+    ids = docs.select(F.xxhash64("doc_id").alias(key)).distinct().orderBy(key).limit(rows)
+    few = docs.select("text", F.xxhash64("doc_id").alias(key)).join(F.broadcast(ids), key, "left_semi").select(F.coalesce("text", F.lit("")).alias("text")).limit(rows)
+    return cascade(rules, *estimate(stash(metrics(few), "rule-sample"), rules, repeat))
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Every row of docs with its metrics, base_failed and kept.
 
     The verdict is that no rule rejects, so the order decides the cost and never the result. Null text: no words, hence
     base_failed. Columns of docs with the names of metrics are replaced. Repeated rows are judged each; empty table: no rows.
     """
-    # ids first, so that no text is ordered; a hash stands for the id, as that may be null
-    ids = docs.select(F.xxhash64("doc_id").alias("_id")).distinct().orderBy("_id").limit(rows)
-    few = docs.withColumn("_id", F.xxhash64("doc_id")).join(F.broadcast(ids), "_id", "left_semi").drop("_id")  # rows ids at most
-    order = cascade(estimate(metrics(few), rules, rows))
-    return apply(metrics(docs.withColumn("text", F.coalesce("text", F.lit("")))), order)
+    return apply(metrics(docs.withColumn("text", F.coalesce("text", F.lit("")))), ordered(docs, rules, rows))
+
+
+def clean(docs: DataFrame, order: list[Rule]) -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' columns alone.
+
+    Each rule is a filter of its own, in order. The optimizer moves them below the metrics, so a metric is worked out only
+    for rows that reach a rule which needs it, and those that no rule needs not at all.
+    """
+    text = fresh(docs, "text_as_it_was")
+    d = metrics(docs.withColumn(text, F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
+    for fails in ("n_words < 50", "100 * n_repeat_words > 50 * n_words", *[r.fails for r in order]):
+        d = d.where(~F.coalesce(F.expr(fails), F.lit(False)))
+    return d.withColumn("text", F.col(text)).select(*[c for c in docs.columns if c in d.columns])

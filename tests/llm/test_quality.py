@@ -23,7 +23,7 @@ def metrics(t):
 
 def test_metrics(spark):
     rows = [*texts(), (900, "a b c d a b c x a b c\nq\nq\n\nq # $", "en", "s", 0), (901, "w " * 100, "en", "s", 0), (902, "THIS IS!! LOUD!! " * 30, "en", "s", 0)]
-    got = quality.judge(clashing(frame(spark, rows)).drop("n", "kept")).collect()
+    got = quality.judge(clashing(frame(spark, rows))).collect()
     assert len(got) == len(rows)
     key = lambda i, m: (str(i), *m)
     assert sorted(key(r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words)) for r in got) == sorted(key(r[0], metrics(r[1])) for r in rows)
@@ -41,7 +41,30 @@ def test_order_does_not_change_the_verdict(spark):
 
 def test_cascade_puts_rejections_per_cost_first():
     a, b, c = quality.RULES[:3]
-    assert quality.cascade([(a, 2.0, 0.1), (b, 1.0, 0.1), (c, 0.1, 0.0)]) == [b, a, c]
+    cost = {a.name: 2.0, b.name: 1.0, c.name: 0.1}
+    assert quality.cascade((a, b, c), cost, [(True, False, False), (False, True, False), (False, False, False)]) == [b, a, c]
+    # all that b rejects a has rejected before, so b comes after c, which is cheaper
+    cost = {a.name: 1.0, b.name: 1.0, c.name: 0.5}
+    assert quality.cascade((a, b, c), cost, [(True, True, False), (True, True, False), (True, False, False)]) == [a, c, b]
+
+
+def test_costs_are_those_of_rules_not_of_jobs(spark):
+    """A rule that reads the text by a pattern costs many times what a comparison of numbers costs."""
+    cheap, dear = quality.Rule("cheap", "n_words > 1000000"), quality.Rule("dear", "length(regexp_replace(text, '(a|b|c)+[^x]', '')) < 0")
+    sample = quality.metrics(frame(spark)).where("length(text) < 5000").cache()
+    costs, said = quality.estimate(sample, (cheap, dear), 200)
+    assert costs["dear"] > 5 * costs["cheap"] and not any(any(x) for x in said)
+
+
+def test_clean_keeps_what_judge_keeps(spark):
+    docs = frame(spark)
+    order = list(quality.RULES)
+    want = sorted(str(r.doc_id) for r in quality.judge(docs).where("kept").collect())
+    for d in (docs, clashing(docs)):
+        got = quality.clean(d, order)
+        assert got.columns == d.columns and sorted(str(r.doc_id) for r in got.collect()) == want and want
+    plan = quality.clean(docs, order[:1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_dup_lines" not in plan and "n_lines" not in plan
 
 
 def test_empty(spark):

@@ -257,6 +257,81 @@ def test_license_spans(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_license_edges(spark):
+    rows = texts()
+    notice = "Released under the MIT License."
+    rows += [(400, f"{rows[0][1]}\n{notice}", None, None, None)] * 2 + [(401, " ".join(["word"] * 30_000) + f" {notice}", None, None, None)]
+    got = sorted((r.doc_id, r.template) for r in licenses.scan(clashing(frame(spark, rows))).collect())
+    assert got == [(400, "mit-notice")] * 2 + [(401, "mit-notice")]
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    index = licenses.Index(licenses.templates())
+    notice = "Licensed under the Apache License, Version 2.0. "
+
+    def seconds(n):
+        t = time.perf_counter()
+        assert len(index.scan(notice * n)) == n
+        return time.perf_counter() - t
+
+    seconds(10)
+    assert seconds(1600) < 24 * seconds(200)
+
+
+def test_full_texts_and_siblings():
+    index = licenses.Index(licenses.templates())
+    for k, (name, text) in licenses.templates().items():
+        got = index.scan(f"before it\n{text}\nafter it")
+        best = max(got, key=lambda x: x[4])
+        assert best[1] == 1 and licenses.templates()[best[0]][0] == name, k
+    words = licenses.templates()["gpl-3.0-text"][1].split(" ")
+    edited = " ".join(w for i, w in enumerate(words) if i % 25)  # each 25th word is gone
+    assert [x[0] for x in index.scan(edited) if x[5] > 2000] == ["gpl-3.0-text"]
+    assert [x[0] for x in index.scan(licenses.TEMPLATES["lgpl-2.1"][1])] == ["lgpl-2.1"]
+    assert [x[0] for x in index.scan(licenses.TEMPLATES["bsd-2-clause"][1])] == ["bsd-2-clause"]
+
+
+def matched(template, words):
+    """Most words of the template in order within words."""
+    p = [0] * (len(words) + 1)
+    for t in template:
+        q = [0]
+        for j, w in enumerate(words):
+            q.append(max(p[j] + (t == w), p[j + 1], q[-1]))
+        p = q
+    return p[-1]
+
+
+def test_license_query_matches_brute_force(spark, sf):
+    """Word for word copies of every template are found, and what is found is as well covered as is said."""
+    from spanloom.llm.queries import op2_license_scan
+
+    sf = sf.replace("0.001", "0.01")
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    known = {k: licenses.tokens(t)[0] for k, (_, t) in licenses.templates().items()}
+    got = op2_license_scan(spark, sf).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r.doc_id, []).append((r.start, r.end))
+        span = licenses.tokens(docs[r.doc_id][r.start:r.end])[0]
+        assert r.n_template == len(known[r.template]) and r.n_matched <= matched(known[r.template], span)
+        assert r.coverage == r.n_matched / r.n_template >= licenses.COVERAGE and r.license == licenses.templates()[r.template][0]
+    exact = 0
+    for i, t in docs.items():
+        words, where = licenses.tokens(t or "")
+        line = f" {' '.join(words)} "
+        for k, w in known.items():
+            needle, at = f" {' '.join(w)} ", -1
+            while (at := line.find(needle, at + 1)) >= 0:
+                exact += 1
+                n = line[:at].count(" ")
+                s, e = where[n][0], where[n + len(w) - 1][1]
+                assert any(a < e and s < b for a, b in places.get(i, ())), (i, k)
+    assert exact and len(got) >= exact
+
+
 # language model ------------------------------------------------------------------------------------------------------
 
 
