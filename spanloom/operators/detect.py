@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import aba_ok, digits_of, iban_ok, luhn_ok, matches
+from spanloom.operators.spans import as_b, overlap_join, suppress
 
 # Detector patterns. Phone numbers are North American ones in the usual notations: a documented
 # subset, as there is no number-plan library here.
@@ -48,38 +45,48 @@ def validator_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -
     return out
 
 
+#: Titles before a name, and characters that one may stand before it at most, spaces included.
 HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam")
+TITLE_REACH = 8
 
 
-def copies(text: str, spans: list[tuple[int, int, str, float]], least: float, letters: int) -> list[tuple[int, int, str, float]]:
-    """Other whole-word places of confident surfaces, best score first, that nothing covers yet."""
-    title = re.compile(rf"\b(?:{'|'.join(HONORIFICS)})\.?\s+$", re.IGNORECASE)
-    taken, out = [s[:2] for s in spans], []
-    for start, end, label, score in sorted(spans, key=lambda s: -s[3]):
-        word = text[start:end]
-        if score < least or sum(map(str.isalnum, word)) < letters:
-            continue
-        if label == "PERSON" and not word[:1].isupper():
-            continue
-        for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
-            a, b = m.span()
-            named = label != "PERSON" or " " in word.strip() or title.search(text[max(0, a - 8):a])
-            if named and all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                out.append((a, b, label, score))
-    return out
+def places(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """surfaces (doc_id, surface, ..) with start, end and before of each whole-word place of the surface in its text.
+
+    A text is cut at the surface, and the lengths of the pieces give the places; before is what stands TITLE_REACH
+    characters ahead of one.
+    """
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace("surface", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    cut = F.split("text", quoted, -1)
+    d = docs.select("doc_id", "text").join(surfaces, "doc_id").withColumn("ends", F.transform(cut, lambda x: F.length(x)))
+    n = F.length("surface")
+    # the k-th place is behind the first k + 1 pieces and k surfaces
+    upto = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.aggregate(F.slice("ends", F.lit(1), k), F.lit(0), lambda a, x: a + x) + (k - 1) * n)
+    d = d.where(F.size("ends") > 1).withColumn("start", F.explode(upto)).withColumn("end", F.col("start") + n)
+    return d.withColumn("before", F.expr(f"substring(text, greatest(start - {TITLE_REACH}, 0) + 1, least(start, {TITLE_REACH}))")).drop("text", "ends")
 
 
 def propagate(docs: DataFrame, preds: DataFrame, least: float = 0.5, letters: int = 4) -> DataFrame:
-    """(doc_id, start, end, label, score, propagated): preds and their copies. What is covered grows on the way, hence a
-    document at a time in Arrow batches; documents without a confident prediction are not opened."""
-    open_ = preds.groupBy("doc_id").agg(F.max("score").alias("m"), F.collect_list(F.struct("start", "end", "label", "score")).alias("s")).where(F.col("m") >= least)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *c) for d, t, s in zip(f["doc_id"], f["text"], f["s"], strict=True) for c in copies(t, sorted((x["start"], x["end"], x["label"], x["score"]) for x in s), least, letters)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "label", "score"])
-
-    new = docs.select("doc_id", "text").join(open_.select("doc_id", "s"), "doc_id").mapInPandas(run, f"doc_id {kind}, start int, end int, label string, score double")
-    return preds.select("doc_id", "start", "end", "label", "score").withColumn("propagated", F.lit(False)).unionByName(new.withColumn("propagated", F.lit(True)))
+    """(doc_id, start, end, label, score, propagated): preds and their copies.
+
+    A confident prediction is copied to the other whole-word places of its surface: a surface needs so many letters or
+    digits, a person a capital first and either several words or a title before the place. What a prediction covers stays
+    free of copies; of copies that overlap the better scored stays, of equals the one whose prediction comes first. Copies
+    are ranked in their document, and suppression by rank settles overlaps group by group.
+    """
+    p = preds.select("doc_id", "start", "end", "label", "score")
+    sure = docs.select("doc_id", "text").join(p.where(F.col("score") >= least), "doc_id")
+    sure = sure.select("doc_id", "label", "score", F.col("start").alias("from"), F.col("end").alias("to"), F.expr("substring(text, start + 1, end - start)").alias("surface"))
+    person = F.col("label") == "PERSON"
+    sure = sure.where(F.length(F.regexp_replace("surface", r"[^\p{L}\p{N}]", "")) >= letters).where(~person | F.col("surface").rlike(r"^\p{Lu}"))
+    rank = F.struct((-F.col("score")).alias("s"), "from", "to", "label")
+    best = sure.groupBy("doc_id", "surface", "label").agg(F.min(rank).alias("rank"))
+    titled = F.lower("before").rlike(rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(HONORIFICS)})\.?\s+$")
+    named = ~person | F.trim("surface").contains(" ") | titled
+    new = places(docs, best).where(named).groupBy("doc_id", "start", "end").agg(F.min("rank").alias("rank"))
+    new = overlap_join(new, as_b(p), how="left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "start"))
+    new = new.select("doc_id", "start", "end", F.col("rank.label").alias("label"), (-F.col("rank.s")).alias("own"), (-place).cast("double").alias("score"))
+    stay = suppress(new).select("doc_id", "start", "end")
+    new = new.join(stay, ["doc_id", "start", "end"]).select("doc_id", "start", "end", "label", F.col("own").alias("score"), F.lit(True).alias("propagated"))
+    return p.withColumn("propagated", F.lit(False)).unionByName(new)

@@ -202,7 +202,7 @@ def values(rows: list[tuple], *names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(lit(x) for x in r) + ')' for r in rows)}) t({', '.join(names)}))"
 
 
-_MAP = [(d, raw, out) for d, m in taxonomy.LABELS.items() for out, names in m.items() for raw in names.split()]
+_MAP = [(d, raw, out) for d, m in taxonomy.LABELS.items() for raw, out in m.items()]
 _NEMO = tuple(raw for d, raw, _ in _MAP if d == "nemotron")
 
 
@@ -214,7 +214,7 @@ def mapped_labels(spark, sf):
     return taxonomy.map_labels(g.select(F.lit("nemotron").alias("dataset"), raw.alias("raw")), spark).groupBy("raw", "canonical").agg(F.count("*").alias("n"))
 
 
-_TREE = values(list(taxonomy.parents().items()), "node", "parent")
+_TREE = values(list(taxonomy.PARENTS.items()), "node", "parent")
 _CLOSURE = f"tree AS {_TREE}, closure AS (SELECT node, node AS ancestor, 0 depth FROM tree UNION ALL SELECT c.node, t.parent, c.depth + 1 FROM closure c JOIN tree t ON c.ancestor = t.node WHERE t.parent IS NOT NULL)"
 
 
@@ -229,7 +229,7 @@ def compatible_nodes(spark, sf):
     return taxonomy.compatible_pairs(nodes, taxonomy.label_closure(taxonomy.label_tree(spark)))
 
 
-_LEAVES = tuple(sorted(n for n in taxonomy.parents() if n not in taxonomy.CHILDREN))
+_LEAVES = tuple(sorted(set(taxonomy.PARENTS) - set(taxonomy.PARENTS.values())))
 
 
 @query(f"""WITH RECURSIVE {_CLOSURE}, leaf AS (SELECT unnest({list(_LEAVES)!r}) raw), w AS (SELECT d.doc_id, raw, pow(-ln(1 - {u('mass', 'd.doc_id', 'raw')} * 0.999e0), 3) w FROM documents d, leaf),
