@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spanloom.plans import catalog
+from spanloom.plans import catalog, coverage  # noqa: F401  both register queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
