@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import langid, licenses, lm, pii, toxicity
 from spanloom.session import table
@@ -339,14 +340,14 @@ def toks(t):
     return [x.decode() for x in (t or "").encode().lower().split()] + [""]
 
 
-@pytest.mark.parametrize("head", [1 << 17, 40, 0])
-def test_lm_counts(spark, head):
+@pytest.mark.parametrize("contexts", [1 << 17, 40, 0])
+def test_lm_counts(spark, contexts):
     rows = texts()
     docs = clashing(frame(spark, rows)).where("doc_id is not null or true")
     train = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
     from pyspark.sql import functions as F
 
-    got = lm.score(docs, docs.where(~lm.held_out(F.col("doc_id"))), head).collect()
+    got = lm.score(docs, docs.where(~lm.held_out(F.col("doc_id"))), contexts).collect()
     c = {}
     for r in train:
         for w in toks(r[1]):
@@ -357,23 +358,95 @@ def test_lm_counts(spark, head):
     assert all(r.score < 0 for r in got)
 
 
-def test_lm_head_and_join_agree(spark, sf):
-    docs = table(spark, sf, "documents")
-    a, b = ({r.doc_id: r.score for r in lm.score(docs, docs, h).collect()} for h in (1 << 17, 0))
-    assert all(abs(a[k] - b[k]) < 1e-3 * abs(a[k]) for k in a)
+def test_lm_does_not_depend_on_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 1 << 12)  # several blocks, with heavy words in them
+    monkeypatch.setattr(lm, "HEAVY", 50)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    got = []
+    for n in (4, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        d = docs.repartition(n, "doc_id")
+        got.append({r.doc_id: r.score for r in lm.score(d, d.where(~lm.held_out(F.col("doc_id"))), 300).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert all(got[0][k] == pytest.approx(got[1][k], rel=1e-9) for k in got[0])
 
 
-def test_lm_probabilities_sum_to_one(spark):
+def test_lm_probabilities_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 1 << 10)
+    monkeypatch.setattr(lm, "HEAVY", 50)
     docs = frame(spark, [r for r in texts() if r[1] and len(r[1]) < 2000])
-    counts = lm.count(docs)
-    tot = lm.totals(counts)
-    seats = lm.gibbs(counts, tot)
-    st = lm.seating(seats, tot)
-    _, w, _, logs = lm.head(lm.predictive(seats, st), st)
-    assert len(w) == tot.words
-    total = (10.0 ** logs.astype(float)).sum(axis=0) + st.unknown
-    seen = tot.customers > 0
-    assert np.allclose(total[seen], 1, atol=0.02)
+    model = lm.fit(docs, 40)
+    v = model.vocabulary
+    held = {}
+    for d in (model.pairs, model.seats):
+        for r in d.collect():
+            held.setdefault(r.block, {})[r.kind] = r.blob
+    assert len(held) > 2 and len(v.heavy)
+    total = np.zeros(v.none + 1)
+    # a heavy word is spread over blocks, each of which has its pairs with some contexts: own parts add up, the root counts once
+    seen = set()
+    for kinds in held.values():
+        x = lm.Scorer(v, model.kept, [bytes(kinds[lm.PAIRS])], [bytes(kinds[lm.SEATS])])
+        total += np.bincount(x.key % (v.none + 1), x.own, v.none + 1)
+        new = np.array([w not in seen for w in x.word.tolist()])
+        seen |= set(x.word.tolist())
+        total += (x.back * x.root[:, :-1][:, new].sum(axis=1)[:, None]).mean(axis=0)
+    total += (x.back * x.root[:, -1:]).mean(axis=0)
+    used = np.append(model.kept[0].customers > 0, True)
+    assert len(seen) == v.words and np.allclose(total[used], 1, atol=1e-9)
+
+
+def test_seats_follow_the_posterior():
+    """Four customers of one dish in a restaurant: the number of tables, against the sum over all seatings."""
+    from itertools import product
+
+    d, mass = 0.4, 0.7
+    want = np.zeros(5)
+    for seating in product(range(4), repeat=4):  # table of each customer, tables numbered as they open
+        if any(x > max(seating[:i], default=-1) + 1 for i, x in enumerate(seating)):
+            continue
+        p, sizes = 1.0, []
+        for x in seating:
+            if x == len(sizes):
+                p, sizes = p * mass, [*sizes, 1]
+            else:
+                p *= sizes[x] - d
+                sizes[x] += 1
+        want[len(sizes)] += p
+    n = 20_000
+    s, r = lm.Seats(np.ones(n, int), np.full(n, 4), np.full(n, 1)), np.random.default_rng(0)
+    idx = np.arange(n)
+    for _ in range(60):
+        s.remove(idx, r)
+        s.add(idx, np.full(n, mass), d, r)
+    assert (s.c == 4).all() and len(s.sizes) == s.t.sum() and s.sizes.sum() == 4 * n
+    assert np.allclose(np.bincount(s.t, minlength=5) / n, want / want.sum(), atol=0.015)
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 20])
+def test_word_hashes(monkeypatch, piece):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "PIECE", piece)
+    rows = [t for _, t, *_ in texts() if t is None or len(t) < 60_000] + ["a" * 100 + " b", " \t ", "x  y\n" * 50, " " * 200 + "q"]
+    h, text = lm.batch_tokens(pa.array(rows), lm.Hasher(0))
+    said = [(i, w) for i, t in enumerate(rows) for w in toks(t)]
+    assert text.tolist() == [i for i, _ in said]
+    by = {}
+    for (_, w), x in zip(said, h.tolist()):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+
+
+def test_words_that_share_a_hash_go_by_the_second(spark):
+    rows = [(i, t, None, None, None) for i, t in enumerate(["aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq rr ss tt", "aa bb aa", "zz aa"])]
+    docs = frame(spark, rows)
+    v = lm.vocabulary(docs)
+    assert len(v.shared) == 0 and v.words == 22
+    import pyarrow as pa
+
+    w, _, _ = lm.Vocabulary(1, 1, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, int), np.unique(lm.batch_tokens(pa.array(["aa"]), lm.Hasher(0))[0][:1])).tokens_of(pa.array(["aa bb"]), (lm.Hasher(0), lm.Hasher(1)))
+    assert w[0] == lm.batch_tokens(pa.array(["aa"]), lm.Hasher(1))[0][0] and w[1] == lm.batch_tokens(pa.array(["bb"]), lm.Hasher(0))[0][0]
 
 
 def test_lm_beats_unigrams_on_held_out(spark, sf):
