@@ -53,3 +53,11 @@ def stash(df: DataFrame, what: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(cut: DataFrame) -> None:
+    """Deletes what stash() wrote; nothing may read it any more."""
+    spark = cut.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in cut.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
