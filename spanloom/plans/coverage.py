@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import prob, text
-from spanloom.operators import build, calibration, leak, questions, runs, series, spans, splits, stats, taxonomy, training, vectors, windows
+from spanloom.operators import build, calibration, diagnostics, leak, questions, runs, series, spans, splits, stats, taxonomy, training, vectors, windows
 from spanloom.plans.catalog import query, rounded, values
 from spanloom.plans.demo import documents, named, pick, u
 from spanloom.schema import PII_TYPES, SpanError, validate_predictions
@@ -645,3 +645,117 @@ def stages_that_may_run(spark, sf):
     return rows(spark, out, "stage string, may boolean, why string")
 
 
+
+
+# Diagnostics ---------------------------------------------------------------------------------------------------------
+
+# Predictions beside the drawn spans: four in five, one in ten of them moved, one in five mistyped.
+GUESS = f"""{SPAN}, guess AS (SELECT doc_id, "start" + CASE WHEN {u('move', 'doc_id')} < 0.1e0 THEN 2 ELSE 0 END AS "start", "end", CASE WHEN {u('wrong', 'doc_id')} < 0.2e0 THEN 'URL' ELSE label END label, floor({u('how', 'doc_id')} * 1000) / 1000 score FROM span WHERE {u('there', 'doc_id')} < 0.8e0)"""
+
+
+def guess(spark: SparkSession, sf: str) -> DataFrame:
+    s = span(spark, sf).where(draw("there") < 0.8)
+    moved = (F.col("start") + F.when(draw("move") < 0.1, 2).otherwise(0)).cast("int")
+    return s.select("doc_id", moved.alias("start"), "end", F.when(draw("wrong") < 0.2, "URL").otherwise(F.col("label")).alias("label"), (F.floor(draw("how") * 1000) / 1000).alias("score"))
+
+
+_EXACT = f'{GUESS}, x AS (SELECT s.*, g.label said, g.score how, g.doc_id IS NOT NULL hit FROM span s LEFT JOIN guess g ON s.doc_id = g.doc_id AND s."start" = g."start" AND s."end" = g."end")'
+
+
+@query(f"WITH {_EXACT} SELECT count(*) n, count(*) FILTER (how >= 0.3e0) found, round(count(*) FILTER (how >= 0.3e0) / count(*), 6) recall FROM x")
+def boundary_recall(spark, sf):
+    return rounded(diagnostics.boundary_recall(guess(spark, sf), span(spark, sf), 0.3), "recall")
+
+
+@query(f'WITH {_EXACT} SELECT label, count(*) n, count(said) matched, count(*) FILTER (said = label) "right", round(count(*) FILTER (said = label) / count(said), 6) accuracy FROM x GROUP BY label')
+def typing_by_label(spark, sf):
+    return rounded(diagnostics.typing_by_label(guess(spark, sf), span(spark, sf)), "accuracy")
+
+
+@query(f"WITH {_EXACT}, l AS (SELECT label, count(*) FILTER (said = label) / count(said) a FROM x GROUP BY label HAVING count(*) >= 5 AND count(said) > 0) SELECT count(*) labels, round(avg(a), 6) macro FROM l")
+def macro_typing(spark, sf):
+    """Mean over labels with five spans or more."""
+    return rounded(diagnostics.macro(diagnostics.typing_by_label(guess(spark, sf), span(spark, sf), 5)), "macro")
+
+
+@query(f"WITH {_EXACT} SELECT count(*) n, count(*) FILTER (hit) found, round(count(*) FILTER (hit) / count(*), 6) recall, count(*) FILTER (hit) / count(*) >= 0.7e0 passed FROM x")
+def candidate_gate(spark, sf):
+    return rounded(diagnostics.candidate_gate(guess(spark, sf), span(spark, sf), 64, 0.7), "recall")
+
+
+@query(f'WITH {GUESS}, c AS (SELECT s.*, g."start" gs FROM span s LEFT JOIN guess g USING (doc_id)) SELECT sum("end" - "start")::BIGINT chars, sum(CASE WHEN gs IS NULL THEN 0 ELSE "end" - gs END)::BIGINT covered, round(sum(CASE WHEN gs IS NULL THEN 0 ELSE "end" - gs END) / sum("end" - "start"), 6) recall FROM c')
+def proposer_ceiling(spark, sf):
+    """Gold characters under any prediction."""
+    return rounded(diagnostics.covered_chars(guess(spark, sf), span(spark, sf)), "recall")
+
+
+_ERR = f"""{_EXACT}, e AS (SELECT x.*, CASE WHEN hit THEN 'matched' WHEN doc_id IN (SELECT doc_id FROM guess) THEN 'overlap' ELSE 'absent' END kind, CASE WHEN "end" - "start" <= 6 THEN 'short' WHEN "end" - "start" <= 10 THEN 'middle' ELSE 'long' END size FROM x)"""
+
+
+@query(f'WITH {_ERR} SELECT size, kind, count(*) n, count(*) FILTER (said = label) "right" FROM e GROUP BY ALL')
+def error_kinds(spark, sf):
+    return diagnostics.error_summary(diagnostics.errors(guess(spark, sf), span(spark, sf)))
+
+
+@query(f'WITH {_ERR}, c AS (SELECT label, said, count(*) n FROM e WHERE said <> label GROUP BY ALL) SELECT label, said, n, row_number() OVER (ORDER BY n DESC, label, said) "rank" FROM c QUALIFY row_number() OVER (ORDER BY n DESC, label, said) <= 12')
+def confusions(spark, sf):
+    return diagnostics.confusions(diagnostics.errors(guess(spark, sf), span(spark, sf)))
+
+
+_PICK = f"{_P}, a AS (SELECT doc_id, q, list_position(q, list_max(q)) - 1 pick, doc_id % 3 target FROM p)"
+
+
+def _answers(spark, sf):
+    return _probs(spark, sf).select("doc_id", F.col("q").alias("probabilities"), (F.col("doc_id") % 3).cast("int").alias("target"))
+
+
+@query(f"WITH {_PICK} SELECT count(*) n, round(avg((pick = target)::INT) FILTER (target <> 2), 6) gold_accuracy, round(avg((pick = target)::INT) FILTER (target = 2), 6) none_accuracy, round(avg((pick = 2)::INT), 6) none_rate, round(avg(list_max(q)), 6) mean_top FROM a")
+def answer_summary(spark, sf):
+    return rounded(diagnostics.answer_summary(_answers(spark, sf), 2), "gold_accuracy", "none_accuracy", "none_rate", "mean_top")
+
+
+@query(f'WITH {_PICK}, c AS (SELECT pick::BIGINT pick, count(*) n FROM a GROUP BY pick) SELECT pick, n, row_number() OVER (ORDER BY n DESC, pick) "rank" FROM c')
+def top_picks(spark, sf):
+    return diagnostics.top_picks(_answers(spark, sf))
+
+
+_GRID = (-1.0, -0.5, 0.0, 0.5, 1.0)
+
+
+@query(f"""WITH {_PICK}, g AS (SELECT unnest({list(_GRID)!r})::DOUBLE o), m AS (SELECT doc_id % 2 fold, o, target, [ln(q[1]), ln(q[2]), ln(q[3]) + o] l FROM a, g), c AS (SELECT fold, o, avg((list_position(l, list_max(l)) - 1 = target)::INT) acc FROM m GROUP BY ALL),
+b AS (SELECT fold, arg_max(o, (acc, -abs(o), -o)) o FROM c GROUP BY fold) SELECT (1 - b.fold)::BIGINT test_fold, b.o AS "offset", round(z.acc, 6) AS "before", round(t.acc, 6) AS "after" FROM b JOIN c t ON t.fold = 1 - b.fold AND t.o = b.o JOIN c z ON z.fold = 1 - b.fold AND z.o = 0""")
+def prior_corrections(spark, sf):
+    return rounded(diagnostics.prior_correction(_answers(spark, sf), F.col("doc_id") % 2, 2, list(_GRID)), "before", "after")
+
+
+@query(f"""WITH {_MEANS}, h AS (SELECT label, label % 3 node, v FROM n WHERE label < 3), t AS (SELECT label, label % 3 node, v FROM n WHERE label >= 3), s AS (SELECT h.label, t.label tl, t.node <> h.node other, list_sum([h.v[i] * t.v[i] for i in range(1, 65)]) c FROM h, t)
+SELECT 'label' || label label, count(*) FILTER (NOT other) same_node, count(*) FILTER (other) remaining, 'label' || arg_max(tl, c) FILTER (other) nearest, round(max(c) FILTER (other), 6) cosine FROM s GROUP BY label""")
+def neighbour_audit(spark, sf):
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    m = vectors.with_unit(e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("embedding")))
+    m = m.select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("label"), (F.col("label") % 3).alias("node"), "unit", F.col("label").alias("k"))
+    return rounded(diagnostics.neighbour_audit(m.where("k < 3"), m.where("k >= 3")), "cosine")
+
+
+@query(f"""WITH d AS (SELECT lang dataset, avg({u('sa', 'doc_id')}) a, avg({u('sb', 'doc_id')}) b FROM documents GROUP BY lang), s AS (SELECT 'a' system, dataset, round(a, 6) pauc FROM d UNION ALL SELECT 'b', dataset, round(b, 6) FROM d) SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pauc, system) place FROM s""")
+def scoreboard(spark, sf):
+    d = documents(spark, sf)
+    return diagnostics.scoreboard({s: rounded(d.groupBy(F.col("lang").alias("dataset")).agg(F.avg(draw("s" + s)).alias("pauc")), "pauc") for s in ("a", "b")}, "pauc")
+
+
+@query(f"""WITH h AS (SELECT floor({u('ch', 'doc_id')} * 200) / 200 score, n_chars % 7 pii, n_chars % 7 + n_chars % 11 n FROM documents), c AS (SELECT score, unnest(range(n)) i, pii FROM h), e AS (SELECT quantile_cont(score, {[i / 15 for i in range(1, 15)]!r}) q FROM c),
+b AS (SELECT len([x for x in q if x <= score]) b, score, i < pii y FROM c, e), g AS (SELECT b, count(*) k, avg(score) p, avg(y::INT) y FROM b GROUP BY b) SELECT round(sum(k * abs(p - y)) / sum(k), 6) ece FROM g""")
+def char_ece(spark, sf):
+    h = documents(spark, sf).select((F.floor(draw("ch") * 200) / 200).alias("score"), (F.col("n_chars") % 7).alias("n_pii"), (F.col("n_chars") % 11).alias("n_non"))
+    return rounded(diagnostics.char_ece(h), "ece")
+
+
+@query("SELECT 'done' AS state, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents")
+def result_round_trip(spark, sf):
+    """A result written as JSON over an older one and read again."""
+    at = folder(spark, "result")
+    r = documents(spark, sf).agg(F.count("*"), F.sum("n_chars")).first()
+    sinks.write_result(spark, {"state": "begun"}, at)
+    sinks.write_result(spark, {"state": "done", "n": r[0], "chars": r[1]}, at)
+    back = sinks.read_result(spark, at)
+    return rows(spark, [(back["state"], back["n"], back["chars"])], "state string, n long, chars long")

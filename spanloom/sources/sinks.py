@@ -93,3 +93,12 @@ def add_new(rows: DataFrame, key: str, path: str) -> int:
 def write_store(rows: DataFrame, path: str) -> None:
     """Feature store, one row a candidate; a task that fails is run again by itself."""
     rows.write.mode("overwrite").parquet(path)
+
+
+def write_result(spark: SparkSession, result: dict, path: str) -> None:
+    """One JSON object; Spark's commit makes it appear whole or not at all, also over an older one."""
+    spark.createDataFrame([(json.dumps(result, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_result(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
