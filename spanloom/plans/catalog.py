@@ -276,7 +276,14 @@ def overlap_counts(spark, sf):
     return spans.kept_overlaps(demo.preds(spark, sf))
 
 
-@query()
+# Spans in order of score; each is kept unless it overlaps one kept before.
+_GREEDY = """o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "start", "end", label) n FROM preds),
+walk AS (SELECT doc_id, n, [{'s': "start", 'e': "end", 'l': label, 'c': score}] k FROM o WHERE n = 1
+UNION ALL SELECT o.doc_id, o.n, CASE WHEN len([x for x in w.k if o."start" < x.e AND o."end" > x.s]) = 0 THEN list_append(w.k, {'s': o."start", 'e': o."end", 'l': o.label, 'c': o.score}) ELSE w.k END FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1),
+kept AS (SELECT doc_id, unnest(k) x FROM (SELECT doc_id, arg_max(k, n) k FROM walk GROUP BY doc_id))"""
+
+
+@query(f"WITH RECURSIVE {GOLD}, {preds_sql('a')}, {_GREEDY} SELECT doc_id, x.s AS \"start\", x.e AS \"end\", x.l label, x.c score FROM kept")
 def suppressed(spark, sf):
     return spans.suppress(demo.preds(spark, sf))
 
@@ -384,10 +391,14 @@ def exact_dups(spark, sf):
 _ROWS = f"{_SHINGLES}, sr AS (SELECT doc_id, len(s) n, unnest(s) h FROM sh)"
 
 
-@query(f"""WITH {_ROWS}, p AS (SELECT a.doc_id test_id, b.doc_id train_id, a.n an, b.n bn, count(*) c FROM sr a JOIN sr b USING (h) WHERE a.doc_id > b.doc_id GROUP BY ALL) SELECT test_id, train_id, round(c / (an + bn - c), 6) jaccard FROM p WHERE c / (an + bn - c) >= 0.8e0""")
+@query(f"""WITH {_ROWS}, f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) f FROM documents), o AS (SELECT * FROM sr WHERE doc_id IN (SELECT f FROM f)),
+p AS (SELECT a.doc_id test_id, b.doc_id train_id, a.n an, b.n bn, count(*) c FROM o a JOIN o b USING (h) WHERE a.doc_id > b.doc_id GROUP BY ALL)
+SELECT test_id, train_id, round(c / (an + bn - c), 6) jaccard FROM p WHERE c / (an + bn - c) >= 0.8e0 UNION ALL SELECT doc_id, f, 1e0 FROM f WHERE doc_id <> f""")
 def near_dups_jaccard(spark, sf):
-    d = documents(spark, sf).select("doc_id", "text")
-    return rounded(audit.similar_pairs(d, d, 0.8, self_join=True), "jaccard")
+    """Pairs of different texts by the first document of each, and copies with theirs."""
+    one, members = audit.folded(documents(spark, sf).select("doc_id", "text"))
+    pairs = rounded(audit.similar_pairs(one, one, 0.8, self_join=True), "jaccard")
+    return pairs.unionByName(members.where("doc_id <> first").select(F.col("doc_id").alias("test_id"), F.col("first").alias("train_id"), F.lit(1.0).alias("jaccard")))
 
 
 _SKEL = f"""{GOLD}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, label) n FROM gold),
@@ -409,13 +420,31 @@ def _halves(spark, sf):
     return d.where(half), d.where(~half)
 
 
-@query()
+def _near_sql(name: str, shingles: str, text: str, share: str) -> str:
+    """Test halves near train halves, by different texts: {name}(doc_id, ids)."""
+    return f"""{name}_s AS (SELECT doc_id, {text} t, {shingles} s FROM halves), {name}_f AS (SELECT doc_id, test, t, min(doc_id) OVER (PARTITION BY test, t) f FROM {name}_s JOIN halves USING (doc_id)),
+{name}_r AS (SELECT doc_id, len(s) n, unnest(s) h FROM {name}_s WHERE doc_id IN (SELECT f FROM {name}_f)), {name}_p AS (SELECT a.doc_id x, b.doc_id y, a.n an, b.n bn, count(*) c FROM {name}_r a JOIN {name}_r b USING (h) JOIN halves ha ON ha.doc_id = a.doc_id AND ha.test JOIN halves hb ON hb.doc_id = b.doc_id AND NOT hb.test GROUP BY ALL),
+{name}_l AS (SELECT x, list_sort(list(y))[1:5] ids FROM {name}_p WHERE c / (an + bn - c) >= {share} GROUP BY x), {name} AS (SELECT {name}_f.doc_id, array_to_string(ids, ',') ids FROM {name}_f JOIN {name}_l ON f = x WHERE test)"""
+
+
+def _shingled(text: str) -> str:
+    w = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')"
+    return f"(CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_distinct([array_to_string(({w})[i:i + 4], ' ') for i in range(1, len({w}) - 3)]) END)"
+
+
+_SKEL_EMAIL = _SKEL.replace("FROM gold), walk", "FROM gold WHERE label = 'EMAIL'), walk").replace("FROM gold),\nwalk", "FROM gold WHERE label = 'EMAIL'),\nwalk")
+_FLAGGED = f"""{_SKEL_EMAIL}, halves AS (SELECT k.doc_id, d.text, k.skeleton, d.source, {u('half', 'k.doc_id')} >= 0.5e0 test FROM skel k JOIN documents d USING (doc_id)), {_near_sql('near', _shingled('text'), 'text', '0.8e0')}, {_near_sql('tmpl', _shingled('skeleton'), 'skeleton', '0.9e0')},
+flagged AS (SELECT h.doc_id, source cluster_id, coalesce(near.ids, '') near, h.skeleton IN (SELECT skeleton FROM halves WHERE NOT test) same_skeleton, coalesce(tmpl.ids, '') template FROM halves h LEFT JOIN near USING (doc_id) LEFT JOIN tmpl USING (doc_id) WHERE h.test AND (near.ids IS NOT NULL OR tmpl.ids IS NOT NULL OR h.skeleton IN (SELECT skeleton FROM halves WHERE NOT test)))"""
+
+
+@query(f"WITH RECURSIVE {_FLAGGED} SELECT * FROM flagged")
 def audit_flagged(spark, sf):
     """One half by hash against the other, two sides of a split."""
-    return audit.audit(*_halves(spark, sf))
+    return audit.audit(*_halves(spark, sf)).withColumns({c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit("")) for c in ("near", "template")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FLAGGED}, t AS (SELECT doc_id, source c FROM halves WHERE test), stay AS (SELECT * FROM t WHERE c NOT IN (SELECT cluster_id FROM flagged) AND doc_id NOT IN (SELECT doc_id FROM flagged))
+SELECT (SELECT count(*) FROM t) n_test, (SELECT count(*) FROM flagged) n_flagged, ((SELECT count(*) FROM t) - (SELECT count(*) FROM stay)) / (SELECT count(*) FROM t) dropped_docs, ((SELECT count(DISTINCT c) FROM t) - (SELECT count(DISTINCT c) FROM stay)) / (SELECT count(DISTINCT c) FROM t) dropped_clusters""")
 def audit_report(spark, sf):
     train, test = _halves(spark, sf)
     return audit.report(test, stash(audit.audit(train, test), "flagged"))
@@ -517,7 +546,16 @@ def selective_band(spark, sf):
 _SD = f"sd AS (SELECT l.doc_id, d.lang label, floor(({u('doc', 'l.doc_id')} * 0.6e0 + quality * 0.4e0) * 1000) / 1000 score, quality target FROM labels l JOIN documents d USING (doc_id))"
 
 
-@query()
+# Candidate pairs by score, then IoU, then order; a pair is won if both of its spans are free.
+_CANDIDATES = f"""{GOLD}, {preds_sql('a')}, {MERGED}, mg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start") g FROM merged), pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", label, score DESC) p FROM preds WHERE score >= 0.05e0),
+j AS (SELECT pr.doc_id, p, g, score, greatest(0, least(pr."end", mg."end") - greatest(pr."start", mg."start")) / (greatest(pr."end", mg."end") - least(pr."start", mg."start")) iou FROM pr JOIN mg ON pr.doc_id = mg.doc_id AND pr."start" < mg."end" AND pr."end" > mg."start"),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, iou DESC, p, g) n FROM j WHERE iou >= 0.5e0),
+walk AS (SELECT doc_id, n, [p] ps, [g] gs FROM q WHERE n = 1 UNION ALL SELECT q.doc_id, q.n, CASE WHEN list_contains(w.ps, q.p) OR list_contains(w.gs, q.g) THEN w.ps ELSE list_append(w.ps, q.p) END, CASE WHEN list_contains(w.ps, q.p) OR list_contains(w.gs, q.g) THEN w.gs ELSE list_append(w.gs, q.g) END FROM walk w JOIN q ON q.doc_id = w.doc_id AND q.n = w.n + 1),
+won AS (SELECT doc_id, unnest(ps) p FROM (SELECT doc_id, arg_max(ps, n) ps FROM walk GROUP BY doc_id)),
+free AS (SELECT DISTINCT pr.doc_id, p FROM pr JOIN gold i ON i.doc_id = pr.doc_id AND i.label = 'IGNORE' AND pr."start" < i."end" AND pr."end" > i."start" WHERE NOT EXISTS (SELECT 1 FROM mg WHERE mg.doc_id = pr.doc_id AND pr."start" < mg."end" AND pr."end" > mg."start"))"""
+
+
+@query(f"WITH RECURSIVE {_CANDIDATES} SELECT pr.doc_id, pr.\"start\", pr.\"end\", pr.label, pr.score, (won.p IS NOT NULL)::BIGINT target FROM pr ANTI JOIN free ON free.doc_id = pr.doc_id AND free.p = pr.p LEFT JOIN won ON won.doc_id = pr.doc_id AND won.p = pr.p")
 def calibration_candidates(spark, sf):
     r, g, p = demo.world(spark, sf)
     return calibration.candidates(p, g)[0]
@@ -726,14 +764,17 @@ def clipped_targets(spark, sf):
 
 
 def _emissions(spark, sf):
-    """Twelve tokens of two types a document, drawn by hash."""
-    e = F.array(*[F.array(*[prob.unit(f"e{i}.{k}", F.col("doc_id")) * 4 - 2 for k in range(9)]) for i in range(12)])
-    return documents(spark, sf).select("doc_id", e.alias("emissions"))
+    """Scores of two types for every word of the whole text, drawn by hash, in order."""
+    e = F.array(*[F.pmod(F.xxhash64(F.lit(f"e{k}"), "doc_id", "idx"), F.lit(100_000)) / 25_000 - 2 for k in range(9)])
+    each = demo.runs(spark, sf).select("doc_id", F.struct("idx", e.alias("e")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return each.select("doc_id", F.transform("x", lambda x: x["e"]).alias("emissions"))
 
 
 @query()
 def crf_spans(spark, sf):
-    return crf.span_probabilities(_emissions(spark, sf), crf.Chain.of(2, step=np.zeros((9, 9))), floor=0.05)
+    """Over sequences of twelve words drawn for each document; crf_path decodes whole texts."""
+    few = _emissions(spark, sf).withColumn("emissions", F.slice("emissions", 1, 12))
+    return crf.span_probabilities(few, crf.Chain.of(2, step=np.zeros((9, 9))), floor=0.05)
 
 
 @query()
