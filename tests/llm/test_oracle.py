@@ -6,11 +6,10 @@ import os
 
 import duckdb
 import pytest
+from test_oracle import plain
 
 from spanloom.llm import queries
 
-from ..test_oracle import plain
-
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, sf, name):
