@@ -46,7 +46,11 @@ def hash_split(docs: DataFrame, cluster: str, frac: float, salt: str) -> DataFra
 
 
 def stratified_sample(docs: DataFrame, n: int | None, stratum: str, salt: str, key: str = "doc_id") -> DataFrame:
-    """n documents in hash order within strata, shared out by size with the largest remainders rounded up, ties by name."""
+    """n documents in hash order within strata, shared out by size with the largest remainders rounded up, ties by name.
+
+    Documents are counted by stratum and piece of the hash; a piece is ranked in itself, and only those before the
+    stratum's share are looked at, so a stratum with most documents is no single task's.
+    """
     sizes = docs.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     if n is None or n >= total:
@@ -55,9 +59,15 @@ def stratified_sample(docs: DataFrame, n: int | None, stratum: str, salt: str, k
     left = n - (q.agg(F.sum("_base")).first()[0] or 0)
     rank = F.row_number().over(Window.orderBy((F.col("_q") - F.col("_base")).desc(), "_s"))  # one row a stratum
     q = q.withColumn("_take", F.col("_base") + F.when(rank <= left, 1).otherwise(0)).select("_s", "_take")
-    order = Window.partitionBy(stratum).orderBy(digest(salt, F.col(key)))
-    d = docs.withColumn("_rank", F.row_number().over(order))
-    return d.join(q, d[stratum].eqNullSafe(q["_s"])).where(F.col("_rank") <= F.col("_take")).drop("_s", "_take", "_rank")
+    d = docs.withColumn("_h", digest(salt, F.col(key))).withColumn("_piece", F.substring("_h", 1, 3))
+    pieces = d.groupBy(F.col(stratum).alias("_s"), "_piece").agg(F.count("*").alias("_k"))
+    upto = Window.partitionBy("_s").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 pieces a stratum
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_k").over(upto), F.lit(0)))
+    q = q.withColumnRenamed("_s", "_t")
+    pieces = pieces.join(q, pieces["_s"].eqNullSafe(q["_t"])).where(F.col("_before") < F.col("_take")).select("_s", F.col("_piece").alias("_p"), "_before", "_take")
+    d = d.join(pieces, d[stratum].eqNullSafe(pieces["_s"]) & (d["_piece"] == pieces["_p"]))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", key))
+    return d.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_take")).select(*docs.columns)
 
 
 def dev_slice(docs: DataFrame, group: Column, frac: float, salt: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,22 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return word_runs(documents(spark, sf))
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is stored once a session and folder, as many queries read it."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _STORED:
+        _STORED[key] = stash(make(), name)
+    return _STORED[key]
+
+
 def world(spark: SparkSession, sf: str, system: str = "a") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(runs, gold, predictions), each stored once, as queries read them several times."""
-    r = stash(runs(spark, sf).select("doc_id", "idx", "start", "end"), "runs")
-    g = stash(gold_of(r), "gold")
-    return r, g, stash(preds_of(r, g, system), "preds")
+    """(runs, gold, predictions)."""
+    r = _stored(spark, sf, "runs", lambda: runs(spark, sf).select("doc_id", "idx", "start", "end"))
+    g = _stored(spark, sf, "gold", lambda: gold_of(r))
+    return r, g, _stored(spark, sf, f"preds-{system}", lambda: preds_of(r, g, system))
 
 
 def _u(salt: str) -> Column:
@@ -52,12 +65,11 @@ def preds_of(r: DataFrame, gold: DataFrame, system: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    return gold_of(runs(spark, sf))
+    return world(spark, sf)[1]
 
 
 def preds(spark: SparkSession, sf: str, system: str = "a") -> DataFrame:
-    r = runs(spark, sf)
-    return preds_of(r, gold_of(r), system)
+    return world(spark, sf, system)[2]
 
 
 def scored_docs(spark: SparkSession, sf: str) -> DataFrame:
