@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, licenses, linededup, lm, mixing, pii, quality, simhash, sql, toxicity
+from spanloom.llm import decontaminate, fim, langid, licenses, linededup, lm, mixing, pii, quality, simhash, sql, toxicity, urls, whitening
 from spanloom.session import table
 
 
@@ -56,8 +56,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_personal_data, op4_quality_rules, op5_toxicity, op6_lm_scoring, op7_line_dedup, op8_source_mixing, op9_decontamination, op10_language_id)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_personal_data, op4_quality_rules, op5_toxicity, op6_lm_scoring, op7_line_dedup, op8_source_mixing, op9_decontamination, op10_language_id, op11_fill_in_middle, op12_embedding_whitening, op13_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": sql.OP4, "op8_source_mixing": sql.OP8, "op9_decontamination": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": sql.OP4, "op8_source_mixing": sql.OP8, "op9_decontamination": sql.OP9, "op11_fill_in_middle": sql.OP11, "op13_url_filter": sql.op13(urls)}

@@ -37,3 +37,27 @@ dw AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all({_LOW}, {WORD})
 d AS (SELECT DISTINCT r, doc_id, n, array_to_string(w[k:k + n - 1], ' ') g FROM (SELECT r, doc_id, w, n, unnest(range(1, len(w) - n + 2)) k FROM dw, (SELECT DISTINCT n FROM iw))),
 h AS (SELECT r, doc_id, item_id, count(*) got FROM d JOIN i USING (n, g) GROUP BY ALL)
 SELECT doc_id, item_id, max(need) n_shingles, max(got) n_common, max(got) / max(need) containment FROM h JOIN c USING (item_id) WHERE got >= need * 0.8e0 - 1e-9 GROUP BY doc_id, item_id"""
+
+_H = "('0x' || substr(h, {}, 8))::BIGINT"
+OP11 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) h FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') l FROM d), n AS (SELECT *, len(l) n FROM l),
+c AS (SELECT *, least({_H.format(1)} % (n + 1), {_H.format(9)} % (n + 1)) a, greatest({_H.format(1)} % (n + 1), {_H.format(9)} % (n + 1)) b,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_H.format(17)} % 100 >= 100 THEN 'plain' WHEN {_H.format(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END form FROM n),
+p AS (SELECT *, array_to_string(l[1:a], '') p, array_to_string(l[a + 1:b], '') m, array_to_string(l[b + 1:], '') s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) output_sha256, sha256(text) restored_sha256 FROM p"""
+
+
+def op13(urls) -> str:
+    """Every term by a pattern of its own, where the operator reads a url once."""
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
+    terms = ", ".join(f"('{t.strip('*')}', {t.startswith('*')}, {t.endswith('*')}, {t in urls.STRICT}, {0 if t in urls.STRICT else urls.SOFT[t]})" for t in {**urls.SOFT, **dict.fromkeys(urls.STRICT)})
+    low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""WITH r(v, h, p) AS (VALUES {rules}), t(core, l, r, strict, weight) AS (VALUES {terms}),
+x AS (SELECT core, strict, weight, CASE WHEN l THEN '' ELSE '(?:^|[^\p{{L}}])' END || core || CASE WHEN r THEN '' ELSE '(?:$|[^\p{{L}}])' END pattern FROM t),
+d AS (SELECT row_number() OVER () i, page_id, {low} u, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') h0, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path FROM pages),
+e AS (SELECT i, page_id, u, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host FROM d),
+w AS (SELECT i, arg_max(h || p, (length(h || p), length(h))) rule, arg_max(v, (length(h || p), length(h))) v FROM e JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY i),
+k AS (SELECT i, count(*) FILTER (strict) n_strict, count(*) FILTER (NOT strict) n_soft, sum(weight)::BIGINT soft_weight FROM e JOIN x ON contains(u, core) AND regexp_matches(u, pattern) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN n_strict > 0 OR n_soft >= {urls.LEAST_SOFT} AND soft_weight >= {urls.SOFT_WEIGHT} THEN 'block' ELSE 'allow' END) verdict,
+coalesce(n_strict, 0) n_strict, coalesce(n_soft, 0) n_soft, coalesce(soft_weight, 0) soft_weight FROM e LEFT JOIN w USING (i) LEFT JOIN k USING (i)"""
