@@ -13,8 +13,12 @@ from spanloom.session import stash
 
 #: Rows of the sample on which costs and selectivities are estimated, at most.
 SAMPLE_ROWS = 1000
-#: Times that a rule is applied to each row of the sample while it is timed.
-REPEAT = 50
+#: Times that a rule is applied to each row of the sample while it is timed, at first; times it grows; applications at most.
+REPEAT, GROWTH, MOST = 4, 16, 1 << 22
+#: Seconds a row below which rules count as equally cheap.
+RESOLUTION = 2e-7
+#: A rule's own time counts once it is so many times the spread of the same job without a rule, and so large a part of it.
+CLEAR, PART = 4, 0.5
 WINDOW = 3
 
 
@@ -77,26 +81,42 @@ BASE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 def estimate(sample: DataFrame, rules: tuple[Rule, ...] = RULES, repeat: int = REPEAT) -> tuple[dict[str, float], list[tuple[bool, ...]]]:
     """Seconds a row of each rule, and what each rule says of each row of a small stored sample that the base rules pass.
 
-    A rule is timed in one job that applies it to every row `repeat` times, less the same job without a rule, so that what
-    a job costs besides doesn't count; the least of three runs.
+    A rule is timed in a job that applies it to every row `repeat` times, less the same job without a rule, so that what a
+    job costs besides doesn't count. The repeats grow until the rule's own time stands clear of that job's time and spread;
+    the lesser of two such times counts. A rule whose time doesn't show after as many applications as RESOLUTION needs
+    costs RESOLUTION, as does any below it: among those rejections alone decide.
     """
     def rejected(r: Rule) -> Column:
         return F.coalesce(F.expr(r.fails), F.lit(False))
 
     said = [tuple(r) for r in sample.where(f"not ({BASE})").select(*[rejected(r).alias(r.name) for r in rules]).collect()]  # rows of the sample
-    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias(fresh(sample, "again")))
-    n = max(1, sample.count() * repeat)
-
-    def seconds(condition: Column) -> float:
-        def once() -> float:
-            t = time.perf_counter()
-            many.agg(F.count_if(condition)).collect()
-            return time.perf_counter() - t
-
-        return min(once() for _ in range(3))
-
-    empty = seconds(F.col("n_words") < 0)
-    return {r.name: max(seconds(rejected(r)) - empty, 1e-5 * empty) / n for r in rules}, said
+    rows = max(1, sample.count())
+
+    def seconds(condition: Column, times: int) -> float:
+        t = time.perf_counter()
+        sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias(again)).agg(F.count_if(condition)).collect()
+        return time.perf_counter() - t
+
+    again = fresh(sample, "again")
+    without: dict[int, list[float]] = {}
+
+    def cost(condition: Column) -> float:
+        times = max(1, repeat)
+        seconds(condition, 1)  # compiled from here on
+        while True:
+            if times not in without:
+                without[times] = sorted(seconds(F.col("n_words") < 0, times) for _ in range(4))
+            empty, worst = without[times][0], without[times][2]
+            need = max(CLEAR * (worst - empty), PART * empty)
+            own = seconds(condition, times) - empty
+            if own > need:
+                return max((min(own, seconds(condition, times) - empty)) / (rows * times), RESOLUTION)
+            if need < RESOLUTION * rows * times or rows * times >= MOST:
+                return RESOLUTION
+            times *= max(2, min(GROWTH, round(2 * need / max(own, need / GROWTH))))
+
+    costs = {r.name: cost(rejected(r)) for r in rules}
+    return costs, said
 
 
 def cascade(rules: tuple[Rule, ...], costs: dict[str, float], said: list[tuple[bool, ...]]) -> list[Rule]:
@@ -127,6 +147,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE
     key = fresh(docs, "key")
     ids = docs.select(F.xxhash64("doc_id").alias(key)).distinct().orderBy(key).limit(rows)
     few = docs.select("text", F.xxhash64("doc_id").alias(key)).join(F.broadcast(ids), key, "left_semi").select(F.coalesce("text", F.lit("")).alias("text")).limit(rows)
+    few = few.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # the limit leaves one task
     return cascade(rules, *estimate(stash(metrics(few), "rule-sample"), rules, repeat))
 
 
