@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import prob
+from spanloom.operators.order import Falling, running
 from spanloom.operators.spans import as_b, merged_gold, overlap_join
 from spanloom.schema import IGNORE
+from spanloom.session import stash
 
 FLOOR, IOU = 0.05, 0.5
 
@@ -56,23 +58,15 @@ def brier(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def adaptive_ece(rows: DataFrame, key: str, bins: int = 15) -> DataFrame:
-    """Equal-count bins in order of score; the first ones hold one more where counts don't divide.
-
-    Bins come from rank over all rows, found by counts per score first, so equal scores are ranked inside their score.
-    """
+    """Equal-count bins in order of score, then key; the first ones hold one more where counts don't divide. NaN without rows."""
     n = rows.count()
-    if not n:
-        return rows.sparkSession.createDataFrame([(float("nan"),)], "ece double")
-    b = min(bins, n)
+    b = max(1, min(bins, n))
     base, extra = divmod(n, b)
-    scores = rows.groupBy("score").agg(F.count("*").alias("k"))
-    # one row a score; scores are the grid of a system or its distinct outputs
-    before = scores.withColumn("base", F.coalesce(F.sum("k").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("score", "base")
-    r = rows.join(before, "score").withColumn("i", F.col("base") + F.row_number().over(Window.partitionBy("score").orderBy(key)) - 1)
     wide = extra * (base + 1)
-    bin_ = F.when(F.col("i") < wide, F.expr(f"i div {base + 1}")).otherwise(F.expr(f"{extra} + (i - {wide}) div {max(base, 1)}"))
+    r = running(rows.select("score", "target", key), [F.col("score"), F.col(key)])
+    bin_ = F.when(F.col("rank") < wide, F.expr(f"rank div {base + 1}")).otherwise(F.expr(f"{extra} + (rank - {wide}) div {max(base, 1)}"))
     g = r.groupBy(bin_.alias("bin")).agg(F.count("*").alias("k"), F.avg("score").alias("p"), F.avg("target").alias("y"))
-    return g.agg(F.sum(F.col("k") / n * F.abs(F.col("p") - F.col("y"))).alias("ece"))
+    return g.agg(F.coalesce(F.sum(F.col("k") / max(n, 1) * F.abs(F.col("p") - F.col("y"))), F.lit(float("nan"))).alias("ece"))
 
 
 def width_ece(rows: DataFrame, bins: int = 15) -> DataFrame:
@@ -97,59 +91,147 @@ def brier_skill(rows: DataFrame, calib: DataFrame) -> DataFrame:
 
 
 def risk_coverage(rows: DataFrame, key: str) -> DataFrame:
-    """(i, coverage, risk): errors among the i most confident rows, by score and then key.
-
-    Running counts are made by score first, then inside a score.
-    """
+    """(i, coverage, risk): errors among the i most confident rows, by score and then key."""
     n = rows.count()
-    scores = rows.groupBy("score").agg(F.count("*").alias("k"), F.sum(1 - F.col("target")).alias("e"))
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = scores.select("score", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("k0"), F.coalesce(F.sum("e").over(w), F.lit(0)).alias("e0"))
-    inside = Window.partitionBy("score").orderBy(key)
-    r = rows.join(base, "score").withColumn("i", F.col("k0") + F.row_number().over(inside))
-    errors = F.col("e0") + F.sum(1 - F.col("target")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return r.select("i", (F.col("i") / n).alias("coverage"), (errors / F.col("i")).alias("risk"))
+    r = running(rows.select("score", "target", key), [Falling(F.col("score")), F.col(key)], {"before": 1 - F.col("target")})
+    i = F.col("rank") + 1
+    return r.select(i.alias("i"), (i / n).alias("coverage"), ((F.col("before") + 1 - F.col("target")) / i).alias("risk"))
 
 
 def auroc(rows: DataFrame) -> DataFrame:
-    """Share of positive-negative pairs in the right order, ties half; from counts per score."""
+    """Share of positive-negative pairs in the right order, ties half; counts by score are added up in order."""
     s = rows.groupBy("score").agg(F.sum("target").alias("pos"), F.sum(1 - F.col("target")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = s.select((F.col("pos") * (below + F.col("neg") / 2)).alias("w"), "pos", "neg")
+    won = running(s, [F.col("score")], {"below": F.col("neg")}).select((F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("w"), "pos", "neg")
     return won.agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("w") / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auroc"))
 
 
-def lower_quantile(rows: DataFrame, coverage: float) -> float:
-    """The value at index floor((n - 1) * (1 - coverage)) in order of score."""
+def lower_quantile(rows: DataFrame, coverage: float) -> float | None:
+    """The value at index floor((n - 1) * (1 - coverage)) in order of score; none without rows."""
     n = rows.count()
     k = math.floor((n - 1) * (1 - coverage))
-    s = rows.groupBy("score").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("score")))
-    return s.where(F.col("upto") > k).agg(F.min("score")).first()[0]
+    s = running(rows.groupBy("score").agg(F.count("*").alias("k")), [F.col("score")], {"before": F.col("k")})
+    return s.where((F.col("before") <= k) & (F.col("before") + F.col("k") > k)).agg(F.min("score")).first()[0]
+
+
+# Isotonic recalibration ----------------------------------------------------------------------------------------------
+
+#: Cells of the score in which rows meet the pieces of a fit.
+CELLS = 1024
+_BLOCK = "label string, lo double, hi double, k double, s double"
+
+
+def pool(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Adjacent blocks (lo, hi, k rows, sum s) in order of lo, pooled until their means rise.
+
+    Pooling what violates the order in any sequence gives the same blocks, so parts may be pooled apart and then together.
+    """
+    out: list[list[float]] = []
+    for lo, hi, k, s in blocks.sort_values("lo")[["lo", "hi", "k", "s"]].itertuples(index=False):
+        out.append([lo, hi, k, s])
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            _, hi, k, s = out.pop()
+            out[-1][1:] = [hi, out[-1][2] + k, out[-1][3] + s]
+    return pd.DataFrame(out, columns=["lo", "hi", "k", "s"])
 
 
-def fit_isotonic(rows: DataFrame, least: int = 50):
-    """A function that recalibrates rows (score, label): a fit for each label with enough rows, else the pooled one.
+def isotonic_blocks(rows: DataFrame, least: int = 50) -> DataFrame:
+    """(label, lo, hi, k, s): the rising fit of target by score of each label with at least `least` rows; null label: of all.
 
-    Fits are made by Spark's own regression.
+    Rows are counted by (label, score) first. Blocks are pooled inside ranges of the order (label, score), then once more by
+    label, where only what is left of each range comes together: with targets of 0 and 1 the means of n rows' blocks are
+    rising fractions, so there are some n^(2/3) at most. All labels are fitted in one job.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+    own = F.explode(F.array(F.col("label"), F.lit(None).cast("string")))
+    seen = rows.select("score", "target", F.col("label").cast("string").alias("label"))
+    seen = seen.where("label is not null").select("score", "target", own.alias("label")).unionByName(seen.where("label is null"))
+    points = seen.groupBy("label", "score").agg(F.count("*").cast("double").alias("k"), F.sum("target").cast("double").alias("s"))
+    enough = points.groupBy("label").agg(F.sum("k").alias("n")).where((F.col("n") >= least) | F.col("label").isNull())
+    points = points.join(enough.select(F.col("label").alias("_l")), F.col("label").eqNullSafe(F.col("_l")), "left_semi")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = points.repartitionByRange(parts, "label", "score").withColumn("part", F.spark_partition_id())
+
+    def of_group(t: pd.DataFrame) -> pd.DataFrame:
+        return pool(t).assign(label=t["label"].iloc[0])[["label", "lo", "hi", "k", "s"]]
 
-    vector = VectorAssembler(inputCols=["score"], outputCol="_v")
-    train = vector.transform(rows.select("score", F.col("target").cast("double").alias("target"), "label"))
-    fit = lambda d: IsotonicRegression(featuresCol="_v", labelCol="target", predictionCol="fitted").fit(d)
-    pooled = fit(train)
-    many = [r.label for r in rows.groupBy("label").count().where(F.col("count") >= least).select("label").collect()]  # labels, not rows
-    own = {x: fit(train.where(F.col("label") == x)) for x in many}
+    def of_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:  # a batch is a run of the order, as its partition is sorted
+            for _, x in t.groupby("label", dropna=False):
+                yield of_group(x)
 
-    def apply(d: DataFrame) -> DataFrame:
-        v = vector.transform(d)
-        out = pooled.transform(v.where(~F.col("label").isin(*own) if own else F.lit(True)))
-        for x, m in own.items():
-            out = out.unionByName(m.transform(v.where(F.col("label") == x)))
-        return out.withColumn("fitted", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fitted")))).drop("_v")
+    local = ranged.select("label", F.col("score").alias("lo"), F.col("score").alias("hi"), "k", "s").sortWithinPartitions("label", "lo")
+    return local.mapInPandas(of_range, _BLOCK).groupBy("label").applyInPandas(of_group, _BLOCK)
 
-    return apply
+
+def isotonic(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows (score, label, ...) with fitted: the label's fit, or that of all where the label has none.
+
+    Between blocks the fit is a straight line, beyond the ends it is level. Rows meet the pieces of a fit by label and cell
+    of the score, so no fit is held whole by a task.
+    """
+    ends = F.explode(F.array(F.col("lo"), F.col("hi")))
+    p = blocks.select("label", ends.alias("x"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") / F.col("k"))).alias("y")).distinct()
+    w = Window.partitionBy("label").orderBy("x")
+    p = p.select(F.coalesce("label", F.lit("")).alias("_fit"), F.col("label").isNull().alias("_all"), "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).withColumns({"x1": F.coalesce("x1", "x"), "y1": F.coalesce("y1", "y")})
+    span = p.groupBy("_fit", "_all").agg(F.min("x").alias("_min"), F.max("x").alias("_max"))
+    cell = lambda c: F.floor(c * CELLS).cast("long")
+    pieces = p.withColumn("_last", F.col("x") == F.col("x1")).withColumn("_cell", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x1")))))
+    own = span.where("not _all").select(F.col("_fit").alias("_own"))
+    r = rows.join(own, F.col("label").cast("string") == F.col("_own"), "left")
+    r = r.withColumns({"_fit": F.coalesce("_own", F.lit("")), "_all": F.col("_own").isNull()}).drop("_own").join(span, ["_fit", "_all"])
+    r = r.withColumn("_at", F.least(F.greatest("score", "_min"), "_max")).withColumn("_cell", cell(F.col("_at")))
+    inside = (F.col("_at") >= F.col("x")) & ((F.col("_at") < F.col("x1")) | F.col("_last"))
+    r = r.join(pieces, ["_fit", "_all", "_cell"]).where(inside)
+    share = F.when(F.col("_last"), 0.0).otherwise((F.col("_at") - F.col("x")) / (F.col("x1") - F.col("x")))
+    return r.withColumn("fitted", F.col("y") + share * (F.col("y1") - F.col("y"))).select(*rows.columns, "fitted")
+
+
+# Temperatures --------------------------------------------------------------------------------------------------------
+
+#: Bounds of a temperature, and of the passes over the rows.
+COLDEST, HOTTEST, PASSES = 0.05, 20.0, 60
+
+
+def fit_temperatures(rows: DataFrame, kinds: tuple[str, ...]) -> dict[str, float]:
+    """The temperature of least cross-entropy for each kind, from rows (kind, logits array, target index); 1 without rows.
+
+    The loss is convex in 1 / T, so all kinds take one safeguarded Newton step a pass, from sums of gradient and curvature by
+    kind: a handful of passes for any number of kinds. What lies beyond the bounds is cut off there. Rows without a target
+    among their logits are left out.
+    """
+    spark = rows.sparkSession
+    z = F.col("logits")
+    top = F.array_max(z)
+    kept = rows.where(F.col("kind").isin(list(kinds)) & F.get(z, F.col("target")).isNotNull())
+    kept = stash(kept.select("kind", F.transform(z, lambda x: x - top).alias("z"), (F.get(z, F.col("target")) - top).alias("right")), "logits")
+    at = {r.kind: (1.0, 1 / HOTTEST, 1 / COLDEST) for r in kept.select("kind").distinct().collect()}  # kinds are few
+    todo = set(at)
+    for _ in range(PASSES):
+        if not todo:
+            break
+        b = spark.createDataFrame([(k, at[k][0]) for k in sorted(todo)], "kind string, beta double")
+        e = kept.join(F.broadcast(b), "kind").withColumn("e", F.transform("z", lambda x: F.exp(x * F.col("beta"))))
+        total = prob.total(F.col("e"))
+        first, second = prob.total(F.zip_with("z", "e", lambda x, y: x * y)), prob.total(F.zip_with("z", "e", lambda x, y: x * x * y))
+        m = e.select("kind", (first / total).alias("m"), (second / total).alias("q"), "right")
+        for r in m.groupBy("kind").agg(F.sum(F.col("m") - F.col("right")).alias("g"), F.sum(F.col("q") - F.col("m") * F.col("m")).alias("h")).collect():
+            at[r.kind], settled = newton(*at[r.kind], r.g, r.h)
+            if settled:
+                todo.discard(r.kind)
+    return {k: 1 / at[k][0] if k in at else 1.0 for k in kinds}
+
+
+def newton(beta: float, lo: float, hi: float, g: float, h: float) -> tuple[tuple[float, float, float], bool]:
+    """((next beta, bracket), settled) from gradient and curvature at beta; a step out of the bracket halves it instead."""
+    if g == 0:
+        return (beta, lo, hi), True
+    lo, hi = (lo, beta) if g > 0 else (beta, hi)
+    far = lo if g > 0 else hi
+    new = min(1 / COLDEST, max(1 / HOTTEST, beta - g / h if h > 0 else far))
+    if new == beta:  # at a bound, and drawn beyond it
+        return (beta, lo, hi), True
+    if not lo <= new <= hi:
+        new = (lo * hi) ** 0.5
+    return (new, lo, hi), abs(new - beta) <= 1e-12 * beta
 
 
 def fit_temperature(rows: DataFrame, steps: int = 80) -> float:
@@ -157,8 +239,6 @@ def fit_temperature(rows: DataFrame, steps: int = 80) -> float:
 
     Rows are reduced to counts per (score, target) once.
     """
-    from spanloom.session import stash
-
     s = stash(rows.groupBy("score", "target").agg(F.count("*").alias("k")), "temperature")
     p0 = F.least(F.lit(1 - 1e-7), F.greatest(F.lit(1e-7), F.col("score")))
     s = s.withColumn("z", F.log(p0 / (1 - p0)))

@@ -179,12 +179,12 @@ def prf(counts: DataFrame, *by: str) -> DataFrame:
     return c.withColumn("f1", prob.f1(F.col("precision"), F.col("recall")))
 
 
-def typed_counts(preds: DataFrame, gold: DataFrame) -> DataFrame:
-    """(label, tp, fp, fn) of exact spans as sets; give suppressed predictions."""
+def typed_counts(preds: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
+    """(by, label, tp, fp, fn) of exact spans as sets; give suppressed predictions. by: columns of a span, such as doc_id."""
     keys = ["doc_id", "start", "end", "label"]
     both = preds.select(*keys).distinct().withColumn("_p", F.lit(1)).join(gold.select(*keys).distinct().withColumn("_g", F.lit(1)), keys, "full")
     hit = F.col("_p").isNotNull() & F.col("_g").isNotNull()
-    return both.groupBy("label").agg(F.count_if(hit).alias("tp"), F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn"))
+    return both.groupBy(*by, "label").agg(F.count_if(hit).alias("tp"), F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn"))
 
 
 def gold_typing(preds: DataFrame, gold: DataFrame) -> DataFrame:

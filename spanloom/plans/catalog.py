@@ -629,18 +629,6 @@ def family_decision(spark, sf):
     return stats.decide(_family(spark, sf), needed=2).withColumn("won", F.array_join("won", ","))
 
 
-@query()
-def paired_bootstrap(spark, sf):
-    """Two systems on the same clusters: sources, so that the matrices stay small."""
-    src = documents(spark, sf).select("doc_id", "source")
-    hs = []
-    for s in ("a", "b"):
-        h = hist(spark, sf, s).withColumnRenamed("cluster", "doc_id").join(src, "doc_id").groupBy(F.col("source").alias("cluster"), "bin").agg(F.sum("n_pii").alias("n_pii"), F.sum("n_non").alias("n_non"))
-        hs.append(stats.dense(h)[1:])
-    r = stats.paired_bootstrap(spark, [hs[0]], [hs[1]], n_boot=2000)
-    return spark.createDataFrame([tuple(r.values())], "a double, b double, diff double, ci_low double, ci_high double, p_value double, n_boot long, n_clusters long")
-
-
 # Vectors and labels --------------------------------------------------------------------------------------------------
 
 _UNIT = "un AS (SELECT vec_id, label, [x / sqrt(list_sum([y::DOUBLE * y::DOUBLE for y in embedding])) for x in [z::DOUBLE for z in embedding]] v FROM embeddings)"

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,20 +204,6 @@ def test_holm_and_decision(spark):
     assert stats.decide(r, needed=1, expected=5).first().holds is None
 
 
-def test_bootstrap_is_reproducible_and_paired(spark):
-    rng = np.random.default_rng(1)
-    h = lambda: (rng.integers(0, 3, (12, 1002)).astype(float), rng.integers(0, 3, (12, 1002)).astype(float))
-    a, b = h(), h()
-    x, y = (stats.paired_bootstrap(spark, [a], [b], n_boot=1200, seed=3) for _ in range(2))
-    assert x == y and x["ci_low"] <= x["diff"] <= x["ci_high"]
-    same = stats.paired_bootstrap(spark, [a], [a], n_boot=600)
-    assert same["diff"] == 0 and same["p_value"] == 1
-    lo, hi = stats.bootstrap_ci(spark, a, n_boot=600)
-    assert lo <= stats.pauc_of(a[0].sum(0)[None], a[1].sum(0)[None])[0] <= hi
-    children = np.random.SeedSequence(3).spawn(3)
-    assert (stats.weights(5, 4, 3, 2) == np.random.default_rng(children[2]).multinomial(5, np.full(5, 0.2), size=4)).all()
-
-
 def test_splits(spark):
     docs = spark.createDataFrame([(i, "t", f"c{i % 33}") for i in range(99)], DOC)
     s = splits.hash_split(docs, "cluster_id", 0.2, "v0")
@@ -404,10 +391,59 @@ def test_adaptive_ece_splits_like_arrays(spark):
     assert calibration.fit_temperature(d.withColumn("score", F.lit(0.5) + (F.col("target") - 0.5) * 0.2)) < 0.2
 
 
-def test_isotonic_falls_back_to_pooled(spark):
-    d = spark.createDataFrame([(i / 100, int(i % 100 > 50), "A" if i < 90 else "B") for i in range(100)], "score double, target int, label string")
-    got = calibration.fit_isotonic(d)(d.select("score", "label"))
-    assert got.count() == 100 and got.where("fitted < 0 or fitted > 1").count() == 0
+def rising(rows):
+    """{score: fit} by the least of the greatest means: the rising fit in its closed form."""
+    x = sorted({s for s, _ in rows})
+    k, t = ([sum(f(y) for s, y in rows if s == v) for v in x] for f in (lambda y: 1, lambda y: y))
+    mean = lambda a, b: sum(t[a:b + 1]) / sum(k[a:b + 1])
+    return {v: max(min(mean(a, b) for b in range(i, len(x))) for a in range(i + 1)) for i, v in enumerate(x)}
+
+
+def test_isotonic_fits_match_the_closed_form(spark):
+    r = random.Random(4)
+    rows = [(r.randrange(40) / 40, int(r.random() < 0.5), x) for x in "A" * 120 + "B" * 60 + "C" * 5] + [(0.2, 1, None)]
+    d = spark.createDataFrame(rows, "score double, target int, label string").repartition(5)
+    blocks = calibration.isotonic_blocks(d, least=50)
+    fits = {x: rising([(s, t) for s, t, y in rows if x is None or y == x]) for x in ("A", "B", None)}
+    got = calibration.isotonic(d, blocks).collect()
+    assert len(got) == len(rows)
+    for g in got:  # C has too few rows of its own
+        assert g.fitted == pytest.approx(fits[g.label if g.label in ("A", "B") else None][g.score])
+    new = [(s / 97 * 1.4 - 0.2, x) for s in range(98) for x in ("A", "B", "C", "D", None)]
+    got = calibration.isotonic(spark.createDataFrame(new, "score double, label string"), blocks).collect()
+    assert len(got) == len(new)
+    for g in got:
+        f = fits[g.label if g.label in ("A", "B") else None]
+        assert g.fitted == pytest.approx(float(np.interp(g.score, list(f), list(f.values()))))
+    assert calibration.isotonic_blocks(d.limit(0)).count() == 0
+
+
+def test_isotonic_pools_parts_alike(spark):
+    r = np.random.default_rng(5)
+    d = pd.DataFrame({"lo": np.arange(300.0), "hi": np.arange(300.0), "k": r.integers(1, 4, 300).astype(float)})
+    d["s"] = (r.random(300) * d["k"] * (0.5 + d["lo"] / 600)).round(2)
+    whole = calibration.pool(d)
+    parts = pd.concat([calibration.pool(d[i:i + 37]) for i in range(0, 300, 37)])
+    assert np.allclose(calibration.pool(parts), whole) and 1 < len(whole) < 300
+
+
+def test_temperatures_by_kind(spark):
+    r = np.random.default_rng(6)
+
+    def draw(kind, n, true_t):
+        z = r.normal(size=(n, 4)) * 3
+        p = np.exp(z / true_t - (z / true_t).max(1, keepdims=True))
+        return [(kind, row.tolist(), int(r.choice(4, p=q / q.sum()))) for row, q in zip(z, p)]
+
+    rows = draw("cold", 400, 0.5) + draw("warm", 400, 3.0) + [("sure", [9.0, 0.0], 0)] * 5 + [("wrong", [9.0, 0.0], 1)] * 5 + [("flat", [1.0, 1.0], 0)] * 3 + [("cold", [1.0, 2.0], 7)]
+    d = spark.createDataFrame(rows, "kind string, logits array<double>, target int")
+    got = calibration.fit_temperatures(d, ("cold", "warm", "sure", "wrong", "flat", "none"))
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4001))
+    for kind in ("cold", "warm"):
+        z, y = (np.array([x[i] for x in rows if x[0] == kind and x[2] < 4]) for i in (1, 2))
+        loss = [(np.log(np.exp(z / t).sum(1)) - z[np.arange(len(y)), y] / t).mean() for t in grid]
+        assert got[kind] == pytest.approx(grid[int(np.argmin(loss))], rel=2e-3)
+    assert got["sure"] == pytest.approx(0.05) and got["wrong"] == pytest.approx(20) and got["none"] == got["flat"] == 1
 
 
 def test_selective_counts(spark):
