@@ -203,35 +203,50 @@ def fit_temperatures(rows: DataFrame, kinds: tuple[str, ...]) -> dict[str, float
     top = F.array_max(z)
     kept = rows.where(F.col("kind").isin(list(kinds)) & F.get(z, F.col("target")).isNotNull())
     kept = stash(kept.select("kind", F.transform(z, lambda x: x - top).alias("z"), (F.get(z, F.col("target")) - top).alias("right")), "logits")
-    at = {r.kind: (1.0, 1 / HOTTEST, 1 / COLDEST) for r in kept.select("kind").distinct().collect()}  # kinds are few
-    todo = set(at)
+    todo = {r.kind: Search() for r in kept.select("kind").distinct().collect()}  # kinds are few
+    done = dict.fromkeys(kinds, 1.0)
     for _ in range(PASSES):
         if not todo:
             break
-        b = spark.createDataFrame([(k, at[k][0]) for k in sorted(todo)], "kind string, beta double")
+        b = spark.createDataFrame([(k, todo[k].beta) for k in sorted(todo)], "kind string, beta double")
         e = kept.join(F.broadcast(b), "kind").withColumn("e", F.transform("z", lambda x: F.exp(x * F.col("beta"))))
         total = prob.total(F.col("e"))
         first, second = prob.total(F.zip_with("z", "e", lambda x, y: x * y)), prob.total(F.zip_with("z", "e", lambda x, y: x * x * y))
         m = e.select("kind", (first / total).alias("m"), (second / total).alias("q"), "right")
         for r in m.groupBy("kind").agg(F.sum(F.col("m") - F.col("right")).alias("g"), F.sum(F.col("q") - F.col("m") * F.col("m")).alias("h")).collect():
-            at[r.kind], settled = newton(*at[r.kind], r.g, r.h)
-            if settled:
-                todo.discard(r.kind)
-    return {k: 1 / at[k][0] if k in at else 1.0 for k in kinds}
-
-
-def newton(beta: float, lo: float, hi: float, g: float, h: float) -> tuple[tuple[float, float, float], bool]:
-    """((next beta, bracket), settled) from gradient and curvature at beta; a step out of the bracket halves it instead."""
-    if g == 0:
-        return (beta, lo, hi), True
-    lo, hi = (lo, beta) if g > 0 else (beta, hi)
-    far = lo if g > 0 else hi
-    new = min(1 / COLDEST, max(1 / HOTTEST, beta - g / h if h > 0 else far))
-    if new == beta:  # at a bound, and drawn beyond it
-        return (beta, lo, hi), True
-    if not lo <= new <= hi:
-        new = (lo * hi) ** 0.5
-    return (new, lo, hi), abs(new - beta) <= 1e-12 * beta
+            done[r.kind] = 1 / todo[r.kind].beta
+            if todo[r.kind].settled(r.g, r.h):
+                del todo[r.kind]
+    return done
+
+
+class Search:
+    """Least point of a convex function of beta = 1 / T from gradients g and curvatures h: both bounds, then Newton's steps.
+
+    A step that leaves the bracket, or isn't half as long as the one before, halves the bracket instead.
+    """
+
+    def __init__(self) -> None:
+        self.lo, self.hi, self.beta, self.last, self.open = 1 / HOTTEST, 1 / COLDEST, 1 / HOTTEST, math.inf, 2
+
+    def settled(self, g: float, h: float) -> bool:
+        """Takes the gradient at beta and moves on; true if beta is the place."""
+        if self.open:
+            self.open -= 1
+            if self.open:  # at the lower bound
+                self.flat = g == 0
+                self.beta = self.hi if g <= 0 else self.lo
+                return g > 0
+            self.beta = 1.0 if self.flat and g == 0 else self.hi if g <= 0 else 1.0
+            return g < 0
+        if g == 0:
+            return True
+        self.lo, self.hi = (self.lo, self.beta) if g > 0 else (self.beta, self.hi)
+        new = self.beta - g / h if h > 0 else math.inf
+        if not self.lo < new < self.hi or abs(math.log(new / self.beta)) > self.last / 2:
+            new = (self.lo * self.hi) ** 0.5
+        self.last, self.beta = abs(math.log(new / self.beta)), new
+        return self.last <= 1e-12
 
 
 def fit_temperature(rows: DataFrame, steps: int = 80) -> float:
