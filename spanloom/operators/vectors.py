@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,20 +21,65 @@ def with_unit(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("_n", size).withColumn("unit", F.when(F.col("_n") > 0, F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).otherwise(F.transform(vector, lambda x: x.cast("double")))).drop("_n")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 16) -> DataFrame:
+#: Queries that are compared in one matrix, at most.
+QUERIES = 1 << 13
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -> DataFrame:
     """(query_id, id, cosine, rank): the k nearest rows of each query; queries (query_id, unit), rows (id, unit).
 
-    All rows are compared with the stated queries, in blocks: queries are dealt into `block` blocks and rows copied to
-    each, joined on the block; each pair of row partition and block keeps its own best before they meet.
+    All rows are compared with the stated queries, as products of an Arrow batch of rows with a block of queries. A task
+    keeps the k best of each query over all its batches, and those of all tasks meet at the end. A single block is sent to
+    the tasks, as it has a bounded size; of several, each is joined to a copy of the packed rows. Equal cosines (to 12 digits)
+    go by id; a row isn't compared with the query of its own id. Vectors are alike in length.
     """
-    q = queries.select("query_id", F.col("unit").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(block)).alias("_b"))
-    r = rows.select("id", F.col("unit").alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))).alias("_b"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("_part"))
-    s = r.join(q, "_b").where(F.col("id") != F.col("query_id")).select("query_id", "id", "_part", dot(F.col("_q"), F.col("_r")).alias("cosine"))
+    ids, of = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select("query_id", F.col("unit").cast("array<double>").alias("unit"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    q = q.groupBy("block").agg(F.collect_list("query_id").alias("query_ids"), F.flatten(F.collect_list("unit")).alias("matrix"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                flat = b.column(1).flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (b.column(0), flat)], names=["ids", "m"])
+
+    r = rows.select("id", F.col("unit").cast("array<double>").alias("unit")).mapInArrow(pack, f"ids array<{ids}>, m array<double>")
+    r = r.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    j = r.join(F.broadcast(q) if blocks == 1 else q, "block").select("block", "ids", "m", "query_ids", "matrix")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple] = {}
+        for b in batches:
+            for n, own, m, names, matrix in zip(*[b.column(i) for i in range(5)], strict=True):
+                n = n.as_py()
+                own = np.array(own.values.to_pylist(), dtype=object)
+                names, matrix = (kept[n][0], kept[n][1]) if n in kept else (np.array(names.values.to_pylist(), dtype=object), matrix.values.to_numpy().reshape(len(names), -1))
+                s = np.round(matrix @ m.values.to_numpy().reshape(len(own), -1).T, 12)
+                s[names[:, None] == own[None, :]] = -np.inf
+                kept[n] = names, matrix, *top(s, np.broadcast_to(own, s.shape), kept.get(n), k)
+        for names, _, s, own in kept.values():
+            ok = np.isfinite(s)
+            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, ok.sum(1)).tolist(), "id": own[ok].tolist(), "cosine": s[ok]}, schema=schema)
+
+    schema = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("id", to_arrow_type(rows.schema["id"].dataType)), ("cosine", pa.float64())])
+    some = j.mapInArrow(best, f"query_id {of}, id {ids}, cosine double")
     order = [F.col("cosine").desc(), F.col("id")]
-    some = s.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_n") <= k).drop("_n", "_part")
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def top(s: np.ndarray, own: np.ndarray, before: tuple | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line of s and of those kept before, by score and then id."""
+    if before is not None:
+        s, own = np.concatenate([before[2], s], axis=1), np.concatenate([before[3], own], axis=1)
+    if s.shape[1] > k:
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        picked = [sorted(np.flatnonzero(line >= x), key=lambda j: (-line[j], names[j]))[:k] for line, x, names in zip(s, least, own, strict=True)]
+        at = np.array(picked)
+        s, own = np.take_along_axis(s, at, 1), np.take_along_axis(own, at, 1)
+    return s, own
+
+
 def best_of_other_group(labels: DataFrame) -> DataFrame:
     """(id, best): greatest cosine to a label of another node. labels (id, node, unit) is of dimension size: one row a label."""
     a, b = labels.select("id", "node", F.col("unit").alias("_a")), labels.select(F.col("node").alias("other"), F.col("unit").alias("_b"))

@@ -824,8 +824,3 @@ def merged_reports(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id", "event_type").count()
     reports = e.groupBy("user_id").agg(F.sum("count").alias("docs"), F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("counts"))
     return series.merged_counts(reports).select(F.explode("counts").alias("k", "v"))
-
-
-@query()
-def synthetic_conversations(spark, sf):
-    return readers.synthetic_conversations(spark, 1000, "synth-v1").select("doc_id", "text", "cluster_id", F.col("spans")[0]["label"].alias("label"), F.col("spans")[0]["start"].alias("start"))

@@ -130,8 +130,8 @@ def store_growth(spark, sf):
 @query(f'WITH {SPAN} SELECT label, count(*) n, round(sum(score), 6) score FROM span GROUP BY label')
 def feature_store(spark, sf):
     at = folder(spark, "features")
-    sinks.write_store(span(spark, sf), at)
-    return rounded(spark.read.parquet(at).groupBy("label").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "score")
+    sinks.write_store(span(spark, sf), at, "doc_id")
+    return rounded(sinks.read_store(spark, at).groupBy("label").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "score")
 
 
 @query("""SELECT doc_id, 0::BIGINT AS "start", 4::BIGINT AS "end", CASE WHEN doc_id % 3 = 0 THEN 'PERSON/DIRECT' WHEN doc_id % 3 = 1 THEN 'LOC/QUASI' ELSE 'ORG/NO_MASK' END label, CASE WHEN doc_id % 3 = 0 THEN 'PERSON' WHEN doc_id % 3 = 1 THEN 'IGNORE' ELSE 'NOT_PII' END canonical, 'gold:' || a source, 2::BIGINT n_annotators

@@ -154,14 +154,6 @@ def text_key(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-#: What each source needs beyond its reader.
-REGISTRY = {
-    "tab": {"reader": court_cases, "split": "by file"}, "spy": {"reader": token_corpus, "split": "all"}, "pii_trace": {"reader": conversations, "split": "all"},
-    "nemotron": {"reader": json_spans, "split": "by file", "fold_surface": True, "cluster": "uid"}, "gretel": {"reader": json_spans, "language": "English", "reject": 0.005},
-    "ai4privacy": {"reader": json_spans, "language": "en"}, "fresh_real": {"reader": json_spans, "split": "all"},
-}
-
-
 def read_predictions(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """The header object and the rows (doc_id, spans) of a prediction file of JSON lines."""
     lines = spark.read.text(path).where(F.trim("value") != "")
@@ -211,20 +203,3 @@ def tolerant_json(lines: DataFrame, shape: str) -> DataFrame:
     """Rows of a JSON-lines text; malformed lines are left out."""
     r = lines.select(F.from_json("value", shape + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     return r.where("_bad is null").drop("_bad")
-
-
-def synthetic_conversations(spark: SparkSession, n: int, salt: str) -> DataFrame:
-    """n short service dialogues by hash, with exact spans: (doc_id, text, cluster_id, spans). Cluster: kind and channel."""
-    i = F.col("id")
-    h = lambda k, m: F.pmod(F.xxhash64(F.lit(salt), i, F.lit(k)), F.lit(m))
-    kinds = F.array(*[F.lit(x) for x in ("card", "account", "address", "login", "decoy", "dob")])
-    kind, channel = F.get(kinds, h("kind", 6).cast("int")), F.when(h("channel", 2) == 0, "chat").otherwise("speech")
-    number = F.concat(F.lit("4"), F.lpad(h("number", 10**15).cast("string"), 15, "0"))
-    value = F.when(F.col("kind") == "card", number).when(F.col("kind") == "account", F.substring(number, 2, 10)).when(F.col("kind") == "address", F.concat(h("house", 300).cast("string"), F.lit(" Mill Road")))
-    value = value.when(F.col("kind") == "login", F.concat(F.lit("pass-"), h("pw", 10**6).cast("string"))).when(F.col("kind") == "dob", F.concat_ws("-", (F.lit(1950) + h("year", 50)).cast("string"), F.lpad((1 + h("month", 12)).cast("string"), 2, "0"), F.lpad((1 + h("day", 28)).cast("string"), 2, "0"))).otherwise(F.concat(F.lit("order "), h("order", 10**6).cast("string")))
-    label = F.create_map(*[F.lit(x) for x in ("card", "ACCOUNT_NUMBER", "account", "ACCOUNT_NUMBER", "address", "ADDRESS", "login", "SECRET", "decoy", "NOT_PII", "dob", "DATE")])
-    d = spark.range(n).withColumn("kind", kind).withColumn("channel", channel).withColumn("value", value)
-    lead = F.concat(F.lit("Agent: please confirm your "), F.col("kind"), F.lit(".\nCaller: "), F.when(F.col("channel") == "speech", "uh it is ").otherwise("it is "))
-    d = d.withColumn("lead", lead).withColumn("text", F.concat("lead", "value", F.lit(".\n")))
-    span = F.struct(F.length("lead").alias("start"), (F.length("lead") + F.length("value")).alias("end"), label[F.col("kind")].alias("label"), F.col("value").alias("surface"), F.lit("synthetic").alias("source"))
-    return d.select(F.concat(F.lit("synth_"), i.cast("string")).alias("doc_id"), "text", F.concat_ws(":", "kind", "channel").alias("cluster_id"), F.array(span).alias("spans"))

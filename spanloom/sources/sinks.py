@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,9 +92,62 @@ def add_new(rows: DataFrame, key: str, path: str) -> int:
     return n
 
 
-def write_store(rows: DataFrame, path: str) -> None:
-    """Feature store, one row a candidate; a task that fails is run again by itself."""
-    rows.write.mode("overwrite").parquet(path)
+#: Shards of a feature store, and those that are written between two lines of its manifest.
+SHARDS, WAVE = 64, 16
+_MANIFEST = "shard long, content string, rows long, at double"
+
+
+def _contents(rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """rows with shard, by hash of the key."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64(F.col(key)), F.lit(shards)))
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001  a missing path has no class of its own in Spark
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def store_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, content, rows): the shards of a store that are whole, by their last line."""
+    lines = _read_or_none(spark, f"{path}/manifest")
+    if lines is None:
+        return spark.createDataFrame([], "shard long, content string, rows long")
+    last = lines.groupBy("shard").agg(F.max_by(F.struct("content", "rows"), "at").alias("x")).select("shard", "x.*")
+    return last.where("rows > 0")
+
+
+def write_store(rows: DataFrame, path: str, key: str, features: Callable[[DataFrame], DataFrame] = lambda d: d, identity: str = "", shards: int = SHARDS, wave: int = WAVE) -> list[int]:
+    """Writes features(rows) by shard, only for shards whose content isn't in the store; returns the shards it wrote.
+
+    A shard's content is a hash over its rows, whatever their order, and identity, which names what features does. Shards
+    are written a wave at a time, each wave over those it replaces, and then entered in the manifest: a write that is cut
+    off is taken up after its last whole wave, and what readers see is always whole. Shards that rows no longer has are
+    entered as empty. features keeps key and may not mix rows of different keys.
+    """
+    spark = rows.sparkSession
+    d = _contents(rows, key, shards)
+    digest = F.sum(F.xxhash64(F.lit(identity), *[F.col(c) for c in sorted(rows.columns)]).cast("decimal(38,0)"))
+    now = d.groupBy("shard").agg(F.concat_ws(":", digest.cast("string"), F.count("*").cast("string")).alias("content"), F.count("*").alias("rows"))
+    have = store_manifest(spark, path)
+    todo = now.join(have.select("shard", "content"), ["shard", "content"], "left_anti").unionByName(have.join(now, "shard", "left_anti").select("shard", F.lit("").alias("content"), F.lit(0).cast("long").alias("rows")))
+    todo = sorted((r.shard, r.content, r.rows) for r in todo.collect())  # a row a shard
+    for i in range(0, len(todo), wave):
+        some = todo[i:i + wave]
+        full = [s for s, _, n in some if n]
+        if full:
+            out = _contents(features(d.where(F.col("shard").isin(full)).drop("shard")), key, shards)
+            out.repartition(len(full), "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/data")
+        spark.createDataFrame([(*x, time.time()) for x in some], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return [s for s, _, n in todo if n]
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of whole shards."""
+    return spark.read.parquet(f"{path}/data").join(F.broadcast(store_manifest(spark, path).select("shard")), "shard", "left_semi").drop("shard")
 
 
 def write_result(spark: SparkSession, result: dict, path: str) -> None:

@@ -476,3 +476,21 @@ def test_vectors(spark):
         s = u @ u[q]
         s[q] = -2
         assert [got[q][k] for k in (1, 2, 3)] == np.argsort(-s)[:3].tolist()
+
+
+def test_nearest_in_blocks_with_ties(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 6)), 3, axis=0)  # three equal rows each
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    e = spark.createDataFrame([(f"r{i:03}", v.tolist()) for i, v in enumerate(u)], "id string, unit array<double>").repartition(6)
+    q = e.where("id < 'r020'").withColumnRenamed("id", "query_id")
+    want = {}
+    for i in range(20):
+        s = np.round(u @ u[i], 12)
+        want[f"r{i:03}"] = [f"r{j:03}" for j in sorted((j for j in range(120) if j != i), key=lambda j: (-s[j], j))[:5]]
+    for block in (7, 1000):
+        got = {}
+        for r in vectors.nearest(q, e, 5, block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+    assert vectors.nearest(q.limit(0), e, 5).count() == 0 and vectors.nearest(q, e.limit(0), 5).count() == 0

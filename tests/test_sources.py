@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import build
-from spanloom.sources import readers, sinks
+from spanloom.sources import grammar, readers, recipes, sinks
 from spanloom.streaming import pipeline
 
 
@@ -102,12 +103,91 @@ def test_jsonl_and_logs(spark, tmp_path):
     assert [r.h for r in readers.tolerant_json(j, "h int").collect()] == [1]
 
 
-def test_synthetic_spans_are_exact(spark):
-    d = readers.synthetic_conversations(spark, 200, "s")
-    rows = d.collect()
-    assert all(r.text[s.start:s.end] == s.surface for r in rows for s in r.spans)
-    assert {r.cluster_id.split(":")[0] for r in rows} == {"card", "account", "address", "login", "decoy", "dob"}
-    assert {r.issue: r.n for r in build.census(d).collect()}["surface_match"] == 200
+def test_seeded_conversations(spark):
+    seeds = spark.range(400).withColumnRenamed("id", "conv_id")
+    d = grammar.expand(seeds.withColumn("text", F.lit("x")), "conv_id", "s")
+    rows = {r.doc_id: r for r in d.collect()}
+    assert len(rows) == 400 and all(r.text[s.start:s.end] == s.surface for r in rows.values() for s in r.spans)
+    by = {}
+    for r in rows.values():
+        by.setdefault(r.cluster_id, []).append(r)
+    assert {k.split(":")[0] for k in by} == set(grammar.TEMPLATES) and 0.2 < sum(len(v) for k, v in by.items() if k.endswith("spoken")) / 400 < 0.5
+    assert len(by["card:typed"]) > len(by["birth:typed"]) + len(by["birth:spoken"]) - 30
+    for r in by["decoy:typed"] + by["decoy:spoken"]:
+        assert r.spans == [] and any(c.isdigit() for c in r.text)
+    for r in by["card:typed"]:
+        card = next(s.surface for s in r.spans if len(s.surface) == 16)
+        assert sum((2 * int(c) - 9 * (c > "4")) if i % 2 == 0 else int(c) for i, c in enumerate(card)) % 10 == 0 and len(r.spans) == 5
+    for r in by["card:spoken"]:
+        said = [s.surface for s in r.spans if s.label == "ACCOUNT_NUMBER"]
+        assert len(said) == 3 and not any(c.isdigit() for s in said for c in s) and "uh " in said[1]
+    again = {r.doc_id: r for r in grammar.expand(seeds.repartition(7), "conv_id", "s").collect()}
+    assert again == rows and grammar.expand(seeds, "conv_id", "t").collect() != list(rows.values())
+    assert grammar.expand(seeds.limit(0), "conv_id", "s").collect() == []
+
+
+def lay(path, name, data):
+    path.mkdir(exist_ok=True)
+    (path / name).write_bytes(data)
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_recipe_sets_aside_what_it_cannot_use(spark, tmp_path):
+    good = {"id": "7", "language": "en", "source_text": "Ann met Bo", "privacy_mask": "[{'start': 0, 'end': 3, 'label': 'GIVENNAME', 'value': 'Ann'}]"}
+    rows = [json.dumps(good), json.dumps(good | {"id": "8", "language": "fr"}), json.dumps(good | {"id": None, "privacy_mask": None}), "{broken", "[1]", json.dumps(good | {"privacy_mask": "no spans"}), json.dumps({"language": "en"}), ""]
+    a = lay(tmp_path / "in", "a.jsonl", "\n".join(rows).encode() + b"\n\xff\xfe\n")
+    lay(tmp_path / "in", "b.jsonl", json.dumps(good | {"id": "9", "source_text": "x" * 3_000_000}).encode())
+    lay(tmp_path / "in", "_SUCCESS", b"")
+    docs, aside = recipes.recipe(spark, "ai4privacy", str(tmp_path / "in"), {"a.jsonl": a})
+    got = {r.doc_id: r for r in docs.collect()}
+    assert {"ai4privacy_7", "ai4privacy_9"} < set(got) and len(got) == 3 and got["ai4privacy_7"].spans[0].surface == "Ann" and len(got["ai4privacy_9"].text) == 3_000_000
+    assert sorted((r.file, r.pos, r.fault) for r in aside.collect()) == [("a.jsonl", 3, "no JSON"), ("a.jsonl", 4, "no object"), ("a.jsonl", 5, "spans"), ("a.jsonl", 6, "lacks source_text"), ("a.jsonl", 7, "no UTF-8")]
+    with pytest.raises(Exception, match="not the pinned"):
+        recipes.load(spark, f"file://{tmp_path}/in", hashes={"b.jsonl": "0" * 64}).count()
+    with pytest.raises(Exception, match="aren't there"):
+        recipes.load(spark, str(tmp_path / "in"), hashes={"c.jsonl": "0" * 64}).count()
+    assert recipes.load(spark, str(tmp_path / "in")).rdd.getNumPartitions() == 2
+
+
+def test_every_recipe_builds_documents(spark, tmp_path):
+    court = [{"doc_id": "c1", "text": "Ann won", "annotations": {"x": {"entity_mentions": [{"start_offset": 0, "end_offset": 3, "span_text": "Ann", "entity_type": "PERSON", "identifier_type": "DIRECT"}]}}}]
+    tokens = {"tokens": ["I", "am", "{}", "."], "trailing_whitespace": [True, True, False, False], "ent_tags": ["O", "O", "B-NAME", "O"]}
+    files = {
+        "tab_direct": json.dumps(court), "tab_quasi": json.dumps(court), "spy_medical": json.dumps(tokens) + "\n" + json.dumps(tokens | {"tokens": ["x"]}), "spy_legal": json.dumps(tokens),
+        "pii_trace": json.dumps({"conv_id": "k", "messages": [{"turn": 0, "role": "user", "text": "Ann here"}], "spans": [{"turn": 0, "role": "user", "start": 0, "end": 3, "label": "name", "surface": "Ann"}]}),
+        "nemotron": json.dumps({"uid": "u", "locale": "us", "domain": "d", "document_type": "t", "text": "Ann", "spans": json.dumps([{"start": 0, "end": 3, "label": "first_name", "text": "ANN"}])}),
+        "gretel": json.dumps({"index": 5, "language": "English", "document_type": "t", "generated_text": "Ann", "pii_spans": json.dumps([{"start": 0, "end": 3, "label": "name"}])}),
+        "ai4privacy": json.dumps({"id": "1", "language": "en", "source_text": "Ann", "privacy_mask": "[]"}), "fresh_real": json.dumps({"doc_id": "f", "text": "Ann", "spans": "[]"}),
+    }
+    assert set(files) == set(recipes.RECIPES)
+    for name, data in files.items():
+        lay(tmp_path / name, "r.json", data.encode())
+        docs, aside = recipes.recipe(spark, name, str(tmp_path / name))
+        rows = docs.collect()
+        assert len(rows) == 1 and [r.fault for r in aside.collect()] == (["token lengths"] if name == "spy_medical" else [])
+        for s in rows[0].spans:
+            assert s.surface is None or rows[0].text[s.start:s.end] == s.surface
+        if name.startswith("spy"):
+            assert rows[0].text.startswith("I am ") and "{" not in rows[0].text and rows[0].spans[0].label == "NAME"
+
+
+def test_store_is_taken_up_where_it_was_cut_off(spark, tmp_path):
+    at, d = str(tmp_path / "store"), spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    bad = lambda x: x.withColumn("f", F.when(F.col("k") == 250, F.raise_error(F.lit("power cut"))).otherwise(F.col("v") + 1))
+    with pytest.raises(Exception, match="power cut"):
+        sinks.write_store(d, at, "k", bad, "v1", shards=12, wave=3)
+    whole = {r.shard for r in sinks.store_manifest(spark, at).collect()}
+    assert len(whole) < 12 and 0 < sinks.read_store(spark, at).count() < 300 if whole else True
+    good = lambda x: x.withColumn("f", F.col("v") + 1)
+    wrote = sinks.write_store(d, at, "k", good, "v1", shards=12, wave=3)
+    assert not set(wrote) & whole and len(wrote) + len(whole) == 12
+    rows = sorted((r.k, r.v, r.f) for r in sinks.read_store(spark, at).collect())
+    assert rows == [(i, 2 * i, 2 * i + 1) for i in range(300)]
+    assert sinks.write_store(d.repartition(9), at, "k", good, "v1", shards=12) == []
+    assert len(sinks.write_store(d.withColumn("v", F.when(F.col("k") == 7, 0).otherwise(F.col("v"))), at, "k", good, "v1", shards=12)) == 1
+    assert len(sinks.write_store(d, at, "k", good, "v2", shards=12)) == 12
+    sinks.write_store(d.where("k < 1"), at, "k", good, "v2", shards=12)
+    assert [r.k for r in sinks.read_store(spark, at).collect()] == [0]
 
 
 def test_streaming(spark, tmp_path):
