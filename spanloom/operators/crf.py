@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,13 +122,26 @@ def decode(sequences: DataFrame, chain: Chain) -> DataFrame:
     return sequences.withColumn("path", run("emissions"))
 
 
+def _sequences(emissions: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, matrix) of the sequences of a batch that aren't empty, cut from its flat numbers."""
+    outer, inner, flat = emissions.offsets.to_numpy(), emissions.values.offsets.to_numpy(), emissions.values.values.to_numpy(zero_copy_only=False)
+    valid = emissions.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(emissions)):
+        lo, hi = outer[i], outer[i + 1]
+        if valid[i] and hi > lo:
+            yield i, flat[inner[lo]:inner[hi]].reshape(hi - lo, -1)
+
+
 def span_probabilities(sequences: DataFrame, chain: Chain, floor: float = 0.01, longest: int = 64) -> DataFrame:
     """(doc_id, first, last, type, probability), one row a segment."""
+    kind = sequences.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("array<struct<first: int, last: int, type: int, probability: double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ("first", "last", "type", "probability")
-        for s in batches:
-            yield pd.Series([[dict(zip(names, x, strict=True)) for x in chain.spans(_matrix(e), floor, longest)] if e is not None and len(e) else [] for e in s])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, e in _sequences(b.column(1)):
+                if found := chain.spans(e, floor, longest):
+                    first, last, t, p = (np.array(x) for x in zip(*found, strict=True))
+                    ids = b.column(0).take(pa.array(np.full(len(found), i)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(t, pa.int32()), pa.array(p, pa.float64())], ["doc_id", "first", "last", "type", "probability"])
 
-    return sequences.select("doc_id", F.explode(run("emissions")).alias("x")).select("doc_id", "x.*")
+    return sequences.select("doc_id", F.col("emissions").cast("array<array<double>>")).mapInArrow(run, f"doc_id {kind}, first int, last int, type int, probability double")

@@ -218,16 +218,6 @@ _TREE = values(list(taxonomy.PARENTS.items()), "node", "parent")
 _CLOSURE = f"tree AS {_TREE}, closure AS (SELECT node, node AS ancestor, 0 depth FROM tree UNION ALL SELECT c.node, t.parent, c.depth + 1 FROM closure c JOIN tree t ON c.ancestor = t.node WHERE t.parent IS NOT NULL)"
 
 
-@query(f"WITH RECURSIVE {_CLOSURE} SELECT node, ancestor, depth::BIGINT depth FROM closure")
-def label_closure(spark, sf):
-    return taxonomy.label_closure(taxonomy.label_tree(spark))
-
-
-@query(f"WITH RECURSIVE {_CLOSURE}, u AS (SELECT node a, ancestor b FROM closure) SELECT a, b FROM u UNION SELECT b, a FROM u")
-def compatible_nodes(spark, sf):
-    nodes = taxonomy.label_tree(spark).select(F.col("node").alias("raw"), "node")
-    return taxonomy.compatible_pairs(nodes, taxonomy.label_closure(taxonomy.label_tree(spark)))
-
 
 _LEAVES = tuple(sorted(set(taxonomy.PARENTS) - set(taxonomy.PARENTS.values())))
 
@@ -409,7 +399,7 @@ def near_dups_jaccard(spark, sf):
     return pairs.unionByName(members.where("doc_id <> first").select(F.col("doc_id").alias("test_id"), F.col("first").alias("train_id"), F.lit(1.0).alias("jaccard")))
 
 
-_SKEL = f"""{GOLD}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, label) n FROM gold),
+_SKEL = f"""{GOLD}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, label) n FROM gold),
 walk AS (SELECT doc_id, n, "start", "end", label, true keep, "end" upto FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.n, o."start", o."end", o.label, o."start" >= w.upto, CASE WHEN o."start" >= w.upto THEN o."end" ELSE w.upto END FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1),
 kept AS (SELECT * FROM walk WHERE keep), seg AS (SELECT k.*, d.text, coalesce(lag(k."end") OVER (PARTITION BY k.doc_id ORDER BY k."start"), 0) prev FROM kept k JOIN documents d USING (doc_id)),
 joined AS (SELECT doc_id, string_agg(substr(text, (prev + 1)::INT, ("start" - prev)::INT) || '<' || label || '>', '' ORDER BY "start") t, max("end") last FROM seg GROUP BY doc_id),
@@ -428,21 +418,17 @@ def _halves(spark, sf):
     return d.where(half), d.where(~half)
 
 
-def _near_sql(name: str, shingles: str, text: str, share: str) -> str:
-    """Test halves near train halves, by different texts: {name}(doc_id, ids)."""
-    return f"""{name}_s AS (SELECT doc_id, {text} t, {shingles} s FROM halves), {name}_f AS (SELECT doc_id, test, t, min(doc_id) OVER (PARTITION BY test, t) f FROM {name}_s JOIN halves USING (doc_id)),
-{name}_r AS (SELECT doc_id, len(s) n, unnest(s) h FROM {name}_s WHERE doc_id IN (SELECT f FROM {name}_f)), {name}_p AS (SELECT a.doc_id x, b.doc_id y, a.n an, b.n bn, count(*) c FROM {name}_r a JOIN {name}_r b USING (h) JOIN halves ha ON ha.doc_id = a.doc_id AND ha.test JOIN halves hb ON hb.doc_id = b.doc_id AND NOT hb.test GROUP BY ALL),
-{name}_l AS (SELECT x, list_sort(list(y))[1:5] ids FROM {name}_p WHERE c / (an + bn - c) >= {share} GROUP BY x), {name} AS (SELECT {name}_f.doc_id, array_to_string(ids, ',') ids FROM {name}_f JOIN {name}_l ON f = x WHERE test)"""
-
-
-def _shingled(text: str) -> str:
-    w = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')"
-    return f"(CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_distinct([array_to_string(({w})[i:i + 4], ' ') for i in range(1, len({w}) - 3)]) END)"
+def _near_sql(name: str, text: str, share: str) -> str:
+    """Test halves near train halves, by different texts, from an inverted index of shingles: {name}(doc_id, ids)."""
+    return rf"""{name}_f AS MATERIALIZED (SELECT doc_id, test, min(doc_id) OVER (PARTITION BY test, {text}) f FROM halves), {name}_w AS MATERIALIZED (SELECT doc_id, halves.test, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+') w FROM halves JOIN {name}_f USING (doc_id) WHERE doc_id = f),
+{name}_s AS MATERIALIZED (SELECT doc_id, test, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))] ELSE list_distinct([hash(array_to_string(w[i:i + 4], ' ')) for i in range(1, len(w) - 3)]) END s FROM {name}_w), {name}_r AS MATERIALIZED (SELECT doc_id, test, len(s) n, unnest(s) h FROM {name}_s),
+{name}_p AS (SELECT a.doc_id x, b.doc_id y, a.n an, b.n bn, count(*) c FROM {name}_r a JOIN {name}_r b ON a.h = b.h AND a.test AND NOT b.test AND a.n >= {share} * b.n - 1e-9 AND b.n >= {share} * a.n - 1e-9 GROUP BY ALL),
+{name}_l AS (SELECT x, list_sort(list(y))[1:5] ids FROM {name}_p WHERE c / (an + bn - c) >= {share} GROUP BY x), {name} AS MATERIALIZED (SELECT {name}_f.doc_id, array_to_string(ids, ',') ids FROM {name}_f JOIN {name}_l ON f = x WHERE test)"""
 
 
 _SKEL_EMAIL = _SKEL.replace("FROM gold), walk", "FROM gold WHERE label = 'EMAIL'), walk").replace("FROM gold),\nwalk", "FROM gold WHERE label = 'EMAIL'),\nwalk")
-_FLAGGED = f"""{_SKEL_EMAIL}, halves AS (SELECT k.doc_id, d.text, k.skeleton, d.source, {u('half', 'k.doc_id')} >= 0.5e0 test FROM skel k JOIN documents d USING (doc_id)), {_near_sql('near', _shingled('text'), 'text', '0.8e0')}, {_near_sql('tmpl', _shingled('skeleton'), 'skeleton', '0.9e0')},
-flagged AS (SELECT h.doc_id, source cluster_id, coalesce(near.ids, '') near, h.skeleton IN (SELECT skeleton FROM halves WHERE NOT test) same_skeleton, coalesce(tmpl.ids, '') template FROM halves h LEFT JOIN near USING (doc_id) LEFT JOIN tmpl USING (doc_id) WHERE h.test AND (near.ids IS NOT NULL OR tmpl.ids IS NOT NULL OR h.skeleton IN (SELECT skeleton FROM halves WHERE NOT test)))"""
+_FLAGGED = f"""{_SKEL_EMAIL}, halves AS MATERIALIZED (SELECT k.doc_id, d.text, k.skeleton, d.source, {u('half', 'k.doc_id')} >= 0.5e0 test FROM skel k JOIN documents d USING (doc_id)), {_near_sql('near', 'text', '0.8e0')}, {_near_sql('tmpl', 'skeleton', '0.9e0')},
+flagged AS MATERIALIZED (SELECT h.doc_id, source cluster_id, coalesce(near.ids, '') near, h.skeleton IN (SELECT skeleton FROM halves WHERE NOT test) same_skeleton, coalesce(tmpl.ids, '') template FROM halves h LEFT JOIN near USING (doc_id) LEFT JOIN tmpl USING (doc_id) WHERE h.test AND (near.ids IS NOT NULL OR tmpl.ids IS NOT NULL OR h.skeleton IN (SELECT skeleton FROM halves WHERE NOT test)))"""
 
 
 @query(f"WITH RECURSIVE {_FLAGGED} SELECT * FROM flagged")
@@ -768,9 +754,8 @@ def _emissions(spark, sf):
 
 @query()
 def crf_spans(spark, sf):
-    """Over sequences of twelve words drawn for each document; crf_path decodes whole texts."""
-    few = _emissions(spark, sf).withColumn("emissions", F.slice("emissions", 1, 12))
-    return crf.span_probabilities(few, crf.Chain.of(2, step=np.zeros((9, 9))), floor=0.05)
+    """Segments of all words of each document."""
+    return crf.span_probabilities(_emissions(spark, sf), crf.Chain.of(2, step=np.zeros((9, 9))), floor=0.05)
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import prob, text
-from spanloom.operators import build, calibration, diagnostics, leak, questions, runs, series, spans, splits, stats, taxonomy, training, vectors, windows
+from spanloom.operators import build, calibration, diagnostics, leak, questions, series, spans, stats, taxonomy, training, vectors, windows
 from spanloom.plans.catalog import query, rounded, values
 from spanloom.plans.demo import documents, named, pick, u
 from spanloom.schema import PII_TYPES, SpanError, validate_predictions
@@ -61,41 +61,6 @@ def prediction_file(spark, sf):
     return got.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", F.col("s.label_canonical").alias("label"), "s.score", F.lit(meta["system"]).alias("system"))
 
 
-_HEADS = [("a", "file:///data/x.jsonl", "p1"), ("a", "/data/y.jsonl", "p2"), ("b", "file:/data/x.jsonl", "p3")]
-
-
-@query("SELECT * FROM (VALUES ('a', '/data/x.jsonl', 'p1'), ('a', '/data/y.jsonl', 'p2'), ('b', '/data/x.jsonl', 'p3')) t(system, docs_key, path)")
-def prediction_files(spark, sf):
-    return readers.prediction_index(rows(spark, _HEADS, "system string, docs_path string, path string"))
-
-
-@query("SELECT * FROM (VALUES ('fit', 1.5::DOUBLE, 'done', false), ('fit', 0.25::DOUBLE, 'failed', false), ('score', 2.0::DOUBLE, 'done', true)) t(stage, hours, status, headline)")
-def ledger_export(spark, sf):
-    """Ledger rows appended one by one and exported as flat columns."""
-    at, out = folder(spark, "ledger"), folder(spark, "flat")
-    for stage, h, status, head in (("fit", 1.5, "done", False), ("fit", 0.25, "failed", False), ("score", 2.0, "done", True)):
-        sinks.append_ledger(spark, at, {"stage": stage, "hours": h, "status": status}, headline=head, revision="abc123")
-    sinks.export_flat(sinks.read_ledger(spark, at), {"stage": "$.stage", "hours": "$.hours", "status": "$.status"}, out)
-    return spark.read.parquet(out).select("stage", F.col("hours").cast("double").alias("hours"), "status", "headline")
-
-
-@query("SELECT 'fit' AS stage, 1.75::DOUBLE AS hours UNION ALL SELECT 'score', 2.0")
-def stage_hours(spark, sf):
-    at = folder(spark, "ledger")
-    for stage, h in (("fit", 1.5), ("fit", 0.25), ("score", 2.0)):
-        sinks.append_ledger(spark, at, {"stage": stage, "hours": h})
-    return runs.hours(sinks.read_ledger(spark, at))
-
-
-@query("SELECT * FROM (VALUES ('a'), ('d')) t(unit)")
-def current_units(spark, sf):
-    """Units done under the wanted version and inputs, with all their rows."""
-    at = folder(spark, "ledger")
-    for unit, status, key, n in (("a", "done", "k", 3), ("b", "failed", "k", 3), ("c", "done", "old", 3), ("d", "done", "k", None), ("e", "done", "k", 2)):
-        sinks.append_ledger(spark, at, {"unit": unit, "status": status, "key": key, "rows": n, "expected": 3})
-    return runs.current(sinks.read_ledger(spark, at), sinks.VERSION, "k")
-
-
 @query("SELECT count(*) n, true same, false stale FROM documents")
 def snapshot_round_trip(spark, sf):
     """A snapshot is read under its own taxonomy version and refused under another."""
@@ -219,37 +184,7 @@ def admissible_labels(spark, sf):
     return taxonomy.filter_admissible(span(spark, sf), "spy_legal").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('open', 'train', true), ('open', 'sell', false), ('closed', 'train', false), ('missing', 'train', false)) t(name, purpose, allowed)")
-def licence_decisions(spark, sf):
-    manifest = rows(spark, [("open", ["train", "eval"], False), ("closed", ["train"], True)], "name string, purposes array<string>, research_only boolean")
-    out = []
-    for name, purpose in (("open", "train"), ("open", "sell"), ("closed", "train"), ("missing", "train")):
-        try:
-            taxonomy.licence_gate(manifest, name, purpose, allow="SPANLOOM_UNSET")
-            out.append((name, purpose, True))
-        except PermissionError:
-            out.append((name, purpose, False))
-    return rows(spark, out, "name string, purpose string, allowed boolean")
-
-
 _NATIVE = [(r, taxonomy.NODE_OF.get(r, r if r in taxonomy.PARENTS else "pii")) for r in sorted({r.lower() for d in ("spy", "pii_trace", "nemotron", "gretel") for r in taxonomy.LABELS[d]} | set(taxonomy.NODE_OF) | (set(taxonomy.PARENTS) - {"pii"}))]
-_HELD, _SAID = [("ssn", "ssn"), ("iban", "iban")], [("ssn", "national id"), ("iban", "Account Number")]
-
-
-@query(f"SELECT raw, node FROM {values(_NATIVE, 'raw', 'node')}")
-def native_labels(spark, sf):
-    return taxonomy.native_labels(spark)
-
-
-@query(f"WITH l AS {values(_NATIVE, 'raw', 'node')}, h AS {values(_HELD, 'raw', 'node')}, p AS {values(_SAID, 'raw', 'txt')} SELECT raw FROM l WHERE raw IN (SELECT raw FROM h) OR node IN (SELECT node FROM h) OR replace(raw, '_', ' ') IN (SELECT lower(txt) FROM p)")
-def excluded_labels(spark, sf):
-    return taxonomy.excluded_labels(taxonomy.native_labels(spark), rows(spark, _HELD, "raw string, node string"), rows(spark, _SAID, "raw string, text string"))
-
-
-@query(f"WITH l AS {values(_NATIVE, 'raw', 'node')} SELECT raw FROM l WHERE length(raw) > 4 AND raw NOT LIKE '%number%' AND node <> 'date' AND raw NOT IN ('ssn', 'iban')")
-def training_vocabulary(spark, sf):
-    n = taxonomy.native_labels(spark)
-    return taxonomy.training_vocabulary(n.where(F.length("raw") > 4), n.where(~F.col("raw").contains("number")), n.where("raw in ('ssn', 'iban')"), n.where("node = 'date'"))
 
 
 @query(f"WITH {SPAN} SELECT CASE WHEN label = 'EMAIL' THEN 'IGNORE' ELSE 'OTHER_PII' END label, count(*) n FROM span GROUP BY 1")
@@ -265,12 +200,6 @@ def leaking_questions(spark, sf):
     return questions.leaks(q, rows(spark, [("URL",)], "raw string"), forbidden)
 
 
-@query("SELECT * FROM (VALUES ('b', 'seed is 2, not 1'), ('c', 'seed is missing, not 1; mode is fast, not full')) t(system, problems)")
-def config_mismatches(spark, sf):
-    c = rows(spark, [("a", 1, "full"), ("b", 2, "full"), ("c", None, "fast")], "system string, seed int, mode string")
-    return stats.mismatches(c, {"seed": "1", "mode": "full"}).withColumn("problems", F.array_join("problems", "; "))
-
-
 @query(f"""WITH {SPAN}, t AS (SELECT s.doc_id, s."start" + 4 AS "start", s."end" + 4 AS "end", d.lang, s."start" a, s."end" b FROM span s JOIN documents d USING (doc_id)) SELECT doc_id, "start", "end" FROM t WHERE lang <> 'en' AND NOT ("start" < b AND "end" > a)""")
 def open_zones(spark, sf):
     """Teacher spans of families that a language's gold lacks, clear of that gold."""
@@ -319,12 +248,6 @@ def mentioned_names(spark, sf):
     return documents(spark, sf).select("doc_id", text.mentions(F.col("text"), F.lit("the und number")).alias("said"))
 
 
-@query(f"SELECT raw, replace(raw, '_', ' ') || CASE WHEN length(raw) % 2 = 0 THEN ': ' || node ELSE '' END shown, replace(lower(trim(' ' || raw || ' ')), '_', ' ') plain FROM {values(_NATIVE, 'raw', 'node')}")
-def label_texts(spark, sf):
-    n = taxonomy.native_labels(spark)
-    return n.select("raw", text.label_text(F.col("raw"), F.when(F.length("raw") % 2 == 0, F.col("node")).otherwise("")).alias("shown"), text.raw_label(F.concat(F.lit(" "), "raw", F.lit(" "))).alias("plain"))
-
-
 @query("SELECT doc_id, 'Question: ' || lang || chr(10) || '01: ' || source || chr(10) || '02: none' || chr(10) || 'Text: ' || substr(text, 1, 50) prompt FROM documents")
 def prompts(spark, sf):
     return documents(spark, sf).select("doc_id", training.prompt(F.col("lang"), F.array("source", F.lit("none")), F.substring("text", 1, 50)).alias("prompt"))
@@ -364,10 +287,10 @@ def fitting_texts(spark, sf):
     return d.select("doc_id", text.fits(F.col("text"), F.lit("two words"), F.lit(3), 100).alias("fits"))
 
 
-@query("SELECT count(*) n, true covered, true small FROM documents WHERE n_chars <= 3000")
+@query("SELECT count(*) n, true covered, true small FROM documents WHERE length(text) > 0")
 def fitted_windows(spark, sf):
     """Texts cut until each piece has 400 characters at most: the pieces cover the text and are as short as asked."""
-    d = documents(spark, sf).where("n_chars <= 3000").select("doc_id", F.lit(0).alias("win"), "text", F.lit(0).alias("start"))
+    d = documents(spark, sf).where(F.length("text") > 0).select("doc_id", F.lit(0).alias("win"), "text", F.lit(0).alias("start"))
     w = windows.fit_windows(d, lambda t: len(t) <= 400).join(documents(spark, sf).select("doc_id", F.length("text").alias("n")), "doc_id")
     per = w.groupBy("doc_id").agg((F.max("end") == F.max("n")).alias("end_ok"), (F.min("start") == 0).alias("start_ok"), (F.max(F.col("end") - F.col("start")) <= 400).alias("small"))
     return per.agg(F.count("*").alias("n"), F.bool_and(F.col("end_ok") & F.col("start_ok")).alias("covered"), F.bool_and("small").alias("small"))
@@ -398,12 +321,6 @@ def power_buckets(spark, sf):
     return training.bucket_batches(documents(spark, sf).where("n_chars > 0").select("doc_id", "n_chars"), "doc_id", "n_chars", 8192).select("doc_id", "bucket", "batch")
 
 
-@query("SELECT k n, r, i, CASE WHEN i = r THEN 0e0 ELSE round(1e0 / (k - 1), 6) END p FROM (SELECT unnest(range(2, 6)) k), (SELECT unnest(range(0, 2)) r), (SELECT unnest(range(0, 5)) i) WHERE i < k")
-def failed_answers(spark, sf):
-    d = rows(spark, [(n, r) for n in range(2, 6) for r in (0, 1)], "n int, r int")
-    return rounded(d.select("n", "r", F.posexplode(prob.failed_answer(F.col("n"), F.col("r"))).alias("i", "p")), "p")
-
-
 @query("SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'error' END status, count(*) n FROM documents GROUP BY ALL")
 def checked_answers(spark, sf):
     k = F.col("doc_id") % 3
@@ -487,22 +404,6 @@ def probe_rows(spark, sf):
     return training.probe_rows(d, "kind", 24, "pr").groupBy("kind", "doc_id").agg(F.count("*").alias("n"))
 
 
-_GROUPS = [("ssn", 0.2, 50), ("iban", 0.1, 5), ("email", 0.4, 90), ("phone", 0.3, 80), ("url", 0.05, 70)]
-
-
-@query(f"SELECT label, row_number() OVER (ORDER BY best, label) \"rank\" FROM {values(_GROUPS, 'label', 'best', 'support')} WHERE support >= 20 AND label <> 'url' QUALIFY row_number() OVER (ORDER BY best, label) <= 2")
-def chosen_held_out(spark, sf):
-    return vectors.choose_held_out(rows(spark, _GROUPS, "label string, best double, support int"), 20, ["url"], 2).select("label", "rank")
-
-
-_SIZES = [(1, 0.80, 0.02, 10.0), (2, 0.88, 0.03, 20.0), (3, 0.90, 0.02, 90.0), (4, 0.89, 0.2, 20.0)]
-
-
-@query(f"SELECT min(size)::BIGINT size FROM {values(_SIZES, 'size', 'accuracy', 'ece', 'p95')} WHERE accuracy >= 0.9 - 0.03 AND ece <= 0.05 AND p95 <= 50")
-def chosen_size(spark, sf):
-    return questions.model_size(rows(spark, _SIZES, "size int, accuracy double, ece double, p95 double"), 0.03, 0.05, 50.0).select("size")
-
-
 @query(f"""WITH {SPAN}, h AS (SELECT *, row_number() OVER (ORDER BY sha256('ev|' || doc_id || '|' || "start" || '|' || "end"), doc_id, "start", "end") r FROM span WHERE score < 0.5e0), k AS (SELECT count(*) n FROM span WHERE score >= 0.8e0)
 SELECT doc_id, false negative FROM span WHERE score >= 0.8e0 UNION ALL SELECT doc_id, true FROM h, k WHERE r <= n""")
 def evaluation_rows(spark, sf):
@@ -586,34 +487,6 @@ def high_batches(spark, sf):
 
 # Decisions -----------------------------------------------------------------------------------------------------------
 
-_CELLS = [("d1", "b1", "band", -0.2, 0.001, True, 0.01), ("d1", "b2", "band", -0.1, 0.002, True, 0.02), ("d2", "b1", "band", -0.1, 0.001, True, 0.2), ("d3", "b1", "band", -0.3, 0.004, True, 0.01), ("d3", "b1", "mask", -0.3, 0.001, True, 0.01), ("d4", "b1", "mask", 0.2, 0.001, True, 0.01), ("d5", "b1", "mask", -0.2, 0.001, False, 0.01)]
-
-
-@query("SELECT 'd1,d3' won, false holds")
-def selective_wins(spark, sf):
-    """Five cells of one kind and two of another, each kind a family of its own; an infeasible one is left out."""
-    c = rows(spark, _CELLS, "dataset string, baseline string, kind string, diff double, p double, feasible boolean, ece double")
-    return stats.selective_decision(c).withColumn("won", F.array_join("won", ","))
-
-
-@query("SELECT * FROM (VALUES ('recall', 0.9, 0.95, true), ('ece', 0.5, 0.2, false), ('width', 1.0, NULL, false)) t(name, least, value, ok)".replace("0.9,", "0.9::DOUBLE,").replace("0.95,", "0.95::DOUBLE,"))
-def checked_gates(spark, sf):
-    v = rows(spark, [("recall", 0.95), ("ece", 0.2)], "name string, value double")
-    return stats.gates(v, {"recall": 0.9, "ece": 0.5, "width": 1.0}).select("name", "least", "value", "ok")
-
-
-@query("SELECT * FROM (VALUES (1, '', 'GO'), (2, 'ece', 'NO-GO'), (3, 'recall', 'INVALID')) t(seed, failed, verdict)".replace("(1,", "(1::BIGINT,"))
-def go_no_go(spark, sf):
-    s = rows(spark, [(1, 0.9, 0.01), (2, 0.9, 0.3), (3, None, 0.01)], "seed int, recall double, ece double")
-    return stats.go_no_go(s, {"recall": "recall >= 0.8", "ece": "ece <= 0.05"}).withColumn("failed", F.array_join("failed", ","))
-
-
-@query("SELECT true AS propagation, false AS precise, true AS both_better, false AS one_better")
-def paired_gates(spark, sf):
-    off, on = {"all_masked": 3, "groups": 10}, {"all_masked": 5, "groups": 10}
-    better, worse = {"diff": 0.1, "p_value": 0.01}, {"diff": 0.1, "p_value": 0.2}
-    return rows(spark, [(stats.propagation_gate(off, on, 0.95), stats.propagation_gate(off, on, 0.8), stats.both_win(better, better), stats.both_win(better, worse))], "propagation boolean, precise boolean, both_better boolean, one_better boolean")
-
 
 @query(f"WITH v AS (SELECT doc_id, {u('base', 'doc_id')} b, {u('x', 'doc_id')} x, {u('y', 'doc_id')} y FROM documents) SELECT 'x' variant, round(avg(abs(x - b)), 6) drift FROM v UNION ALL SELECT 'y', round(avg(abs(y - b)), 6) FROM v WHERE doc_id % 2 = 0")
 def score_drift(spark, sf):
@@ -623,30 +496,6 @@ def score_drift(spark, sf):
     return rounded(stats.drift(part("base", "base", d).unionByName(part("x", "x", d)).unionByName(part("y", "y", d.where("doc_id % 2 = 0"))), "base"), "drift")
 
 
-_PAUC = [("s1", "d1", "w1", 0.10), ("s1", "d2", "w1", 0.20), ("s2", "d1", "old", 0.05), ("s2", "d1", "w2", 0.30)]
-
-
-@query("SELECT 's1' system, 0.1::DOUBLE d1, 0.2::DOUBLE d2 UNION ALL SELECT 's2', 0.3, NULL")
-def ablations(spark, sf):
-    """Scores of verified weights, a column a dataset."""
-    r = rows(spark, _PAUC, "system string, dataset string, weights_sha string, pauc double")
-    return stats.ablation_table(r, rows(spark, [("s1", "w1"), ("s2", "w2")], "system string, weights_sha string"))
-
-
-@query("SELECT system, dataset, pauc FROM (VALUES ('s1', 'd1', 0.1::DOUBLE), ('s1', 'd2', 0.2), ('s2', 'd1', 0.3)) t(system, dataset, pauc)")
-def verified_rows(spark, sf):
-    r = rows(spark, _PAUC, "system string, dataset string, weights_sha string, pauc double")
-    return runs.verified(r, rows(spark, [("s1", "w1"), ("s2", "w2")], "system string, weights_sha string")).select("system", "dataset", "pauc")
-
-
-@query("SELECT * FROM (VALUES ('a', true, ''), ('b', false, 'b is not approved'), ('c', false, 'b has no result')) t(stage, may, why)")
-def stages_that_may_run(spark, sf):
-    out = [(s, *runs.may_run(s, ["a", "b", "c"], {"a", "c"}, {"a": {"accuracy": 0.5}}, 0.1)) for s in ("a", "b", "c")]
-    return rows(spark, out, "stage string, may boolean, why string")
-
-
-
-
 # Diagnostics ---------------------------------------------------------------------------------------------------------
 
 # Predictions beside the drawn spans: four in five, one in ten of them moved, one in five mistyped.

@@ -69,6 +69,25 @@ def test_crf_path(spark, sf):
         assert len(got[doc]) == len(e) and total(e, got[doc]) == pytest.approx((best + np.array(chain.end)).max())
 
 
+def test_crf_spans(spark, sf):
+    """Over whole texts: segments of short documents by all tag paths, and those of any by running sums of the chain."""
+    chain = crf.Chain.of(2, step=np.zeros((9, 9)))
+    emissions = {r.doc_id: np.array(r.emissions) for r in catalog._emissions(spark, sf).collect()}
+    got = {}
+    for r in catalog.QUERIES["crf_spans"](spark, sf).collect():
+        got.setdefault(r.doc_id, {})[r.first, r.last, r.type] = r.probability
+    assert max(last for x in got.values() for _, last, _ in x) > 100
+    for doc, e in emissions.items():
+        for (first, last, t), p in list(got.get(doc, {}).items())[:3]:
+            # the chain forced through the segment's tags, over the whole chain
+            begin, inside, end, single = range(1 + 4 * t, 5 + 4 * t)
+            ok = np.ones(e.shape, bool)
+            tags = [single] if first == last else [begin, *[inside] * (last - first - 1), end]
+            for i, tag in zip(range(first, last + 1), tags):
+                ok[i] = np.arange(e.shape[1]) == tag
+            assert p == pytest.approx(np.exp(-chain.loss(e, ok)), rel=1e-6) and p >= 0.05
+
+
 def test_validator_spans(spark, sf, texts):
     """Every match of each detector's pattern that passes its check, by Python's own matcher."""
     import regex
