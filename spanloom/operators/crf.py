@@ -84,17 +84,24 @@ class Chain:
         """
         a, z = self.forward(e)
         b, out, n, low = self.backward(e), [], len(e), np.log(floor)
+
+        def found(first: np.ndarray, last: np.ndarray, t: int, p: np.ndarray) -> None:
+            out.extend(zip(first.tolist(), last.tolist(), [t] * len(p), np.exp(np.minimum(0.0, p)).tolist(), strict=True))
+
         for t in range(self.scheme.types):
             begin, inside, last, single = range(1 + 4 * t, 5 + 4 * t)
             p = a[:, single] + b[:, single] - z
-            out += [(int(i), int(i), t, float(np.exp(min(0.0, p[i])))) for i in np.flatnonzero(p >= low)]
+            one = np.flatnonzero(p >= low)
+            found(one, one, t, p[one])
             run = np.cumsum(e[:, inside] + self.step[inside, inside])
-            for i in np.flatnonzero(a[:, begin] + b[:, begin] - z >= low):
-                j = np.arange(i + 1, min(n, i + longest))
+            for some in np.array_split(np.flatnonzero(a[:, begin] + b[:, begin] - z >= low), max(1, n // 4096)):
+                i = some[:, None]
+                j = np.minimum(i + np.arange(1, longest), n - 1)
                 # through k inside tokens: into the first, between them, out of the last
                 through = np.where(j > i + 1, self.step[begin, inside] + run[j - 1] - run[i] - self.step[inside, inside] + self.step[inside, last], self.step[begin, last])
                 p = a[i, begin] + through + e[j, last] + b[j, last] - z
-                out += [(int(i), int(x), t, float(np.exp(min(0.0, y)))) for x, y in zip(j[p >= low], p[p >= low], strict=True)]
+                x, y = np.nonzero((p >= low) & (i + np.arange(1, longest) < n))
+                found(some[x], j[x, y], t, p[x, y])
         return out
 
 
