@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -34,8 +36,8 @@ LAST = re.compile(r"[^\W_]+(?=[\W_]*$)")
 ROUNDS, CONFIDENCE, PROMOTED, SEEDS = 4, 0.3, 0.5, 5
 #: Characters of context before a span, characters between its words and the span at most, and shortest unseen identifier.
 CONTEXT, GAP, SHORTEST = 64, 4, 6
-#: Patterns whose occurrences are counted in one pass over the texts; more take several passes.
-BLOCK = 1 << 19
+#: Bits of the filter of wanted patterns, whatever their number; counts and known words that a task holds at most.
+BITS, HELD = 1 << 26, 1 << 17
 #: A key-shaped token (so long, so many letters and digits) is a seed entity as well, but no base span.
 KEY_LENGTH, KEY_LETTERS, KEY_DIGITS = 16, 3, 3
 
@@ -158,35 +160,78 @@ def read(docs: DataFrame) -> DataFrame:
     return stash(d.select("row", "doc_id", "x.base", "x.sha", "x.seen"), "pii")
 
 
-def background(docs: DataFrame, wanted: DataFrame, block: int = BLOCK) -> DataFrame:
+def marks(key: str, size: int) -> tuple[int, int]:
+    """Two bits of a key in a filter of so many bits, a power of two."""
+    h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"))
+    return h & (size - 1), h >> 32 & (size - 1)
+
+
+def sieve(wanted: DataFrame, size: int) -> bytes:
+    """A filter of so many bits that lets through all wanted patterns, their last words, and some others by chance.
+
+    Tasks mark their patterns, and one adds up 16 filters: its size is fixed, so the driver's memory is.
+    """
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                bits[[*marks(p, size), *marks(f"\0{LAST.search(p)[0]}", size)]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], ["bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                bits |= np.frombuffer(zlib.decompress(x), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    parts = wanted.select("pattern").repartition(16).mapInArrow(mark, "bits binary")
+    return bytes(parts.coalesce(1).mapInArrow(merge, "bits binary").first()[0])
+
+
+def background(docs: DataFrame, wanted: DataFrame, size: int = BITS) -> DataFrame:
     """(pattern, places): how often each wanted pattern stands before any word at all, over whole texts.
 
-    Patterns go to the texts in blocks of bounded size, dealt by hash, a pass a block.
+    One pass, whatever the number of patterns: a filter of fixed size goes to the texts, what it lets through is counted
+    where it lies, and a join with the wanted patterns drops what came through by chance.
     """
-    spark = docs.sparkSession
     wanted = stash(wanted.select("pattern").distinct(), "pii-wanted")
-    blocks = -(-wanted.count() // block)
-    out = wanted.select("pattern", F.lit(0).cast("long").alias("places")).limit(0)
-    for i in range(blocks):
-        few = [r.pattern for r in wanted.where(F.expr(f"pmod(xxhash64(pattern), {blocks}) = {i}")).toLocalIterator()]
-        cast = spark.sparkContext.broadcast((frozenset(few), frozenset(LAST.search(p)[0] for p in few)))
-
-        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            known, lasts = cast.value
-            n: Counter[str] = Counter()
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    two: list[str] = []
-                    end = -1
-                    for m in WORD.finditer(t or ""):
-                        if two and two[-1] in lasts and m.start() - end <= CONTEXT:
-                            n.update(p for p in joined(two, t[end:m.start()]) if p in known)
-                        two = [*two[-2:], m[0].lower()]
-                        end = m.end()
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pattern", "places"])
-
-        out = out.unionByName(docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern string, places long"))
-    return stash(out.groupBy("pattern").agg(F.sum("places").alias("places")), "pii-places")
+    cast = docs.sparkSession.sparkContext.broadcast(sieve(wanted, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = cast.value
+        known: dict[str, bool] = {}
+        n: Counter[str] = Counter()
+
+        def there(key: str) -> bool:
+            a, b = marks(key, size)
+            return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pattern", "places"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                two: list[str] = []
+                end, last = -1, False
+                for m in WORD.finditer(t or ""):
+                    if last and m.start() - end <= CONTEXT:
+                        n.update(p for p in joined(two, t[end:m.start()]) if there(p))
+                    w = m[0].lower()
+                    last = known.get(w)
+                    if last is None:
+                        if len(known) >= HELD:
+                            known.clear()
+                        last = known[w] = there(f"\0{w}")
+                    two = [*two[-2:], w]
+                    end = m.end()
+                if len(n) >= HELD:
+                    yield counted()
+                    n.clear()
+        yield counted()
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern string, places long")
+    return stash(found.groupBy("pattern").agg(F.sum("places").alias("places")).join(wanted, "pattern", "left_semi"), "pii-places")
 
 
 def score_patterns(seen: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
