@@ -193,7 +193,8 @@ def background(docs: DataFrame, wanted: DataFrame, size: int = BITS) -> DataFram
     """(pattern, places): how often each wanted pattern stands before any word at all, over whole texts.
 
     One pass, whatever the number of patterns: a filter of fixed size goes to the texts, what it lets through is counted
-    where it lies, and a join with the wanted patterns drops what came through by chance.
+    where it lies, and a join with the wanted patterns drops what came through by chance. A pattern is wanted only with
+    its shorter ones, as whatever stands in it stands in them: a place whose shortest one isn't wanted has none.
     """
     wanted = stash(wanted.select("pattern").distinct(), "pii-wanted")
     cast = docs.sparkSession.sparkContext.broadcast(sieve(wanted, size))
@@ -215,8 +216,15 @@ def background(docs: DataFrame, wanted: DataFrame, size: int = BITS) -> DataFram
                 two: list[str] = []
                 end, last = -1, False
                 for m in WORD.finditer(t or ""):
-                    if last and m.start() - end <= CONTEXT:
-                        n.update(p for p in joined(two, t[end:m.start()]) if there(p))
+                    if last and m.start() - end <= CONTEXT and (found := joined(two, t[end:m.start()])):
+                        some = known.get(found[0])
+                        if some is None:
+                            if len(known) >= HELD:
+                                known.clear()
+                            some = known[found[0]] = there(found[0])
+                        if some:
+                            n[found[0]] += 1
+                            n.update(p for p in found[1:] if there(p))
                     w = m[0].lower()
                     last = known.get(w)
                     if last is None:
