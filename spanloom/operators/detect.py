@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import aba_ok, digits_of, iban_ok, luhn_ok, matches
+from spanloom.operators import numbering
 from spanloom.operators.spans import as_b, overlap_join, suppress
 
-# Detector patterns. Phone numbers are North American ones in the usual notations: a documented
-# subset, as there is no number-plan library here.
+# Detector patterns. Telephone numbers go by a numbering plan (numbering.py).
 PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
     "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}_])",
     "ssn": r"(?<![0-9])(?!000|666|9[0-9][0-9])[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])",
     "email": r"(?<![\p{L}\p{N}_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\p{L}\p{N}_])",
     "aba": r"(?<![0-9])[0-9]{9}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
 }
 LABELS = {"card": "ACCOUNT_NUMBER", "iban": "ACCOUNT_NUMBER", "ssn": "ACCOUNT_NUMBER", "email": "EMAIL", "aba": "ACCOUNT_NUMBER", "phone": "PHONE"}
 
 
 def validated(docs: DataFrame, kind: str) -> DataFrame:
     """(doc_id, start, end, surface) of one kind that pass its checks."""
+    if kind == "phone":
+        return numbering.phones(docs)
     m = matches(docs, PATTERNS[kind])
     if kind == "card":
         d = digits_of(F.col("surface"))
@@ -36,7 +37,7 @@ def validated(docs: DataFrame, kind: str) -> DataFrame:
     return m
 
 
-def validator_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
+def validator_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(LABELS)) -> DataFrame:
     """(doc_id, start, end, label, raw, score, surface), score 1."""
     out = None
     for k in kinds:

@@ -141,6 +141,30 @@ def windows_of(questions: DataFrame, state: str, size: int = 64) -> DataFrame:
     return questions.withColumn("window", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
+def restyled(options: Column, spaces: bool = False, none_description: str | None = None) -> Column:
+    """options (array of struct name, description) worded otherwise: names with spaces, another description of NONE."""
+    def one(o: Column) -> Column:
+        name = F.replace(o["name"], F.lit("_"), F.lit(" ")) if spaces else o["name"]
+        text = o["description"] if none_description is None else F.lit(none_description)
+        return F.when(o["name"] == NONE, F.struct(o["name"].alias("name"), text.alias("description"))).otherwise(F.struct(name.alias("name"), o["description"].alias("description")))
+
+    return F.transform(options, one)
+
+
+def path_comparison(rows: DataFrame) -> DataFrame:
+    """One row (n, max_abs_diff, argmax_agree) of rows (a, b): probabilities of the same questions by two ways of computing."""
+    far = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
+    return rows.agg(F.count("*").alias("n"), F.max(far).alias("max_abs_diff"), F.avg((prob.argmax(F.col("a")) == prob.argmax(F.col("b"))).cast("double")).alias("argmax_agree"))
+
+
+def answer_errors(rows: DataFrame) -> DataFrame:
+    """(reason, n): answers (options, answer map<string, double>, error) that can't be used, by the error that the model
+    named, else invalid_answer: other keys than the options, or values that are no probabilities."""
+    p = F.transform("options", lambda o: F.element_at("answer", o))
+    bad = F.col("answer").isNull() | (F.size("answer") != F.size("options")) | prob.fault_of(p, F.size("options")).isNotNull()
+    return rows.where(bad).groupBy(F.coalesce("error", F.lit("invalid_answer")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def weighted_mean(rows: DataFrame, value: str = "loss", n: str = "questions") -> DataFrame:
     return rows.agg((F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("mean"))
 

@@ -43,6 +43,27 @@ def archive_name(taken: set[str], name: str) -> str:
     return f"{name}.{n}"
 
 
+def run_states(runs: DataFrame, expected: DataFrame) -> DataFrame:
+    """(run, state, archive) of runs (run, hashes map<string, string>, done, present) against expected (run, name, value).
+
+    new: nothing is there. reuse: done, and its manifest has every expected hash. resume: the hashes agree, but it isn't
+    done. archive: what is there has other hashes, or no manifest; archive then is the name to move it to: the run's with
+    .stale- and the first 12 characters of its questions hash (nohash), and -1, -2, .. if another run has that name.
+    """
+    want = expected.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_want"))
+    d = runs.join(want, "run", "left")
+    same = F.coalesce(F.forall(F.map_entries(F.coalesce("_want", F.create_map().cast("map<string,string>"))), lambda e: F.element_at("hashes", e["key"]).eqNullSafe(e["value"])), F.lit(True)) & F.col("hashes").isNotNull()
+    state = F.when(~F.col("present"), "new").when(same & F.col("done"), "reuse").when(same, "resume").otherwise("archive")
+    tag = F.substring(F.coalesce(F.element_at("hashes", "questions"), F.lit("nohash")), 1, 12)
+    d = d.withColumn("state", state).withColumn("_base", F.when(F.col("state") == "archive", F.concat("run", F.lit(".stale-"), tag)))
+    # names that are taken are runs themselves; the first free number is among as many as there are names, and one more
+    taken = runs.select(F.col("run").alias("_taken"))
+    near = d.where("_base is not null").select("run", "_base").join(taken, F.col("_taken").startswith(F.col("_base"))).groupBy("run").agg(F.collect_set("_taken").alias("_names"))
+    d = d.join(near, "run", "left")
+    free = F.filter(F.transform(F.sequence(F.lit(0), F.size(F.coalesce("_names", F.array().cast("array<string>")))), lambda n: F.when(n == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), n))), lambda x: ~F.array_contains(F.coalesce("_names", F.array().cast("array<string>")), x))
+    return d.select("run", "state", F.when(F.col("_base").isNotNull(), F.get(free, F.lit(0))).alias("archive"))
+
+
 def run_units(spark: SparkSession, path: str, stage: str, units: dict[str, Callable[[], int]], key: str, version: str, cap_hours: float, stop: Callable[[], bool] = lambda: False) -> list[str]:
     """Runs the units that aren't current, in order; returns those it ran.
 

@@ -95,6 +95,18 @@ def retrieval(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return hit.agg(F.count("*").alias("n"), F.avg("a").alias("top1"), F.avg("b").alias("top5"))
 
 
+def projection_gap(labels: DataFrame) -> DataFrame:
+    """One row (heldout_nearest_seen, seen_nearest_other_seen, gap) of labels (id, seen, unit).
+
+    Means of the cosine to the nearest seen label, of held-out ones and of seen ones to another. The more a projection
+    collapses held-out labels onto seen ones, the nearer the gap is to what a seen label has, or above. Null without any.
+    """
+    seen, held = labels.where("seen"), labels.where("not seen")
+    near = lambda d, name: nearest(d.select(F.col("id").alias("query_id"), "unit"), seen.select("id", "unit"), 1).agg(F.lit(1).alias("_one"), F.avg("cosine").alias(name))
+    j = near(held, "heldout_nearest_seen").join(near(seen, "seen_nearest_other_seen"), "_one").drop("_one")  # one row each
+    return j.withColumn("gap", F.col("heldout_nearest_seen") - F.col("seen_nearest_other_seen"))
+
+
 def choose_held_out(groups: DataFrame, support: int, vetoes: list[str], k: int) -> DataFrame:
     """groups (label, best, support): the k most separate ones with enough support, without vetoed labels."""
     ok = groups.where((F.col("support") >= support) & ~F.col("label").isin(*vetoes))

