@@ -95,10 +95,11 @@ def detections(docs: DataFrame, name: str, floor: float = 0.0, words: int = 150,
 def accepted(found: DataFrame, margin: int = 1) -> DataFrame:
     """(doc_id, start, end, label, score): admitted detections, one for each span.
 
-    What comes within margin characters of an inner edge of its piece may be cut, and is left to the overlapping piece.
+    What touches an inner edge of its piece, or has no more than margin characters before it, may be cut, and is left to the
+    overlapping piece: a sign at the edge may belong to what was found, so one character is the least for such labels.
     """
     ok = found.where("status = 'ok'")
-    inner = ((F.col("piece_start") > 0) & (F.col("start") < F.col("piece_start") + margin)) | ((F.col("piece_end") < F.col("doc_length")) & (F.col("end") > F.col("piece_end") - margin))
+    inner = ((F.col("piece_start") > 0) & (F.col("start") <= F.col("piece_start") + margin)) | ((F.col("piece_end") < F.col("doc_length")) & (F.col("end") >= F.col("piece_end") - margin))
     order = F.col("win") * (1 << 16) + F.col("piece")
     return spans.stitch(ok.where(~inner).select("doc_id", "start", "end", "label", "score", order.alias("win"), "pos")).drop("win", "pos")
 

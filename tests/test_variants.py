@@ -90,6 +90,15 @@ def test_detections_by_name(spark):
     assert {(r.status, r.raw): r.n for r in detectors.outcomes(found.where("doc_id = 2")).collect()} == {("unknown_label", "odd"): 1, ("bad_bounds", "loud"): 1, ("below_floor", "loud"): 1, ("ok", "loud"): 1}
 
 
+def test_a_sign_at_the_edge_may_belong_to_what_was_found(spark):
+    """A window that ends after the dot of an address holds a shorter address, one character before the edge."""
+    text = " ".join(["w"] * 12) + " a@mail.example.com " + " ".join(["w"] * 40)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for words in range(14, 22):  # some of these end inside the address
+        got = [(r.start, r.end) for r in detectors.accepted(detectors.detections(docs, "patterns", words=words, stride=7)).collect()]
+        assert got == [(24, 42)], words
+
+
 def test_lateral_in_sql(spark):
     fn = detectors.register(spark, "patterns")
     got = spark.sql(f"SELECT t.id, f.start, f.end, f.raw FROM VALUES (1, 'to a@b.org'), (2, ''), (3, NULL) t(id, text), LATERAL {fn}(t.text, 100) f").collect()
