@@ -27,6 +27,13 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def refused(message: Column | str) -> Column:
+    """raise_error for rows that get here. It names the file, which keeps conditions on what is raised for from being moved
+    ahead of earlier ones: there Spark would work out a shared part of them, and raise, for rows that those leave out."""
+    file = F.input_file_name()
+    return F.raise_error(F.concat(F.lit(message) if isinstance(message, str) else message, F.when(file != "", F.concat(F.lit(", file "), file)).otherwise("")))
+
+
 def court_cases(records: DataFrame) -> DataFrame:
     """records (doc_id, text, annotations map<annotator, struct<entity_mentions array<struct>>>): all annotators' mentions,
     labelled entity/identifier."""
@@ -41,7 +48,7 @@ def token_rows(records: DataFrame) -> DataFrame:
     """records (doc_id, tokens, trailing_whitespace, ent_tags) to (doc_id, pos, token, space, tag, start)."""
     require(records, "doc_id", "tokens", "trailing_whitespace", "ent_tags")
     same = (F.size("tokens") == F.size("trailing_whitespace")) & (F.size("tokens") == F.size("ent_tags"))
-    ok = records.withColumn("_z", F.when(same, F.arrays_zip("tokens", "trailing_whitespace", "ent_tags")).otherwise(F.raise_error(F.concat(F.lit("token lengths differ in "), F.col("doc_id").cast("string")))))
+    ok = records.withColumn("_z", F.when(same, F.arrays_zip("tokens", "trailing_whitespace", "ent_tags")).otherwise(refused(F.concat(F.lit("token lengths differ in "), F.col("doc_id").cast("string")))))
     t = ok.repartition("doc_id").select("doc_id", F.posexplode("_z").alias("pos", "z")).select("doc_id", "pos", F.col("z.tokens").alias("token"), F.col("z.trailing_whitespace").alias("space"), F.col("z.ent_tags").alias("tag"))
     size = F.length("token") + F.col("space").cast("int")
     return t.withColumn("start", F.coalesce(F.sum(size).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
@@ -123,7 +130,7 @@ def zipped(columns: Column, names: tuple[str, ...]) -> Column:
     for n in names[1:]:
         even = even & (F.size(columns[n]) == F.size(columns[names[0]]))
     rows = F.transform(F.sequence(F.lit(0), F.size(columns[names[0]]) - 1), lambda i: F.struct(*[F.get(columns[n], i).alias(n) for n in names]))
-    return F.when(~even, F.raise_error(F.lit("ragged nested columns"))).when(F.size(columns[names[0]]) > 0, rows)
+    return F.when(~even, refused("ragged nested columns")).when(F.size(columns[names[0]]) > 0, rows)
 
 
 def parse_spans(c: Column) -> Column:
@@ -137,7 +144,7 @@ def json_spans(records: DataFrame, dataset: str, text: str, spans: str, doc_key:
     """Text with spans as JSON. fold_surface: a surface that equals its slice but for case becomes the slice."""
     require(records, text, spans)
     d = records.withColumn("_s", parse_spans(F.col(spans)))
-    d = d.withColumn("_s", F.when(F.col("_s").isNull() & F.col(spans).isNotNull(), F.raise_error(F.lit("spans are neither JSON nor a literal"))).otherwise(F.col("_s")))
+    d = d.withColumn("_s", F.when(F.col("_s").isNull() & F.col(spans).isNotNull(), refused("spans are neither JSON nor a literal")).otherwise(F.col("_s")))
 
     def one(s: Column) -> Column:
         start, end, said = s["start"].try_cast("int"), s["end"].try_cast("int"), F.coalesce(s["text"], s["value"])

@@ -205,3 +205,14 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.value) for r in spark.sql("select n, value from w").collect()] == [(2, 5.0)]
+
+
+def test_filtered_rows_are_not_refused(spark, tmp_path):
+    at = str(tmp_path / "texts")
+    spark.createDataFrame([(1, "abc"), (2, "ab\n")], "doc_id long, text string").write.parquet(at)
+    spans = F.concat(F.lit('[{"start": 0, "end": 3, "label": "email", "text": "'), "text", F.lit('"}]'))
+    d = spark.read.parquet(at).where(F.col("text").rlike("^[a-z]{3}")).withColumn("spans", spans)
+    out = readers.json_spans(d, "x", "text", "spans", F.col("doc_id"), fold_surface=True).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.surface")
+    assert out.collect() == [("x_1", "abc")]
+    with pytest.raises(Exception, match="neither JSON nor a literal"):
+        readers.json_spans(spark.read.parquet(at).withColumn("spans", spans), "x", "text", "spans", F.col("doc_id")).collect()
