@@ -84,8 +84,8 @@ def detections(docs: DataFrame, name: str, floor: float = 0.0, words: int = 150,
     """
     spark, model = docs.sparkSession, known(name)
     d = docs.where("text is not null").select("doc_id", "text")
-    w = windows.text_windows(d, words, stride).join(d, "doc_id")
-    w = w.select("doc_id", "win", F.col("start").alias("at"), F.expr("substring(text, start + 1, end - start)").alias("part"), F.length("text").alias("doc_length"))
+    w = windows.packed_windows(d, words, stride, "doc_id", "text").select("doc_id", "text", "size", F.inline_outer("windows"))
+    w = w.select("doc_id", "win", F.col("start").alias("at"), F.expr("substring(text, start + 1, end - start)").alias("part"), F.col("size").alias("doc_length"))
     f = spark.sql(f"SELECT w.doc_id, w.win, w.doc_length, f.* FROM {{w}} w, LATERAL {register(spark, name)}(w.part, w.at) f", w=w)
     outcome = spark.createDataFrame(list(model.labels.items()), "label string, outcome string")
     f = spans.admit(f.withColumnsRenamed({"raw": "label", "doc_length": "length"}), outcome, floor)

@@ -126,3 +126,16 @@ def test_probability_vectors(spark):
     assert r.n == [0.25, 0.75, 0.0] and r.a == 1 and r.f == "length" and r.w == [0.5, 0.0, 0.5]
     assert r.c == pytest.approx(1 + (0.25 * math.log(0.25) + 0.75 * math.log(0.75)) / math.log(3))
     assert r.t == pytest.approx([0.1, 0.9, 0.0]) and r.i == pytest.approx(1 / 3)
+
+
+def test_places_are_added_up_inside_the_row(spark, tmp_path):
+    """No sort and no window over the words of all texts, which spilled; rows of one id stay apart."""
+    from spanloom.operators import windows
+
+    at = str(tmp_path / "texts")
+    spark.createDataFrame([(1, "ab, cd"), (1, " ef"), (2, None)], "doc_id long, text string").write.parquet(at)
+    d = spark.read.parquet(at)
+    for made in (text.word_runs(d), text.matches(d, "[a-z]+"), windows.text_windows(d, 2, 1)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort " not in plan
+    assert sorted((r.start, r.end, r.word, r.next_end) for r in text.word_runs(d).collect()) == [(0, 2, "ab", 6), (1, 3, "ef", None), (4, 6, "cd", None)]
