@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,20 +54,49 @@ HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam")
 TITLE_REACH = 8
 
 
+WORD = re.compile(r"\w+")
+
+
+def found(text: str, surfaces: list[str]) -> list[tuple[int, int, int]]:
+    """(surface, start, end) of the whole-word places of surfaces in a text, by one walk over its words.
+
+    A surface's first word is a whole word of the text at each place, so it is looked up only where that word is. Places of
+    one surface don't overlap. Surfaces hold a letter or digit.
+    """
+    by: dict[str, list[list]] = {}
+    for k, s in enumerate(surfaces):
+        if m := WORD.search(s):
+            by.setdefault(m.group(), []).append([k, s, m.start(), 0])
+    out = []
+    for m in WORD.finditer(text) if by else ():
+        for x in by.get(m.group(), ()):
+            k, s, ahead, free = x
+            a = m.start() - ahead
+            b = a + len(s)
+            if a >= free and text.startswith(s, a) and (b == len(text) or not WORD.match(text, b)) and (a == 0 or not WORD.match(text, a - 1)):
+                out.append((k, a, b))
+                x[3] = b
+    return out
+
+
 def places(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
     """surfaces (doc_id, surface, ..) with start, end and before of each whole-word place of the surface in its text.
 
-    A text is cut at the surface, and the lengths of the pieces give the places; before is what stands TITLE_REACH
-    characters ahead of one.
+    A text meets all of its surfaces in one row and is read once; before is what stands TITLE_REACH characters ahead of a
+    place.
     """
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace("surface", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    cut = F.split("text", quoted, -1)
-    d = docs.select("doc_id", "text").join(surfaces, "doc_id").withColumn("ends", F.transform(cut, lambda x: F.length(x)))
-    n = F.length("surface")
-    # the k-th place is behind the first k + 1 pieces and k surfaces
-    upto = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.aggregate(F.slice("ends", F.lit(1), k), F.lit(0), lambda a, x: a + x) + (k - 1) * n)
-    d = d.where(F.size("ends") > 1).withColumn("start", F.explode(upto)).withColumn("end", F.col("start") + n)
-    return d.withColumn("before", F.expr(f"substring(text, greatest(start - {TITLE_REACH}, 0) + 1, least(start, {TITLE_REACH}))")).drop("text", "ends")
+    rest = [c for c in surfaces.columns if c != "doc_id"]
+    own = surfaces.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_own"))
+
+    @F.arrow_udf("array<struct<k:int,start:int,end:int,before:string>>")
+    def look(text: pa.Array, names: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string())]))
+        each = ((t.as_py(), n.as_py()) for t, n in zip(text, names, strict=True))
+        return pa.array([[(k, a, b, t[max(0, a - TITLE_REACH):a]) for k, a, b in found(t, n)] if t is not None else [] for t, n in each], kind)
+
+    d = docs.select("doc_id", "text").join(own, "doc_id").withColumn("_at", look("text", F.transform("_own", lambda x: x["surface"])))
+    d = d.select("doc_id", "_own", F.inline("_at")).withColumn("_x", F.get("_own", "k"))
+    return d.select("doc_id", *[F.col(f"_x.{c}").alias(c) for c in rest], "start", "end", "before")
 
 
 def propagate(docs: DataFrame, preds: DataFrame, least: float = 0.5, letters: int = 4) -> DataFrame:

@@ -494,3 +494,12 @@ def test_nearest_in_blocks_with_ties(spark):
             got.setdefault(r.query_id, []).append(r.id)
         assert got == want
     assert vectors.nearest(q.limit(0), e, 5).count() == 0 and vectors.nearest(q, e.limit(0), 5).count() == 0
+
+
+def test_places_read_a_text_once(spark):
+    """A text is no row for each of its surfaces; places of one surface don't overlap and are whole words."""
+    docs = spark.createDataFrame([(1, "foo foo foo, (foo) xfoo foo_ \U0001f600foo")], "doc_id long, text string")
+    s = spark.createDataFrame([(1, "foo foo", 7), (1, "foo", 8), (1, "(foo", 9)], "doc_id long, surface string, k int")
+    got = sorted((r.k, r.start, r.end, r.before) for r in detect.places(docs, s).collect())
+    assert got == [(7, 0, 7, ""), (8, 0, 3, ""), (8, 4, 7, "foo "), (8, 8, 11, "foo foo "), (8, 14, 17, "o foo, ("), (8, 30, 33, "oo foo_ \U0001f600"[-8:]), (9, 13, 17, "oo foo, ")]
+    assert "Generate explode" not in detect.places(docs, s)._jdf.queryExecution().executedPlan().toString()
