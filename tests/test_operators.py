@@ -503,3 +503,24 @@ def test_places_read_a_text_once(spark):
     got = sorted((r.k, r.start, r.end, r.before) for r in detect.places(docs, s).collect())
     assert got == [(7, 0, 7, ""), (8, 0, 3, ""), (8, 4, 7, "foo "), (8, 8, 11, "foo foo "), (8, 14, 17, "o foo, ("), (8, 30, 33, "oo foo_ \U0001f600"[-8:]), (9, 13, 17, "oo foo, ")]
     assert "Generate explode" not in detect.places(docs, s)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sequences_in_step_are_decoded_as_alone():
+    """Sequences of many lengths in one block have the sums and the path that each has alone."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    c = crf.Chain.of(2, step=r.normal(size=(9, 9)))
+    each = [r.normal(size=(n, 9)) * 3 for n in (1, 40, 7, 7, 2, 90)]
+    rows = set()
+    for some, e, sizes in crf._blocks(pa.array([x.tolist() for x in each] + [[]], pa.list_(pa.list_(pa.float64())))):
+        a, z = c.forward_all(e, sizes)
+        b, paths = c.backward_all(e, sizes), c.best_all(e, sizes)
+        for j, i in enumerate(some):
+            own, total = c.forward(each[i])
+            n = len(each[i])
+            np.testing.assert_allclose(a[:n, j], own, rtol=1e-12)
+            np.testing.assert_allclose(b[:n, j], c.backward(each[i]), rtol=1e-12)
+            assert abs(z[j] - total) < 1e-9 and paths[j] == c.best(each[i])
+            rows.add(i)
+    assert rows == set(range(6))
