@@ -9,9 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanloom.functions.text import structs
 from spanloom.operators import spans, windows
 
 
@@ -75,6 +78,13 @@ def register(spark: SparkSession, name: str) -> str:
     return f"detect_{name}"
 
 
+@F.arrow_udf(structs("win", "at", part=T.StringType()))
+def _parts(text: pa.Array, at: pa.Array) -> pa.Array:
+    """The text of each window, cut by places, so that a long text is walked through once."""
+    kind = pa.list_(pa.struct([("win", pa.int32()), ("at", pa.int32()), ("part", pa.string())]))
+    return pa.array([[(w["win"], w["start"], t[w["start"]:w["end"]]) for w in x] for t, x in zip(text.to_pylist(), at.to_pylist(), strict=True)], kind)
+
+
 def detections(docs: DataFrame, name: str, floor: float = 0.0, words: int = 150, stride: int = 75) -> DataFrame:
     """All that a detector finds in windows of whole texts, with status: ok, unknown_label, bad_bounds or below_floor.
 
@@ -84,8 +94,8 @@ def detections(docs: DataFrame, name: str, floor: float = 0.0, words: int = 150,
     """
     spark, model = docs.sparkSession, known(name)
     d = docs.where("text is not null").select("doc_id", "text")
-    w = windows.packed_windows(d, words, stride, "doc_id", "text").select("doc_id", "text", "size", F.inline_outer("windows"))
-    w = w.select("doc_id", "win", F.col("start").alias("at"), F.expr("substring(text, start + 1, end - start)").alias("part"), F.col("size").alias("doc_length"))
+    w = windows.packed_windows(d, words, stride, "doc_id", "text").select("doc_id", F.col("size").alias("doc_length"), _parts("text", "windows").alias("w"))
+    w = w.select("doc_id", "doc_length", F.inline_outer("w"))
     f = spark.sql(f"SELECT w.doc_id, w.win, w.doc_length, f.* FROM {{w}} w, LATERAL {register(spark, name)}(w.part, w.at) f", w=w)
     outcome = spark.createDataFrame(list(model.labels.items()), "label string, outcome string")
     f = spans.admit(f.withColumnsRenamed({"raw": "label", "doc_length": "length"}), outcome, floor)
