@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import prob
+from spanloom.functions.text import structs
 from spanloom.operators import leak
 from spanloom.operators.spans import CELL
+from spanloom.schema import IGNORE, is_pii
 
 
 def padded(rows: DataFrame, logits: str, none: str, sensitive: Sequence[bool], sizes: Sequence[int], keep: Sequence[str] = ("doc_id", "start", "end")) -> DataFrame:
@@ -52,6 +56,32 @@ def histograms(runs: DataFrame, preds: DataFrame, variants: Sequence[str], cell:
     return per.groupingSets([["variant", "bin"], ["variant"]], "variant", "bin").agg(F.sum("n_pii").alias("n_pii"), F.sum("n_non").alias("n_non"))
 
 
+@F.arrow_udf(structs("v", "bin", "n_pii", "n_non"))
+def _each(runs: pa.Array, preds: pa.Array, gold: pa.Array, variants: pa.Array) -> pa.Array:
+    t = leak._Texts(runs, preds, gold)
+    p, g = t.spans
+    pii = t.under(g, g["ign"] == 0)
+    n_pii, hidden = t.chars(pii), t.chars(pii | t.under(g, g["ign"] == 1))
+    n_non, n, bins = t.end - t.start - hidden, len(t.offsets) - 1, 1 << 10
+    parts = []
+    for v in range(variants[0].as_py() if n else 0):
+        key, back = np.unique(t.text * bins + t.bins({k: x[p["v"] == v] for k, x in p.items()}), return_inverse=True)
+        parts.append([key // bins, np.full(len(key), v), key % bins, *(np.bincount(back, x, len(key)).astype(np.int64) for x in (n_pii, n_non))])
+    text, *cols = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 5
+    order = np.argsort(text, kind="stable")
+    return leak._listed(n, text[order], **dict(zip(("v", "bin", "n_pii", "n_non"), (x[order] for x in cols), strict=True)))
+
+
+def text_histograms(docs: DataFrame, preds: DataFrame, gold: DataFrame, variants: Sequence[str]) -> DataFrame:
+    """histograms() of texts (doc_id, text): a text meets its gold and the predictions of all variants in one row, and what
+    leaves it is a row a variant and bin."""
+    names = F.array(*[F.lit(v) for v in variants])
+    p = preds.where(F.col("variant").isin(*variants)).select("doc_id", "start", "end", (F.array_position(names, F.col("variant")) - 1).cast("int").alias("v"), prob.bin_of(F.col("score")).alias("bin"))
+    g = gold.where(is_pii(F.col("label")) | (F.col("label") == IGNORE)).select("doc_id", "start", "end", (F.col("label") == IGNORE).cast("int").alias("ign"))
+    d = leak.met(docs, preds=p, gold=g).select(F.inline_outer(_each("runs", "preds", "gold", F.lit(len(variants))))).where("v is not null")
+    return d.select(F.get(names, "v").alias("variant"), "bin", "n_pii", "n_non").groupingSets([["variant", "bin"], ["variant"]], "variant", "bin").agg(F.sum("n_pii").alias("n_pii"), F.sum("n_non").alias("n_non"))
+
+
 def curves(hist: DataFrame) -> DataFrame:
     """(variant, k, leak, over) for k = 0..1001, as leak.curve, from histograms(): at most 1,003 rows a variant.
 
@@ -69,8 +99,9 @@ def curves(hist: DataFrame) -> DataFrame:
     return g.select("variant", "k", hidden.alias("leak"), over.alias("over"))
 
 
-def report(runs: DataFrame, preds: DataFrame, variants: Sequence[str]) -> DataFrame:
-    """(variant, pauc, mean_abs_drift, none_share), preds as from padded(). Variants without predictions have no drift."""
-    area = leak.pauc(curves(histograms(runs, preds, variants)), "variant")
+def report(hist: DataFrame, preds: DataFrame) -> DataFrame:
+    """(variant, pauc, mean_abs_drift, none_share) from histograms and preds as from padded(). Variants without predictions
+    have no drift."""
+    area = leak.pauc(curves(hist), "variant")
     moved = preds.groupBy("variant").agg(F.avg("drift").alias("mean_abs_drift"), F.avg(F.col("says_none").cast("double")).alias("none_share"))
     return area.join(moved, "variant", "left")

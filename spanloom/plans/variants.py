@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import prob
 from spanloom.operators import detectors, numbering, questions, runs, stats, sweeps, vectors
 from spanloom.plans import demo
-from spanloom.plans.catalog import _FAMILY, _HOLM, _family, query, rounded, scored, values
+from spanloom.plans.catalog import _FAMILY, _HOLM, _family, query, rounded, values
 from spanloom.plans.coverage import draw
 from spanloom.plans.demo import EVAL, documents, u
 from spanloom.session import table
@@ -69,12 +69,12 @@ ar AS (SELECT n, sum(low * (least(coalesce(nxt, 'inf'::DOUBLE), 0.05e0) - least(
 SELECT n::VARCHAR variant, round(pauc, 6) pauc, round(drift, 6) mean_abs_drift, round(none_share, 6) none_share FROM ar JOIN m USING (n)""")
 def label_set_sweep(spark, sf):
     """Partial area, drift of P(sensitive) and share of none as a label set grows by labels that aren't sensitive."""
-    r, _ = scored(spark, sf)
-    p = demo.preds(spark, sf)
+    _, g, p = demo.world(spark, sf)
     logits = F.array(F.col("score") * 4, _logit("l1", 2.0), _logit("l2", 2.0), *[_logit(f"x{i}", 2.0) for i in range(DISTRACTORS)])
     p = p.select("doc_id", "start", "end", logits.alias("logits"), _logit("none", 3.0).alias("none"))
     p = sweeps.padded(p, "logits", "none", (True, True, False), SIZES).withColumn("score", F.round("score", 6))
-    return rounded(sweeps.report(r, p, [str(n) for n in SIZES]), "pauc", "mean_abs_drift", "none_share")
+    h = sweeps.text_histograms(documents(spark, sf), p, g, [str(n) for n in SIZES])
+    return rounded(sweeps.report(h, p), "pauc", "mean_abs_drift", "none_share")
 
 
 # Detectors by name ---------------------------------------------------------------------------------------------------
