@@ -21,18 +21,22 @@ def with_unit(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("_n", size).withColumn("unit", F.when(F.col("_n") > 0, F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).otherwise(F.transform(vector, lambda x: x.cast("double")))).drop("_n")
 
 
-#: Queries that are compared in one matrix, at most.
-QUERIES = 1 << 13
+#: Queries that are compared in one matrix, at most; rows of a pack, and of one product; bytes of an Arrow batch of packs with
+#: their matrices.
+QUERIES, PACK, SLICE, BYTES = 1 << 13, 1 << 12, 1 << 9, 1 << 25
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -> DataFrame:
     """(query_id, id, cosine, rank): the k nearest rows of each query; queries (query_id, unit), rows (id, unit).
 
-    All rows are compared with the stated queries, as products of an Arrow batch of rows with a block of queries. A task
-    keeps the k best of each query over all its batches, and those of all tasks meet at the end. A single block is sent to
-    the tasks, as it has a bounded size; of several, each is joined to a copy of the packed rows. Equal cosines (to 12 digits)
-    go by id; a row isn't compared with the query of its own id. Vectors are alike in length.
+    All rows are compared with the stated queries, as products of a pack of rows with a block of queries. A task keeps the k
+    best of each query over all its packs, but the matrix of one block alone, and those of all tasks meet at the end. A single
+    block is sent to the tasks, as it has a bounded size; of several, each is joined to a copy of the packed rows. So a
+    worker holds one product of at most block by SLICE and BYTES of packs at once, whatever the tables' size. Equal cosines
+    (to 12 digits) go by id; a row isn't compared with the query of its own id. Vectors are alike in length.
     """
+    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PACK)
+    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
     ids, of = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     blocks = max(1, -(-queries.count() // block))
     q = queries.select("query_id", F.col("unit").cast("array<double>").alias("unit"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
@@ -50,15 +54,23 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple] = {}
+        block, matrix, place = None, None, {}
         for b in batches:
-            for n, own, m, names, matrix in zip(*[b.column(i) for i in range(5)], strict=True):
-                n = n.as_py()
-                own = np.array(own.values.to_pylist(), dtype=object)
-                names, matrix = (kept[n][0], kept[n][1]) if n in kept else (np.array(names.values.to_pylist(), dtype=object), matrix.values.to_numpy().reshape(len(names), -1))
-                s = np.round(matrix @ m.values.to_numpy().reshape(len(own), -1).T, 12)
-                s[names[:, None] == own[None, :]] = -np.inf
-                kept[n] = names, matrix, *top(s, np.broadcast_to(own, s.shape), kept.get(n), k)
-        for names, _, s, own in kept.values():
+            for i in range(len(b)):
+                n, own = b.column(0)[i].as_py(), np.array(b.column(1)[i].values.to_pylist(), dtype=object)
+                if n != block:
+                    block, names = n, b.column(3)[i].values.to_pylist()
+                    matrix, place = b.column(4)[i].values.to_numpy().reshape(len(names), -1).copy(), {x: j for j, x in enumerate(names)}
+                    kept.setdefault(n, (np.array(names, dtype=object), np.empty((len(names), 0)), np.empty((len(names), 0), object)))
+                m = b.column(2)[i].values.to_numpy().reshape(len(own), -1)
+                for at in range(0, len(own), SLICE):
+                    few = own[at:at + SLICE]
+                    s = matrix @ m[at:at + SLICE].T
+                    same = [(place[x], j) for j, x in enumerate(few) if x in place]
+                    if same:
+                        s[tuple(np.array(same).T)] = -np.inf
+                    kept[n] = kept[n][0], *top(s, few, kept[n][1:], k)
+        for names, s, own in kept.values():
             ok = np.isfinite(s)
             yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, ok.sum(1)).tolist(), "id": own[ok].tolist(), "cosine": s[ok]}, schema=schema)
 
@@ -68,16 +80,22 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def top(s: np.ndarray, own: np.ndarray, before: tuple | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each line of s and of those kept before, by score and then id."""
-    if before is not None:
-        s, own = np.concatenate([before[2], s], axis=1), np.concatenate([before[3], own], axis=1)
-    if s.shape[1] > k:
-        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-        picked = [sorted(np.flatnonzero(line >= x), key=lambda j: (-line[j], names[j]))[:k] for line, x, names in zip(s, least, own, strict=True)]
-        at = np.array(picked)
-        s, own = np.take_along_axis(s, at, 1), np.take_along_axis(own, at, 1)
-    return s, own
+def top(s: np.ndarray, own: np.ndarray, before: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line of s, to 12 digits, and of those kept before, by score and then id.
+
+    A line that holds nothing as good as what was kept is left at once. own: the ids of the columns of s.
+    """
+    full = before[0].shape[1] >= k
+    least = before[0].min(axis=1) - 1e-11 if full else np.full(len(s), -np.inf)
+    width = min(k, s.shape[1] + before[0].shape[1])
+    out = tuple(x.copy() for x in before) if full else (np.empty((len(s), width)), np.empty((len(s), width), object))
+    for i in np.flatnonzero(s.max(axis=1) >= least):
+        line = s[i]
+        at = np.flatnonzero(line >= max(least[i], -np.partition(-line, k - 1)[k - 1] - 1e-11 if len(line) > k else -np.inf))
+        score, names = np.concatenate([before[0][i], np.round(line[at], 12)]), np.concatenate([before[1][i], own[at]])
+        order = sorted(range(len(score)), key=lambda j: (-score[j], names[j]))[:width]
+        out[0][i], out[1][i] = score[order], names[order]
+    return out
 
 
 def best_of_other_group(labels: DataFrame) -> DataFrame:
