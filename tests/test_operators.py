@@ -247,6 +247,31 @@ def test_similar_pairs_have_full_recall(spark):
     assert {(x.test_id, x.train_id) for x in audit.similar_pairs(d, d, 0.8, self_join=True).collect()} == want and want
 
 
+def test_similar_pairs_store_no_shingles(spark, monkeypatch):
+    """What is stored is a row a document or pair at most, and only the prefixes of sets meet."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghij") + str(r.randrange(90)) for _ in range(80)) for _ in range(20)]
+    d = spark.createDataFrame([(i, texts[i % 20] + f" x{i}", "c") for i in range(40)] + [(40, None, "c"), (41, "", "c"), (42, "two words", "c")], DOC)
+    stored, keep = [], audit.stash
+
+    def stash(df, what="cut"):
+        out = keep(df, what)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(audit, "stash", stash)
+    got = {(x.test_id, x.train_id) for x in audit.similar_pairs(d, d, 0.8, self_join=True).collect()}
+    assert got == {(i + 20, i) for i in range(20)} and max(stored) <= d.count()
+
+
+def test_crowded_shingles_come_last(spark):
+    crowd = np.zeros(audit.CROWDS, np.int64)
+    crowd[[5, 6]] = 9, 1
+    d = spark.createDataFrame([(1, [5, 6, 7, 8, 9, -1, 10, 11, 12, 13]), (2, [5]), (3, []), (4, None)], "doc_id long, s array<long>")
+    got = {x.doc_id: x.p for x in d.select("doc_id", audit.prefixes(spark, crowd, 0.8)(F.col("s")).alias("p")).collect()}
+    assert got[1] == [-1, 7, 8] and got[2] == [5] and not got[3] and not got[4]
+
+
 def test_audit_flags(spark):
     letter = "dear customer your account ending in 1234 was opened on monday and we are glad to have you with us today"
     train = spark.createDataFrame([(1, letter.replace("customer", "Ada"), "t1")], DOC)
