@@ -398,6 +398,36 @@ def test_lm_probabilities_sum_to_one(spark, monkeypatch):
     assert len(seen) == v.words and np.allclose(total[used], 1, atol=1e-9)
 
 
+def test_every_context_has_its_restaurant(spark, sf, monkeypatch):
+    """Contexts whose totals no worker holds score as those that all workers hold, in several blocks and with heavy words."""
+    monkeypatch.setattr(lm, "BLOCK", 1 << 12)
+    monkeypatch.setattr(lm, "HEAVY", 50)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    train = docs.where(~lm.held_out(F.col("doc_id")))
+    want, got = ({r.doc_id: (r.base_score, r.score) for r in lm.score(docs, train, n).collect()} for n in (1 << 17, 30))
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want) and len(got) == len(want)
+
+
+def test_probabilities_after_rare_contexts_sum_to_one(spark):
+    docs = frame(spark, [r for r in texts() if r[1] and len(r[1]) < 2000])
+    model = lm.fit(docs, 0)
+    v, held = model.vocabulary, {}
+    for d in (model.pairs, model.seats, model.contexts):
+        for r in d.collect():
+            held.setdefault(r.kind, []).append(bytes(r.blob))
+    assert v.blocks == 1 and len(v.context) == 0
+    x = lm.Scorer(v, model.kept, held[lm.PAIRS], held[lm.SEATS])
+    rare, customers, pairs = lm.decode(held[lm.CONTEXT_TOTALS][0])
+    tables = np.tile(pairs, (len(model.kept), 1))
+    for blob in held[lm.PARTS]:
+        _, names, _, *more = lm.decode(blob)
+        tables[:, np.searchsorted(rare, names)] += np.stack(more)
+    assert len(rare) == v.words - 1  # all words but the end
+    n = len(x.word) + 1
+    for i in range(0, len(rare), 50):
+        assert x.far_probability(np.arange(n), np.full(n, i), rare, customers, tables).sum() == pytest.approx(1, abs=1e-9)
+
+
 def test_seats_follow_the_posterior():
     """Four customers of one dish in a restaurant: the number of tables, against the sum over all seatings."""
     from itertools import product
