@@ -106,6 +106,25 @@ def test_reanchor(spark):
         assert (tuple(g.r) if g.r else None) == nearest(g.t, g.s, g.e, g.x), g
 
 
+def test_reanchor_reads_a_neighbourhood(spark, sf):
+    """Spans meet their text in one row; a text was carried and walked from its beginning for each of them."""
+    from spanloom.plans import catalog
+
+    t = "\U0001d5d4b é ab" * 40
+    rows = [(1, i, a, a + 3, max(0, a + k), max(0, a + k) + 3) for i, (a, k) in enumerate((a, k) for a in (0, 1, 9, 100, 268) for k in (-4, -1, 0, 2, 4))]
+    docs = spark.createDataFrame([(1, t), (2, "no spans"), (3, None)], "doc_id long, text string")
+    g = spark.createDataFrame([*rows, (3, 0, 0, 1, 0, 1)], "doc_id long, idx int, start int, end int, s int, e int")
+    near = text.neighbourhoods(docs, g, 8)
+    fixed = text.reanchor(F.col("near"), F.col("s") - F.col("at"), F.col("e") - F.col("at"), F.col("surface"))
+    got = {(r.doc_id, r.idx): (r.surface, r.at + r.f.start if r.f else None) for r in near.select("*", fixed.alias("f")).collect()}
+    for doc, i, a, b, s, e in rows:
+        want = nearest(t, s, e, t[a:b])
+        assert got[doc, i] == (t[a:b], want[0] if want else None)
+    assert len(got) == len(rows) + 1 and got[3, 0][0] is None
+    plan = catalog.QUERIES["reanchored"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "substring(text" not in plan and "SortMergeJoin" not in plan
+
+
 def test_small_text_functions(spark):
     r = one(spark, "t string", ("  Straße ",), text.surface_key(F.col("t")).alias("k"), text.trimmed(F.col("t"), F.lit(0), F.length("t")).alias("b"), text.spell(F.lit("40 7")).alias("s"), text.raw_label(F.lit(" First_Name ")).alias("l"),
             text.label_text(F.lit("first_name"), F.lit("given name")).alias("d"), text.mentions(F.lit("my card is"), F.lit("card number")).alias("m"), text.length_bucket(F.lit(1000)).alias("n"), text.fits(F.lit("a b-c d"), F.lit("x"), F.lit(2), 7).alias("f"))
