@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import aba_ok, digits_of, iban_ok, luhn_ok, matches
+from spanloom.functions.text import aba_ok, cuts, digits_of, iban_ok, luhn_ok, matches
 from spanloom.operators import numbering
 from spanloom.operators.spans import as_b, overlap_join, suppress
 
@@ -108,8 +108,10 @@ def propagate(docs: DataFrame, preds: DataFrame, least: float = 0.5, letters: in
     are ranked in their document, and suppression by rank settles overlaps group by group.
     """
     p = preds.select("doc_id", "start", "end", "label", "score")
-    sure = docs.select("doc_id", "text").join(p.where(F.col("score") >= least), "doc_id")
-    sure = sure.select("doc_id", "label", "score", F.col("start").alias("from"), F.col("end").alias("to"), F.expr("substring(text, start + 1, end - start)").alias("surface"))
+    own = p.where(F.col("score") >= least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label", "score")).alias("_own"))
+    sure = docs.select("doc_id", "text").join(own.hint("shuffle_hash"), "doc_id").withColumn("_cut", cuts("text", "_own"))  # a text is walked once
+    sure = sure.select("doc_id", F.inline_outer(F.arrays_zip("_own", F.col("_cut").alias("surface")))).where("_own is not null")
+    sure = sure.select("doc_id", "_own.label", "_own.score", F.col("_own.start").alias("from"), F.col("_own.end").alias("to"), "surface")
     person = F.col("label") == "PERSON"
     sure = sure.where(F.length(F.regexp_replace("surface", r"[^\p{L}\p{N}]", "")) >= letters).where(~person | F.col("surface").rlike(r"^\p{Lu}"))
     rank = F.struct((-F.col("score")).alias("s"), "from", "to", "label")

@@ -74,3 +74,9 @@ def test_windows_do_not_carry_the_text(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Generate" in x and "text#" in x]
     assert sorted((r.start, r.end) for r in detectors.accepted(found).collect()) == [(16 * i + 5, 16 * i + 11) for i in range(200)]
+
+
+def test_surfaces_are_cut_from_a_text_at_once(spark, sf):
+    """The text was carried and walked from its beginning for every prediction."""
+    plan = catalog.QUERIES["propagated"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "substring(text" not in plan
