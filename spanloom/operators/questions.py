@@ -19,7 +19,7 @@ def option_set(target: Column, vocabulary: Column, salt: str, key: Column, least
     names that may stand beside the target.
     """
     n = F.lit(least) + F.pmod(F.xxhash64(F.lit(salt + "n"), key), F.least(F.lit(most), F.size(vocabulary) + 1) - least + 1)
-    mixed = lambda a, s: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(F.xxhash64(F.lit(salt + s), key, x).alias("h"), x.alias("x")))), lambda r: r["x"])
+    mixed = lambda a, s: F.transform(F.sort_array(F.transform(a, lambda x: F.struct(F.xxhash64(F.lit(salt + s), key, x).alias("h"), x.alias("x")))), lambda r: r["x"])
     rest = mixed(vocabulary, "d")
     names = F.when(target.isNull(), F.concat(F.slice(rest, 1, (n - 1).cast("int")), F.array(F.lit(NONE)))).otherwise(
         F.concat(F.array(target), F.slice(rest, 1, F.greatest(n - 2, F.lit(0)).cast("int")), F.array(F.lit(NONE))))

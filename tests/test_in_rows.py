@@ -80,3 +80,9 @@ def test_surfaces_are_cut_from_a_text_at_once(spark, sf):
     """The text was carried and walked from its beginning for every prediction."""
     plan = catalog.QUERIES["propagated"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "substring(text" not in plan
+
+
+def test_options_are_sorted_without_a_comparator(spark, sf):
+    """array_sort() calls its comparator, an interpreted expression, for each two options; words are read in one pass."""
+    plan = catalog.QUERIES["span_questions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "array_sort(" not in plan and "sort_array(" in plan and "/candidates-" not in plan
